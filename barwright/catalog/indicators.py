@@ -87,7 +87,7 @@ ADX = f"""{NUM}, mv AS (SELECT symbol, rn, ts, greatest(high - low, abs(high - l
     high - lag(high) OVER ({W_}) AS up, lag(low) OVER ({W_}) - low AS dn FROM nb),
   dm AS (SELECT symbol, rn, ts, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS m FROM mv),
   {ewm_sql('dm', 'tr', 'et')}, {ewm_sql('dm', 'p', 'ep')}, {ewm_sql('dm', 'm', 'em')},
-  di AS (SELECT symbol, rn, 100 * (ep.num / ep.den) / (et.num / et.den) AS pdi, 100 * (em.num / em.den) / (et.num / et.den) AS mdi
+  di AS (SELECT symbol, rn, 100 * (ep.num / ep.den) / nullif(et.num / et.den, 0) AS pdi, 100 * (em.num / em.den) / nullif(et.num / et.den, 0) AS mdi
          FROM et JOIN ep USING (symbol, rn) JOIN em USING (symbol, rn)),
   dx AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM di), {ewm_sql('dx', 'dx', 'ed')}"""
 

@@ -19,8 +19,17 @@ BARS5 = TICKS + """, bars5 AS (
                arg_max(price, (ts, event_id)) AS close, CAST(sum(size) AS BIGINT) AS volume
         FROM ticks GROUP BY 1, 2))"""
 
-FILLS = """fills AS (
-  SELECT l_suppkey AS account, concat('S', l_partkey % 20) AS symbol,
+from barwright.sources.frames import TICKERS
+
+TICKER_LIST = "[" + ", ".join(f"'{t}'" for t in TICKERS) + "]"
+
+
+def ticker(key):
+    return f"{TICKER_LIST}[CAST({key} % {len(TICKERS)} + 1 AS INTEGER)]"
+
+
+FILLS = f"""fills AS (
+  SELECT l_suppkey AS account, {ticker('l_partkey')} AS symbol,
          CAST(l_quantity AS BIGINT) AS qty, l_extendedprice / l_quantity AS price,
          CASE l_returnflag || l_linestatus WHEN 'NO' THEN 'buy' WHEN 'NF' THEN 'buy' WHEN 'RO' THEN 'sell'
               WHEN 'AO' THEN 'short' WHEN 'AF' THEN 'cover' ELSE 'hold' END AS action,
@@ -30,3 +39,59 @@ FILLS = """fills AS (
 MARKS = """marks AS (
   SELECT symbol, arg_max(price, (l_shipdate, l_orderkey, l_linenumber, l_partkey, account)) AS price
   FROM fills GROUP BY 1)"""
+
+POSITIONS = FILLS + ", " + MARKS + """, positions AS (
+  SELECT n.account, n.symbol, qty, avg_entry_price, m.price AS current_price, qty * m.price AS market_value,
+         (m.price - avg_entry_price) * qty AS unrealized_pl,
+         (m.price - avg_entry_price) * sign(qty) / nullif(avg_entry_price, 0) AS unrealized_plpc
+  FROM (SELECT account, symbol,
+          CAST(sum(CASE WHEN action IN ('buy', 'cover') THEN qty WHEN action IN ('sell', 'short') THEN -qty ELSE 0 END) AS BIGINT) AS qty,
+          sum(CASE WHEN action = 'buy' THEN qty * price END) / sum(CASE WHEN action = 'buy' THEN qty END) AS avg_entry_price
+        FROM fills GROUP BY 1, 2) n JOIN marks m USING (symbol))"""
+
+ACCOUNTS = POSITIONS + """, accounts AS (
+  SELECT s_suppkey AS account, abs(s_acctbal) * 1000 AS cash, abs(s_acctbal) * 1000 + held AS equity,
+         (abs(s_acctbal) * 1000 + held) * (1 + (s_nationkey - 12) / 200) AS last_equity
+  FROM supplier JOIN (SELECT account, sum(market_value) AS held FROM positions GROUP BY 1) ON account = s_suppkey)"""
+
+SNAPSHOTS = """snapshots AS (
+  SELECT *, equity * (day(date) % 5 + 1) / 10 AS cash FROM (
+  SELECT account, date, 1e6 * exp(sum((a / 250000 - 1) * 0.01) OVER w) AS equity,
+         400 * exp(sum((s / 250000 - 1) * 0.01) OVER w) AS spy_price,
+         300 * exp(sum((q / 300000 - 1) * 0.01) OVER w) AS qqq_price, position_count
+  FROM (SELECT c_mktsegment AS account, CAST(o_orderdate AS DATE) AS date,
+          avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 500000 - o_totalprice END) AS a,
+          avg(o_totalprice) AS s, max(o_totalprice) AS q, count(*) AS position_count
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY account ORDER BY date)))"""
+
+JOURNAL = f"""journal AS (
+  SELECT o_orderdate AS timestamp, CASE WHEN o_custkey % 2 = 0 THEN 'swing' ELSE 'day' END AS mode,
+         {ticker('o_custkey')} AS ticker, action, o_orderkey % 100 AS qty,
+         CASE o_orderstatus WHEN 'F' THEN 'executed' WHEN 'O' THEN 'blocked' ELSE 'failed' END AS status,
+         CASE WHEN action IN ('sell', 'cover') THEN o_totalprice - 250000 END AS pnl, o_orderkey AS order_id
+  FROM (SELECT *, CASE left(o_orderpriority, 1) WHEN '1' THEN 'buy' WHEN '2' THEN 'sell' WHEN '3' THEN 'short'
+                  WHEN '4' THEN 'cover' ELSE 'hold' END AS action FROM orders))"""
+
+SIGNALS = """signals AS (
+  SELECT CAST(ts AS DATE) AS date, 'analyst' || (user_id % 10) AS analyst, event_type AS symbol,
+         CASE WHEN value > 60 THEN 'bullish' WHEN value < 20 THEN 'bearish' ELSE 'neutral' END AS signal,
+         CASE WHEN CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) > 4 THEN CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) END AS confidence, event_id
+  FROM events)"""
+
+NEWS = """news AS (
+  SELECT doc_id, source AS symbol, text AS title,
+         CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'neutral' END AS sentiment,
+         CASE WHEN quality IS NOT NULL THEN CAST(doc_id % 100 AS DOUBLE) END AS model_confidence
+  FROM documents LEFT JOIN labels USING (doc_id))"""
+
+EXPERIMENTS = """experiments AS (
+  SELECT doc_id AS experiment_id, source AS run_id, text AS hypothesis, (n_chars % 997) / 10 - 50 AS fitness_score,
+         coalesce(quality = 1, false) AS kept, CASE WHEN lang = 'en' THEN 'day' ELSE 'swing' END AS mode
+  FROM documents LEFT JOIN labels USING (doc_id))"""
+
+RUNS = EXPERIMENTS + """, runs AS (
+  SELECT *, best_fitness - baseline_fitness AS improvement FROM (
+  SELECT run_id, mode, min(experiment_id) AS started, count(*) AS total_experiments,
+         count(*) FILTER (kept) AS keep_count, arg_min(fitness_score, experiment_id) AS baseline_fitness,
+         max(fitness_score) AS best_fitness FROM experiments GROUP BY 1, 2))"""

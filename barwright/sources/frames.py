@@ -5,7 +5,16 @@ partials, so a symbol that owns a third of all ticks shrinks to its calendar bef
 shuffle; what follows by symbol is bounded by the calendar, not by the input.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
+
+
+# The twenty tickers that keys are mapped onto.
+TICKERS = ["NVDA", "AVGO", "MSFT", "AAPL", "PLTR", "AMD", "CRM", "JPM", "V", "KO",
+           "COIN", "MSTR", "SPY", "QQQ", "TQQQ", "SOXL", "IONQ", "F", "ABCDW", "GME"]
+
+
+def ticker(key):
+    return F.element_at(F.array(*map(F.lit, TICKERS)), (key % len(TICKERS) + 1).cast("int"))
 
 
 def table(spark, sf_dir, name):
@@ -69,7 +78,7 @@ def fills(spark, sf):
     side = F.concat("l_returnflag", "l_linestatus")
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("account"),
-        F.concat(F.lit("S"), F.col("l_partkey") % 20).alias("symbol"),
+        ticker(F.col("l_partkey")).alias("symbol"),
         F.col("l_quantity").cast("long").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.when(side == "NO", "buy").when(side == "NF", "buy").when(side == "RO", "sell")
@@ -83,3 +92,121 @@ def marks(spark, sf):
     """Latest price per symbol over all fills."""
     f = fills(spark, sf)
     return f.groupBy("symbol").agg(F.max_by("price", F.struct("seq", "account")).alias("price"))
+
+
+def positions(spark, sf):
+    """Net position per (account, symbol) with average entry and current mark."""
+    f = fills(spark, sf)
+    buy = F.col("action").isin("buy", "cover")
+    signed = F.when(buy, F.col("qty")).when(F.col("action").isin("sell", "short"), -F.col("qty")).otherwise(0)
+    bought = F.when(F.col("action") == "buy", F.col("qty"))
+    net = f.groupBy("account", "symbol").agg(
+        F.sum(signed).alias("qty"),
+        F.try_divide(F.sum(bought * F.col("price")), F.sum(bought)).alias("avg_entry_price"),
+    )
+    pos = net.join(marks(spark, sf).withColumnRenamed("price", "current_price"), "symbol")
+    sign = F.signum(F.col("qty").cast("double"))
+    gain = F.col("current_price") - F.col("avg_entry_price")
+    return (
+        pos.withColumn("market_value", F.col("qty") * F.col("current_price"))
+        .withColumn("unrealized_pl", gain * F.col("qty"))
+        .withColumn("unrealized_plpc", F.try_divide(gain * sign, "avg_entry_price"))
+    )
+
+
+def accounts(spark, sf):
+    """Cash and equity per account; last_equity is yesterday's."""
+    s = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("account"), (F.abs("s_acctbal") * 1000).alias("cash"), "s_nationkey")
+    held = positions(spark, sf).groupBy("account").agg(F.sum("market_value").alias("held"))
+    return s.join(held, "account").select(
+        "account", "cash", (F.col("cash") + F.col("held")).alias("equity"),
+        ((F.col("cash") + F.col("held")) * (1 + (F.col("s_nationkey") - 12) / 200)).alias("last_equity"))
+
+
+def snapshots(spark, sf):
+    """Daily account snapshots: account = market segment, equity compounds the day's mean order."""
+    b = (
+        table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+        .join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_mktsegment").alias("account"), F.to_date("o_orderdate").alias("date"))
+        .agg(
+            F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(500000 - F.col("o_totalprice"))).alias("a"),
+            F.avg("o_totalprice").alias("s"), F.max("o_totalprice").alias("q"), F.count(F.lit(1)).alias("position_count"),
+        )
+    )
+    w = W.partitionBy("account").orderBy("date")
+
+    def path(start, c, centre):
+        return start * F.exp(F.sum((F.col(c) / centre - 1) * 0.01).over(w))
+
+    return b.select(
+        "account", "date", path(1e6, "a", 250000).alias("equity"),
+        path(400, "s", 250000).alias("spy_price"), path(300, "q", 300000).alias("qqq_price"), "position_count",
+    ).withColumn("cash", F.col("equity") * (F.dayofmonth("date") % 5 + 1) / 10)
+
+
+def equity(spark, sf):
+    return snapshots(spark, sf).select("account", "date", F.col("equity").alias("value"))
+
+
+def journal(spark, sf):
+    """Order journal: status, action and profit read off the order."""
+    o = table(spark, sf, "orders")
+    act = F.substring("o_orderpriority", 1, 1)
+    action = (F.when(act == "1", "buy").when(act == "2", "sell").when(act == "3", "short")
+              .when(act == "4", "cover").otherwise("hold"))
+    return o.select(
+        F.col("o_orderdate").alias("timestamp"),
+        F.when(F.col("o_custkey") % 2 == 0, "swing").otherwise("day").alias("mode"),
+        ticker(F.col("o_custkey")).alias("ticker"), action.alias("action"),
+        (F.col("o_orderkey") % 100).alias("qty"),
+        F.when(F.col("o_orderstatus") == "F", "executed").when(F.col("o_orderstatus") == "O", "blocked").otherwise("failed").alias("status"),
+        F.when(action.isin("sell", "cover"), F.col("o_totalprice") - 250000).alias("pnl"),
+        F.col("o_orderkey").alias("order_id"),
+    )
+
+
+def signals(spark, sf):
+    """Analyst signals per day and event type, from event values."""
+    return ticks(spark, sf).join(
+        table(spark, sf, "events").select("event_id", "user_id"), "event_id"
+    ).select(
+        F.to_date("ts").alias("date"), F.concat(F.lit("analyst"), F.col("user_id") % 10).alias("analyst"), "symbol",
+        F.when(F.col("price") > 60, "bullish").when(F.col("price") < 20, "bearish").otherwise("neutral").alias("signal"),
+        F.when(F.col("size") > 4, F.col("size").cast("double")).alias("confidence"), "event_id",
+    )
+
+
+def news(spark, sf):
+    """Headlines: a document's whole text by source; its labels stand for sentiment."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    lab = table(spark, sf, "labels")
+    return d.join(lab, "doc_id", "left").select(
+        "doc_id", F.col("source").alias("symbol"), F.col("text").alias("title"),
+        F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
+        .when(F.col("quality") == 0, "neutral").alias("sentiment"),
+        F.when(F.col("quality").isNotNull(), (F.col("doc_id") % 100).cast("double")).alias("model_confidence"),
+    )
+
+
+def experiments(spark, sf):
+    """Strategy experiments: a document is a hypothesis, its source the run."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars", "lang")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("experiment_id"), F.col("source").alias("run_id"), F.col("text").alias("hypothesis"),
+        ((F.col("n_chars") % 997) / 10 - 50).alias("fitness_score"),
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("kept"),
+        F.when(F.col("lang") == "en", "day").otherwise("swing").alias("mode"),
+    )
+
+
+def runs(spark, sf):
+    """Run summaries from experiments, in run order."""
+    e = experiments(spark, sf)
+    return e.groupBy("run_id", "mode").agg(
+        F.min("experiment_id").alias("started"), F.count(F.lit(1)).alias("total_experiments"),
+        F.sum(F.col("kept").cast("long")).alias("keep_count"),
+        F.min_by("fitness_score", "experiment_id").alias("baseline_fitness"), F.max("fitness_score").alias("best_fitness"),
+    ).withColumn("improvement", F.col("best_fitness") - F.col("baseline_fitness"))

@@ -46,8 +46,8 @@ def compare(spark, con, name, fn, sql, sf):
         return len(got), f"columns {sorted(df.columns)} != {sorted(names)}"
     if got == want:
         return len(got), None
-    diff = [(g, w) for g, w in zip(got, want) if g != w]
-    return len(got), f"rows {len(got)} vs {len(want)}, first difference {sorted(names)}: {diff[:2]}"
+    a, b = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+    return len(got), f"rows {len(got)} vs {len(want)}, {len(a)} differ {sorted(names)}:\n     got  {a[:3]}\n     want {b[:3]}"
 
 
 def main(argv):
