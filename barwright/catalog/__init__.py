@@ -4,7 +4,7 @@ import importlib
 
 from barwright.catalog import registry
 
-MODULES = ["indicators", "aggregates"]
+MODULES = ["indicators", "aggregates", "book"]
 for _m in MODULES:
     importlib.import_module(f"barwright.catalog.{_m}")
 

@@ -30,7 +30,7 @@ def ticker(key):
 
 FILLS = f"""fills AS (
   SELECT l_suppkey AS account, {ticker('l_partkey')} AS symbol,
-         CAST(l_quantity AS BIGINT) AS qty, l_extendedprice / l_quantity AS price,
+         CAST(l_quantity AS BIGINT) AS qty, l_extendedprice / (l_quantity + 0.37) AS price,
          CASE l_returnflag || l_linestatus WHEN 'NO' THEN 'buy' WHEN 'NF' THEN 'buy' WHEN 'RO' THEN 'sell'
               WHEN 'AO' THEN 'short' WHEN 'AF' THEN 'cover' ELSE 'hold' END AS action,
          CAST(l_shipdate AS DATE) AS day, l_shipdate, l_orderkey, l_linenumber, l_partkey

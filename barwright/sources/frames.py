@@ -80,7 +80,7 @@ def fills(spark, sf):
         F.col("l_suppkey").alias("account"),
         ticker(F.col("l_partkey")).alias("symbol"),
         F.col("l_quantity").cast("long").alias("qty"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (F.col("l_extendedprice") / (F.col("l_quantity") + 0.37)).alias("price"),
         F.when(side == "NO", "buy").when(side == "NF", "buy").when(side == "RO", "sell")
         .when(side == "AO", "short").when(side == "AF", "cover").otherwise("hold").alias("action"),
         F.to_date("l_shipdate").alias("day"),
