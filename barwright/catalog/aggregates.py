@@ -21,13 +21,13 @@ SESSION = f"""sess AS (SELECT symbol, session, arg_min(open, ts) AS open, max(hi
   CAST(sum(volume) AS BIGINT) AS volume, sum({TYP} * volume) / nullif(sum(volume), 0) AS vwap FROM bars5 GROUP BY 1, 2)"""
 
 
-@query("a02_session_summary", f"""WITH {BARS5}, {SESSION} SELECT symbol, session, open, high, low, close, volume, {r('vwap')} AS vwap,
+@query("a02_session_summary", f"""WITH {BARS5}, {SESSION} SELECT symbol, session, {rcols('open high low close')}, volume, {r('vwap')} AS vwap,
   {r('(close - vwap) / vwap * 100')} AS price_vs_vwap_pct FROM sess""")
 def _(spark, sf):
     return tidy(aggs.session_summary(frames.bars5(spark, sf)))
 
 
-@query("a03_premarket", f"""WITH {BARS5} SELECT symbol, session, max(high) AS premarket_high, min(low) AS premarket_low,
+@query("a03_premarket", f"""WITH {BARS5} SELECT symbol, session, {r('max(high)')} AS premarket_high, {r('min(low)')} AS premarket_low,
   CAST(sum(volume) AS BIGINT) AS premarket_volume FROM bars5 WHERE et_minute >= 240 AND et_minute < 570 GROUP BY 1, 2""")
 def _(spark, sf):
     return tidy(aggs.premarket_summary(frames.bars5(spark, sf)))

@@ -38,3 +38,8 @@ def r(expr, digits=6):
 
 def rcols(names, digits=6, prefix=""):
     return ", ".join(f"{r(prefix + n, digits)} AS {n}" for n in names.split())
+
+
+def he(expr, digits):
+    """Half-even rounding of the shortest decimal form of a double, in SQL."""
+    return f"CAST(round_even(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"

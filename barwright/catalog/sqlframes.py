@@ -7,7 +7,7 @@ BARS = """bars AS (
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 
 TICKS = """ticks AS (
-  SELECT event_id, ts, event_type AS symbol, value AS price,
+  SELECT event_id, ts, event_type AS symbol, value, 100 + value / 120 AS price,
          CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS size FROM events)"""
 
 BARS5 = TICKS + """, bars5 AS (

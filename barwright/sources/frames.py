@@ -40,7 +40,7 @@ def bars(spark, sf):
 
 def ticks(spark, sf):
     return table(spark, sf, "events").select(
-        "event_id", "ts", F.col("event_type").alias("symbol"), F.col("value").alias("price"),
+        "event_id", "ts", F.col("event_type").alias("symbol"), "value", (100 + F.col("value") / 120).alias("price"),
         F.regexp_extract("props", r"(\d+)", 1).cast("long").alias("size"),
     )
 
@@ -173,7 +173,7 @@ def signals(spark, sf):
         table(spark, sf, "events").select("event_id", "user_id"), "event_id"
     ).select(
         F.to_date("ts").alias("date"), F.concat(F.lit("analyst"), F.col("user_id") % 10).alias("analyst"), "symbol",
-        F.when(F.col("price") > 60, "bullish").when(F.col("price") < 20, "bearish").otherwise("neutral").alias("signal"),
+        F.when(F.col("value") > 60, "bullish").when(F.col("value") < 20, "bearish").otherwise("neutral").alias("signal"),
         F.when(F.col("size") > 4, F.col("size").cast("double")).alias("confidence"), "event_id",
     )
 
