@@ -4,7 +4,7 @@ import importlib
 
 from barwright.catalog import registry
 
-MODULES = ["indicators", "aggregates", "book", "strategy"]
+MODULES = ["indicators", "aggregates", "book", "strategy", "fundamentals"]
 for _m in MODULES:
     importlib.import_module(f"barwright.catalog.{_m}")
 

@@ -95,3 +95,42 @@ RUNS = EXPERIMENTS + """, runs AS (
   SELECT run_id, mode, min(experiment_id) AS started, count(*) AS total_experiments,
          count(*) FILTER (kept) AS keep_count, arg_min(fitness_score, experiment_id) AS baseline_fitness,
          max(fitness_score) AS best_fitness FROM experiments GROUP BY 1, 2))"""
+
+
+def _panel():
+    from barwright.sources.frames import PANEL_STAGES
+    out = """p0 AS (SELECT symbol, report_period, g, rr, CAST(regexp_extract(symbol, '(\\d+)', 1) AS DOUBLE) AS b,
+        CAST((year(report_period) - 1995) * 4 + quarter(report_period) - 1 AS DOUBLE) AS t
+      FROM (SELECT p_brand AS symbol, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS report_period, round(sum(l_extendedprice), 2) AS g,
+              round(coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 0), 2) AS rr FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2))"""
+    for i, stage in enumerate(PANEL_STAGES):
+        name = "panel" if i == len(PANEL_STAGES) - 1 else f"p{i + 1}"
+        cols = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in stage.items())
+        out += f", {name} AS (SELECT *, {cols} FROM p{i})"
+    return out
+
+
+PANEL = _panel()
+
+
+def profile(n, name="prof", source="panel"):
+    """Latest n periods per symbol: per item the newest value and the newest-first known values."""
+    from barwright.sources.frames import PANEL_ITEMS
+    cols = ", ".join(f"list({c} ORDER BY report_period DESC)[1] AS {c}_0, list({c} ORDER BY report_period DESC) FILTER ({c} IS NOT NULL) AS {c}" for c in PANEL_ITEMS)
+    return f"""{name} AS (SELECT symbol, count(*) AS n, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY report_period DESC) AS rk FROM {source}
+      WHERE report_period <= DATE '2001-09-30') WHERE rk <= {n} GROUP BY 1)"""
+
+
+INSIDER = """insider AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS filing_date,
+    l_quantity * CASE l_returnflag WHEN 'R' THEN -1 WHEN 'A' THEN 1 END AS transaction_shares,
+    CASE WHEN l_linestatus = 'F' THEN round(l_extendedprice) END AS transaction_value FROM lineitem JOIN part ON l_partkey = p_partkey),
+  flow AS (SELECT symbol, count(*) FILTER (transaction_shares > 0) AS buys, count(*) FILTER (transaction_shares < 0) AS sells, coalesce(sum(transaction_shares), 0) AS net_shares,
+    coalesce(sum(transaction_shares) FILTER (transaction_shares > 0), 0) AS bought, coalesce(-sum(transaction_shares) FILTER (transaction_shares < 0), 0) AS sold,
+    coalesce(sum(transaction_value) FILTER (transaction_shares > 0), 0) AS buy_value, coalesce(sum(transaction_value) FILTER (transaction_shares < 0), 0) AS sell_value,
+    count(transaction_shares) AS trades FROM insider GROUP BY 1)"""
+
+BRAND_NEWS = NEWS + """, brand_news AS (SELECT * REPLACE ('Brand#' || (CAST(regexp_extract(symbol, '(\\d+)', 1) AS INT) + 1) AS symbol) FROM news)"""
+
+BRAND_BARS = """brand_bars AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, arg_min(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open, max(px) AS high, min(px) AS low,
+    arg_max(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close, count(*) AS volume
+  FROM (SELECT *, l_extendedprice / (l_quantity + 0.37) AS px FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2)"""

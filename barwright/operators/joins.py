@@ -46,7 +46,7 @@ def asof_join(left, right, by, on, cols):
     r = right.select(*by, F.col(on).alias("_from"), *cols).withColumn("_to", F.lead("_from").over(w))
     horizon = left.agg(F.max(on)).scalar()
     months = F.sequence(F.trunc("_from", "month"), F.trunc(F.greatest(F.col("_from"), F.coalesce(F.date_sub("_to", 1), horizon)), "month"), F.expr("INTERVAL 1 MONTH"))
-    r = r.withColumn("_month", F.explode(months).cast("date"))
+    r = r.withColumn("_month", F.explode(months))
     l = left.withColumn("_month", F.trunc(on, "month"))
     cond = [l[k] == r[k] for k in by] + [l["_month"] == r["_month"], l[on] >= r["_from"], r["_to"].isNull() | (l[on] < r["_to"])]
     return l.join(r, cond, "left").select(*[l[c] for c in left.columns], r["_from"].alias(f"{on}_right"), *[r[c] for c in cols])

@@ -210,3 +210,115 @@ def runs(spark, sf):
         F.sum(F.col("kept").cast("long")).alias("keep_count"),
         F.min_by("fitness_score", "experiment_id").alias("baseline_fitness"), F.max("fitness_score").alias("best_fitness"),
     ).withColumn("improvement", F.col("best_fitness") - F.col("baseline_fitness"))
+
+
+# Fundamentals per (brand, quarter). The stages are plain SQL arithmetic that Spark and the
+# SQL oracle read alike; b is the brand's number and t the quarter's index.
+PANEL_STAGES = [
+    {
+        "gr": "power(1 + (b - 8) / 200, t)",
+        "wob": "rr / g - 0.333",
+    },
+    {"revenue": "g * gr / 1000"},
+    {
+        "gross_profit": "revenue * (0.2 + b / 50 + wob / 2)",
+        "operating_income": "revenue * (b / 70 - 0.04 + wob)",
+        "interest_expense": "revenue * (26 - b) / 1000",
+        "depreciation_and_amortization": "revenue * 0.04",
+        "capital_expenditure": "revenue * (0.02 + (b % 5) / 60)",
+        "total_assets": "revenue * (3 + (b % 4) / 2)",
+        "outstanding_shares": "1000 + 20 * b + (b % 3 - 1) * t * 3",
+        "issuance_or_purchase_of_equity_shares": "(b % 3 - 1) * revenue * 0.01",
+        "research_and_development": "CASE WHEN b % 7 <> 0 THEN revenue * ((b % 4) * 0.06 + wob / 20) END",
+        "operating_expense": "revenue * (0.3 - b / 200 + wob / 3)",
+        "market_cap": "revenue * 4 * (0.8 + ((b * 7) % 10) / 5)",
+        "beta": "0.6 + (b % 10) / 10",
+    },
+    {
+        "ebit": "operating_income",
+        "ebitda": "operating_income + depreciation_and_amortization",
+        "net_income": "(operating_income - interest_expense) * 0.79",
+        "total_liabilities": "total_assets * (0.25 + (b % 7) / 11)",
+        "current_assets": "total_assets * 0.35",
+        "goodwill_and_intangible_assets": "total_assets * ((b % 5) / 8)",
+    },
+    {
+        "operating_cash_flow": "net_income + depreciation_and_amortization + revenue * wob / 4",
+        "shareholders_equity": "total_assets - total_liabilities",
+        "current_liabilities": "total_liabilities * (0.2 + (b % 6) / 10)",
+        "cash_and_equivalents": "current_assets * (0.2 + (b % 3) / 4)",
+        "total_debt": "CASE WHEN b % 11 <> 0 THEN total_liabilities * 0.4 END",
+        "earnings_per_share": "CASE WHEN b <> 13 THEN net_income / outstanding_shares END",
+        "dividends_and_other_cash_distributions": "CASE WHEN b % 5 <> 0 AND net_income > 0 THEN -0.2 * net_income END",
+    },
+    {
+        "free_cash_flow": "operating_cash_flow - capital_expenditure",
+        "book_value_per_share": "shareholders_equity / outstanding_shares",
+        "working_capital": "current_assets - current_liabilities",
+        "gross_margin": "gross_profit / revenue",
+        "operating_margin": "operating_income / revenue",
+        "net_margin": "net_income / revenue",
+        "return_on_equity": "net_income / nullif(shareholders_equity, 0)",
+        "return_on_invested_capital": "operating_income * 0.79 / nullif(shareholders_equity + coalesce(total_debt, 0), 0)",
+        "asset_turnover": "revenue / total_assets",
+        "current_ratio": "current_assets / nullif(current_liabilities, 0)",
+        "debt_to_equity": "total_debt / nullif(shareholders_equity, 0)",
+        "interest_coverage": "ebit / nullif(interest_expense, 0)",
+        "price_to_earnings_ratio": "market_cap / nullif(net_income, 0)",
+        "price_to_book_ratio": "market_cap / nullif(shareholders_equity, 0)",
+        "price_to_sales_ratio": "market_cap / revenue",
+        "enterprise_value": "market_cap + coalesce(total_debt, 0) - cash_and_equivalents",
+    },
+    {
+        "free_cash_flow_per_share": "free_cash_flow / outstanding_shares",
+        "enterprise_value_to_ebitda_ratio": "enterprise_value / nullif(ebitda, 0)",
+        "ev_to_ebit": "enterprise_value / nullif(ebit, 0)",
+        **{f"{out}": f"({c} - lag({c}) OVER (PARTITION BY symbol ORDER BY report_period)) / nullif(abs(lag({c}) OVER (PARTITION BY symbol ORDER BY report_period)), 0)"
+           for out, c in (("revenue_growth", "revenue"), ("earnings_growth", "net_income"), ("earnings_per_share_growth", "earnings_per_share"),
+                          ("book_value_growth", "shareholders_equity"), ("free_cash_flow_growth", "free_cash_flow"))},
+    },
+    {"peg_ratio": "price_to_earnings_ratio / nullif(earnings_growth * 100, 0)"},
+]
+PANEL_ITEMS = [n for stage in PANEL_STAGES for n in stage if n not in ("gr", "wob")]
+
+
+def panel(spark, sf):
+    """Wide fundamentals: one row per (brand, quarter), so a brand has as many rows as quarters."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_returnflag")
+    pt = table(spark, sf, "part").select("p_partkey", "p_brand")
+    p = (
+        li.join(pt, li.l_partkey == pt.p_partkey)
+        .groupBy(F.col("p_brand").alias("symbol"), F.trunc("l_shipdate", "quarter").alias("report_period"))
+        .agg(F.round(F.sum("l_extendedprice"), 2).alias("g"),
+             F.round(F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))), F.lit(0.0)), 2).alias("rr"))
+        .withColumn("b", F.regexp_extract("symbol", r"(\d+)", 1).cast("double"))
+        .withColumn("t", ((F.year("report_period") - 1995) * 4 + F.quarter("report_period") - 1).cast("double"))
+    )
+    for stage in PANEL_STAGES:
+        p = p.select("*", *[F.expr(f"cast({e} as double)").alias(n) for n, e in stage.items()])
+    return p.drop("g", "rr", "gr", "wob", "b", "t")
+
+
+def insider(spark, sf):
+    """Insider trades: sales negative, unknown share counts null."""
+    li, pt = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    sign = F.when(F.col("l_returnflag") == "R", -1.0).when(F.col("l_returnflag") == "A", 1.0)
+    return li.join(pt, li.l_partkey == pt.p_partkey).select(
+        F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("filing_date"),
+        (F.col("l_quantity") * sign).alias("transaction_shares"),
+        F.when(F.col("l_linestatus") == "F", F.round("l_extendedprice", 0)).alias("transaction_value"))
+
+
+def brand_news(spark, sf):
+    """News keyed like the panel: source srcN belongs to Brand#N+1."""
+    n = news(spark, sf)
+    return n.withColumn("symbol", F.concat(F.lit("Brand#"), F.regexp_extract("symbol", r"(\d+)", 1).cast("int") + 1))
+
+
+def brand_bars(spark, sf):
+    """Daily bars per brand from unit prices."""
+    li, pt = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    at = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    px = F.col("l_extendedprice") / (F.col("l_quantity") + 0.37)
+    return li.join(pt, li.l_partkey == pt.p_partkey).groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("ts")).agg(
+        F.min_by(px, at).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, at).alias("close"), F.count(F.lit(1)).alias("volume"))
