@@ -1,6 +1,6 @@
 """Registered streaming jobs, drained over the given event files."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from barwright.catalog.registry import query, r, tidy
 from barwright.catalog.sqlframes import TICKS
@@ -12,25 +12,35 @@ CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)"
 
 
 def raw(spark, sf, name):
-    return jobs.stream_ticks(spark, f"{sf.rstrip('/')}/{name}.parquet", frames.table(spark, sf, name).schema)
+    # a file stream wants a folder or a pattern
+    return jobs.stream_ticks(spark, f"{sf.rstrip('/')}/{name}.parque[t]", frames.table(spark, sf, name).schema)
 
 
-def ticks(spark, sf):
+def instant(c):
+    """A zone-less time read as UTC: watermarks need an instant."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c}))")
+
+
+def naive(c):
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), timestamp_ntz'1970-01-01 00:00:00')").alias(c)
+
+
+def ticks(spark, sf, ts=None):
     return raw(spark, sf, "events").select(
-        "event_id", "ts", F.col("event_type").alias("symbol"), (100 + F.col("value") / 120).alias("price"),
+        "event_id", (instant("ts") if ts is None else F.col("ts")).alias("ts"), F.col("event_type").alias("symbol"), (100 + F.col("value") / 120).alias("price"),
         F.regexp_extract("props", r"(\d+)", 1).cast("long").alias("size"))
 
 
-@query("r01_stream_bars", f"""WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts, {r('arg_min(price, (ts, event_id))')} AS open, {r('max(price)')} AS high, {r('min(price)')} AS low,
-  {r('arg_max(price, (ts, event_id))')} AS close, CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY symbol, time_bucket(INTERVAL '5 minutes', ts) HAVING time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE <= {CLOSED}""".replace("SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts", "SELECT symbol, time_bucket(INTERVAL '5 minutes', ticks.ts) AS ts").replace("arg_min(price, (ts,", "arg_min(price, (ticks.ts,").replace("arg_max(price, (ts,", "arg_max(price, (ticks.ts,").replace("GROUP BY symbol, time_bucket(INTERVAL '5 minutes', ts) HAVING time_bucket(INTERVAL '5 minutes', ts)", "GROUP BY symbol, time_bucket(INTERVAL '5 minutes', ticks.ts) HAVING time_bucket(INTERVAL '5 minutes', ticks.ts)"))
+@query("r01_stream_bars", f"""WITH {TICKS}, b AS (SELECT *, time_bucket(INTERVAL '5 minutes', ts) AS bar FROM ticks) SELECT symbol, bar AS ts, {r('arg_min(price, (b.ts, event_id))')} AS open, {r('max(price)')} AS high,
+  {r('min(price)')} AS low, {r('arg_max(price, (b.ts, event_id))')} AS close, CAST(sum(size) AS BIGINT) AS volume FROM b GROUP BY symbol, bar HAVING bar + INTERVAL 5 MINUTE <= {CLOSED}""")
 def _(spark, sf):
-    return tidy(jobs.drain(jobs.stream_bars(ticks(spark, sf)), spark, "r01"))
+    return tidy(jobs.drain(jobs.stream_bars(ticks(spark, sf)), spark, "r01").withColumn("ts", naive("ts")))
 
 
 @query("r02_stream_last30", f"""WITH {TICKS}, x AS (SELECT *, time_bucket(INTERVAL '5 minutes', ts) - INTERVAL 5 MINUTE * i AS start FROM ticks, range(6) t(i))
   SELECT symbol, start, start + INTERVAL 30 MINUTE AS "end", {r('max(price)')} AS high, {r('min(price)')} AS low, {r('arg_max(price, (ts, event_id))')} AS close, count(*) AS ticks FROM x GROUP BY symbol, start HAVING start + INTERVAL 30 MINUTE <= {CLOSED}""")
 def _(spark, sf):
-    return tidy(jobs.drain(jobs.stream_last30(ticks(spark, sf)), spark, "r02"))
+    return tidy(jobs.drain(jobs.stream_last30(ticks(spark, sf)), spark, "r02").withColumn("start", naive("start")).withColumn("end", naive("`end`")))
 
 
 @query("r03_stream_session", f"""WITH {TICKS} SELECT symbol, CAST(ts AS DATE) AS session, {r('sum(price * size) / nullif(sum(size), 0)')} AS vwap, {r('max(price)')} AS high, {r('min(price)')} AS low, CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2""")
@@ -48,23 +58,23 @@ STOPS = {"stop_loss_pct": 0.012, "trailing_stop_pct": 0.02, "flatten_minute": No
   k AS (SELECT symbol, ts, price, high, CASE WHEN (price - entry) / entry <= -0.012 THEN 'hard_stop' WHEN (price - high) / high <= -0.02 THEN 'trailing_stop' END AS stop_type, event_id FROM e),
   f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM k WHERE stop_type IS NOT NULL) SELECT symbol, ts, {r('price')} AS price, {r('high')} AS high, stop_type FROM f WHERE rn = 1""")
 def _(spark, sf):
-    s = jobs.drain(jobs.stream_stops(ticks(spark, sf), "day", STOPS), spark, "r04")
-    return tidy(s.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    s = jobs.drain(jobs.stream_stops(ticks(spark, sf, "as is"), "day", STOPS), spark, "r04")
+    return tidy(s)
 
 
 @query("r05_stream_breaker", f"""WITH {TICKS}, e AS (SELECT symbol AS account, CAST(ts AS DATE) AS day, ts, event_id, price AS equity, first(price) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, event_id) AS s FROM ticks),
   k AS (SELECT *, row_number() OVER (PARTITION BY account, day ORDER BY ts, event_id) AS rn FROM e WHERE (equity - s) / s <= -0.01) SELECT account, day, ts, {r('equity')} AS equity, {r('(equity - s) / s')} AS loss_pct FROM k WHERE rn = 1""")
 def _(spark, sf):
-    eq = ticks(spark, sf).select("event_id", "ts", F.col("symbol").alias("account"), F.col("price").alias("equity"))
+    eq = ticks(spark, sf, "as is").select("event_id", "ts", F.col("symbol").alias("account"), F.col("price").alias("equity"))
     s = jobs.drain(jobs.stream_breaker(eq, limit=0.01), spark, "r05")
-    return tidy(s.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return tidy(s)
 
 
 @query("r06_stream_journal", "SELECT DISTINCT o_orderkey AS order_id, o_orderdate AS timestamp FROM orders")
 def _(spark, sf):
-    o = raw(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("timestamp"))
+    o = raw(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), instant("o_orderdate").alias("timestamp"))
     twice = o.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    return jobs.drain(jobs.stream_journal(twice), spark, "r06")
+    return jobs.drain(jobs.stream_journal(twice), spark, "r06").withColumn("timestamp", naive("timestamp"))
 
 
 @query("r07_stream_alerts", f"""WITH {TICKS} SELECT symbol, count(*) AS alerts FROM ticks WHERE price > 102.5 GROUP BY 1""")

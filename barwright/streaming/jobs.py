@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from barwright.operators.windows import safe_div
+from barwright.functions.numeric import safe_div
 from barwright.session import shared_dir
 from barwright.sources import universe
 
@@ -49,7 +49,7 @@ def stream_session(ticks, late=LATE):
     return ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(
         safe_div(F.sum(F.col("price") * F.col("size")), F.sum("size")).alias("vwap"), F.max("price").alias("high"),
         F.min("price").alias("low"), F.sum("size").alias("volume")
-    ).select("symbol", F.to_date("w.start").alias("session"), "vwap", "high", "low", "volume")
+    ).select("symbol", F.to_date(F.to_utc_timestamp("w.start", F.current_timezone())).alias("session"), "vwap", "high", "low", "volume")
 
 
 def stream_journal(orders, late="1 day"):
@@ -57,7 +57,7 @@ def stream_journal(orders, late="1 day"):
     return orders.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["order_id"])
 
 
-STOP_OUT = "symbol string, ts timestamp, price double, high double, stop_type string"
+STOP_OUT = "symbol string, ts timestamp_ntz, price double, high double, stop_type string"
 STOP_STATE = "entry double, high double, done int, last double"
 
 
@@ -92,11 +92,11 @@ def stream_stops(ticks, mode, limits=None):
     """
     lim = {**universe.risk(mode), **(limits or {})}
     step = _stop_step(lim["stop_loss_pct"], lim["trailing_stop_pct"], lim["flatten_minute"])
-    keyed = ticks.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("symbol")
+    keyed = ticks.groupBy("symbol")
     return keyed.applyInPandasWithState(step, STOP_OUT, STOP_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-BREAK_OUT = "account string, day date, ts timestamp, equity double, loss_pct double"
+BREAK_OUT = "account string, day date, ts timestamp_ntz, equity double, loss_pct double"
 BREAK_STATE = "day string, start double, tripped int"
 
 
@@ -121,7 +121,7 @@ def _break_step(limit):
 def stream_breaker(equity, mode="day", limit=None):
     """Daily circuit breaker per account: trips once, latched until the next day."""
     limit = universe.risk(mode)["daily_loss_limit"] if limit is None else limit
-    keyed = equity.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("account")
+    keyed = equity.groupBy("account")
     return keyed.applyInPandasWithState(_break_step(limit), BREAK_OUT, BREAK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
