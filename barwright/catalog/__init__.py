@@ -4,7 +4,7 @@ import importlib
 
 from barwright.catalog import registry
 
-MODULES = ["indicators", "aggregates", "book", "strategy", "fundamentals", "landing", "streams"]
+MODULES = ["indicators", "aggregates", "book", "strategy", "fundamentals", "investors", "landing", "streams"]
 for _m in MODULES:
     importlib.import_module(f"barwright.catalog.{_m}")
 
