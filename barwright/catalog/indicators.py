@@ -71,7 +71,7 @@ NUM = f"{BARS}, nb AS (SELECT *, row_number() OVER ({W_}) AS rn FROM bars)"
 @query("w07_ema", f"""WITH RECURSIVE {NUM}, {ema_sql('nb', 'close', 8, 'e8')}, {ema_sql('nb', 'close', 55, 'e55')}
   SELECT symbol, ts, {r('e8.v', 4)} AS ema_8, {r('e55.v', 4)} AS ema_55 FROM nb JOIN e8 USING (symbol, rn) JOIN e55 USING (symbol, rn)""")
 def _(spark, sf):
-    b = folds.ema(folds.ema(frames.bars(spark, sf), "close", 8), "close", 55)
+    b = folds.emas(frames.bars(spark, sf), "close", {"ema_8": 8, "ema_55": 55})
     return tidy(b.select("symbol", "ts", "ema_8", "ema_55"), 4)
 
 

@@ -254,14 +254,27 @@ def fitness(metrics, mode="day"):
     return metrics.withColumn("fitness", F.when(F.col("sharpe_ratio").isNull(), -50.0).otherwise(score))
 
 
-def strategy_metrics(equity, trades, mode="day", keys=("account",), initial=None):
-    """Curve and trade statistics of each strategy joined on its key, then the fitness."""
-    curve = perf_metrics(equity, "fast", keys=keys).join(max_drawdown(equity, keys).drop("max_drawdown_date"), list(keys))
-    ends = equity.groupBy(*keys).agg(F.min_by("value", "date").alias("_v0"), F.max_by("value", "date").alias("_v1"))
+def strategy_metrics(equity, trades, mode="day", keys=("account",), initial=None, rf=0.0434):
+    """Curve and trade statistics of each strategy joined on its key, then the fitness.
+
+    The fast Sharpe and Sortino, the drawdown and the return come from one window and one aggregate.
+    """
+    w = win.ordered(keys, ("date",))
+    d = equity.withColumns({
+        "_ex": safe_div("value", F.lag("value").over(w)) - 1 - rf / DAYS,
+        "_peak": F.max("value").over(win.so_far(keys, ("date",)))})
+    g = d.groupBy(*keys).agg(
+        F.count("_ex").alias("_n"), F.avg("_ex").alias("_m"), F.stddev_samp("_ex").alias("_s"),
+        F.coalesce(F.stddev_samp(F.when(F.col("_ex") < 0, F.col("_ex"))), F.lit(0.0)).alias("_neg"),
+        (F.min(safe_div(F.col("value") - F.col("_peak"), "_peak")) * 100).alias("max_drawdown"),
+        F.min_by("value", "date").alias("_v0"), F.max_by("value", "date").alias("_v1"))
+    root, enough = math.sqrt(DAYS), F.col("_n") >= 1
     first = F.lit(float(initial)) if initial else F.col("_v0")
-    ends = ends.select(*keys, ((F.col("_v1") - first) / first * 100).alias("total_return_pct"))
-    stats = strategy_trade_stats(trades, keys)
-    m = curve.join(ends, list(keys)).join(stats, list(keys), "left").fillna(0, ["num_trades", "win_rate", "profit_factor"])
+    sortino = F.when(F.col("_neg") > 1e-12, F.least(F.col("_m") / F.col("_neg") * root, F.lit(20.0))).when(F.col("_m") > 0, 20.0).otherwise(0.0)
+    curve = g.select(
+        *keys, F.when(enough, F.when(F.col("_s") > 1e-12, F.col("_m") / F.col("_s") * root).otherwise(0.0)).alias("sharpe_ratio"),
+        F.when(enough, sortino).alias("sortino_ratio"), "max_drawdown", ((F.col("_v1") - first) / first * 100).alias("total_return_pct"))
+    m = curve.join(strategy_trade_stats(trades, keys), list(keys), "left").fillna(0, ["num_trades", "win_rate", "profit_factor"])
     return fitness(m, mode)
 
 

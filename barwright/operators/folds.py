@@ -13,35 +13,63 @@ from barwright.functions.numeric import col, safe_div
 from barwright.operators.windows import KEYS, ORDER, ordered, so_far
 
 
-def decayed_sum(df, c, a, out, keys=KEYS, order=ORDER):
-    """Adds ``out`` = sum of a^(age in rows) * c; null inputs add nothing but still age."""
-    block = max(8, math.ceil(20 * math.log(10) / -math.log(a)))
-    df = df.withColumn("_i", F.row_number().over(ordered(keys, order)) - 1)
-    df = df.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_j", F.col("_i") % block)
-    scaled = F.coalesce(col(c), F.lit(0.0)) * F.pow(F.lit(a), -F.col("_j"))
+def _block(rates):
+    """Rows per block: old enough to be weightless at the slowest rate, short enough for the scale at the fastest."""
+    need = max(8, max(math.ceil(20 * math.log(10) / -math.log(a)) for a in rates))
+    room = min(math.floor(280 * math.log(10) / -math.log(a)) for a in rates)
+    return need if need <= room else None
+
+
+def decayed_sums(df, series, keys=KEYS, order=ORDER):
+    """Adds each ``out`` = sum of a^(age in rows) * c for ``series`` = {out: (c, a)}.
+
+    Null inputs add nothing but still age. Series share one numbering and two window passes;
+    rates too far apart for a common block are done in turn.
+    """
+    block = _block([a for _, a in series.values()])
+    if block is None:
+        for out, one in series.items():
+            df = decayed_sums(df, {out: one}, keys, order)
+        return df
+    whole = ordered(keys, order)
+    df = df.withColumn("_i", F.row_number().over(whole) - 1)
+    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
     in_block = so_far((*keys, "_b"), ("_j",))
-    df = df.withColumn("_local", F.sum(scaled).over(in_block) * F.pow(F.lit(a), F.col("_j")))
-    ends = F.when(F.col("_j") == block - 1, F.col("_local"))
-    before = ordered(keys, order).rowsBetween(-block, -1)
-    df = df.withColumn("_carry", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0.0)))
-    return df.withColumn(out, F.col("_local") + F.col("_carry") * F.pow(F.lit(a), F.col("_j") + 1)).drop(
-        "_i", "_b", "_j", "_local", "_carry")
+    df = df.withColumns({
+        f"_l_{out}": F.sum(F.coalesce(col(c), F.lit(0.0)) * F.pow(F.lit(a), -F.col("_j"))).over(in_block) * F.pow(F.lit(a), F.col("_j"))
+        for out, (c, a) in series.items()})
+    before = whole.rowsBetween(-block, -1)
+    end = F.col("_j") == block - 1
+    df = df.withColumns({f"_c_{out}": F.last(F.when(end, F.col(f"_l_{out}")), ignorenulls=True).over(before) for out in series})
+    df = df.withColumns({
+        out: F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0.0)) * F.pow(F.lit(a), F.col("_j") + 1) for out, (_, a) in series.items()})
+    return df.drop("_i", "_b", "_j", *[f"_{k}_{out}" for k in "lc" for out in series])
 
 
-def ema(df, c, n, out=None, keys=KEYS, order=ORDER):
-    """Recursive EMA seeded with the first value, k = 2/(n+1)."""
-    k = 2.0 / (n + 1)
+def emas(df, c, outs, keys=KEYS, order=ORDER):
+    """Recursive EMAs of one column seeded with the first value, k = 2/(n+1); ``outs`` = {name: n}."""
     first = F.row_number().over(ordered(keys, order)) == 1
-    df = df.withColumn("_x", F.when(first, col(c)).otherwise(col(c) * k))
-    return decayed_sum(df, "_x", 1 - k, out or f"ema_{n}", keys, order).drop("_x")
+    df = df.withColumn("_first", first)
+    df = df.withColumns({f"_x_{out}": F.when(F.col("_first"), col(c)).otherwise(col(c) * (2.0 / (n + 1))) for out, n in outs.items()})
+    df = decayed_sums(df, {out: (f"_x_{out}", 1 - 2.0 / (n + 1)) for out, n in outs.items()}, keys, order)
+    return df.drop("_first", *[f"_x_{out}" for out in outs])
+
+
+def ema(df, c, n, out=None, keys=KEYS, order=ORDER):
+    return emas(df, c, {out or f"ema_{n}": n}, keys, order)
 
 
-def ewm(df, c, n, out, keys=KEYS, order=ORDER):
-    """Bias-adjusted exponential mean; null before the first value, nulls age the weights."""
+def ewms(df, n, outs, keys=KEYS, order=ORDER):
+    """Bias-adjusted exponential means, ``outs`` = {name: column}; null before a column's first value,
+    nulls age the weights."""
     a = 1 - 2.0 / (n + 1)
-    df = df.withColumn("_w", F.when(col(c).isNotNull(), 1.0).otherwise(0.0))
-    df = decayed_sum(decayed_sum(df, c, a, "_num", keys, order), "_w", a, "_den", keys, order)
-    return df.withColumn(out, safe_div("_num", "_den")).drop("_w", "_num", "_den")
+    df = df.withColumns({f"_w_{out}": F.when(col(c).isNotNull(), 1.0).otherwise(0.0) for out, c in outs.items()})
+    series = {}
+    for out, c in outs.items():
+        series[f"_num_{out}"], series[f"_den_{out}"] = (c, a), (f"_w_{out}", a)
+    df = decayed_sums(df, series, keys, order)
+    df = df.withColumns({out: safe_div(f"_num_{out}", f"_den_{out}") for out in outs})
+    return df.drop(*series, *[f"_w_{out}" for out in outs])
 
 
 def adx(df, n=14):
@@ -49,28 +77,23 @@ def adx(df, n=14):
     w = ordered()
     before = F.lag("close").over(w)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    df = (
-        df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-        .withColumn("_pdm", F.when((up > down) & (up > 0), up).otherwise(0.0))
-        .withColumn("_mdm", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    )
-    for c in ("_tr", "_pdm", "_mdm"):
-        df = ewm(df, c, n, c + "_s")
-    df = df.withColumn("plus_di", 100 * safe_div("_pdm_s", "_tr_s")).withColumn("minus_di", 100 * safe_div("_mdm_s", "_tr_s"))
+    df = df.withColumns({
+        "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)),
+        "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    df = ewms(df, n, {c + "_s": c for c in ("_tr", "_pdm", "_mdm")})
+    df = df.withColumns({"plus_di": 100 * safe_div("_pdm_s", "_tr_s"), "minus_di": 100 * safe_div("_mdm_s", "_tr_s")})
     gap, total = F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")
-    df = ewm(df.withColumn("_dx", safe_div(100 * gap, total)), "_dx", n, "adx")
+    df = ewms(df.withColumn("_dx", safe_div(100 * gap, total)), n, {"adx": "_dx"})
     return df.drop("_tr", "_pdm", "_mdm", "_tr_s", "_pdm_s", "_mdm_s", "_dx")
 
 
 def macd(df, fast=12, slow=26, signal=7, keys=KEYS, order=ORDER):
     """Line, signal and histogram; null until slow+signal closes exist."""
-    df = ema(ema(df, "close", fast, "_f", keys, order), "close", slow, "_s", keys, order)
+    df = emas(df, "close", {"_f": fast, "_s": slow}, keys, order)
     df = df.withColumn("_line", F.col("_f") - F.col("_s"))
     df = ema(df, "_line", signal, "_sig", keys, order)
     ready = F.count("close").over(so_far(keys, order)) >= slow + signal
-    return (
-        df.withColumn("macd", F.when(ready, F.col("_line")))
-        .withColumn("macd_signal", F.when(ready, F.col("_sig")))
-        .withColumn("macd_hist", F.when(ready, F.col("_line") - F.col("_sig")))
-        .drop("_f", "_s", "_line", "_sig")
-    )
+    return df.withColumns({
+        "macd": F.when(ready, F.col("_line")), "macd_signal": F.when(ready, F.col("_sig")),
+        "macd_hist": F.when(ready, F.col("_line") - F.col("_sig"))}).drop("_f", "_s", "_line", "_sig")

@@ -76,8 +76,7 @@ def running_regime(bars, anchor, second):
         *[of(second, c).alias(f"_b_{c}") for c in ("day_open", "close")])
     slots = bars.select("session", "ts").distinct().join(at, ["session", "ts"], "left")
     w = W.partitionBy("session").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    for c in [c for c in slots.columns if c.startswith("_")]:
-        slots = slots.withColumn(c, F.last(c, ignorenulls=True).over(w))
+    slots = slots.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in slots.columns if c.startswith("_")})
     chg = safe_div(F.col("_a_close") - F.col("_a_day_open"), "_a_day_open") * 100
     rng = safe_div(F.col("_a_day_high") - F.col("_a_day_low"), "_a_day_open") * 100
     known = F.col("_a_close").isNotNull()

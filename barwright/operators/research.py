@@ -88,26 +88,26 @@ def day_signals(features, p=DAY, keep=("symbol", "session", "ts")):
         .when(rsi < get("rsi_neutral_low"), 60.0).when(rsi > get("rsi_neutral_high"), -60.0).otherwise(0.0))
     vw = F.least(F.lit(100.0), 60.0 + F.abs(dev) * 10.0)
     f = f.withColumn("_t", tiers)
-    f = f.withColumn("bull", F.greatest("_t", zero) * get("weight_rsi") + F.when(dev > get("vwap_near_band_pct"), get("weight_vwap") * vw).otherwise(0.0))
-    f = f.withColumn("bear", F.greatest(-F.col("_t"), zero) * get("weight_rsi") + F.when(dev < -get("vwap_near_band_pct"), get("weight_vwap") * vw).otherwise(0.0))
+    f = f.withColumns({
+        "bull": F.greatest("_t", zero) * get("weight_rsi") + F.when(dev > get("vwap_near_band_pct"), get("weight_vwap") * vw).otherwise(0.0),
+        "bear": F.greatest(-F.col("_t"), zero) * get("weight_rsi") + F.when(dev < -get("vwap_near_band_pct"), get("weight_vwap") * vw).otherwise(0.0)})
     vs = F.when(vol >= get("volume_strong_ratio"), 100.0).when(vol >= get("volume_confirm_ratio"), 70.0).when(vol >= 0.80, 40.0).when(vol.isNotNull(), 10.0).otherwise(0.0)
-    f = f.withColumn("_lead", F.col("bull") >= F.col("bear"))
-    f = f.withColumn("bull", F.col("bull") + F.when(F.col("_lead"), get("weight_volume") * vs).otherwise(0.0))
-    f = f.withColumn("bear", F.col("bear") + F.when(~F.col("_lead"), get("weight_volume") * vs).otherwise(0.0))
-    macd = get("weight_macd") * 80.0
-    f = f.withColumn("bull", F.col("bull") + F.when((F.col("macd_hist") > 0) & (F.col("macd") > 0), macd).otherwise(0.0))
-    f = f.withColumn("bear", F.col("bear") + F.when((F.col("macd_hist") < 0) & (F.col("macd") < 0), macd).otherwise(0.0))
+    lead, add, macd = F.col("bull") >= F.col("bear"), get("weight_volume") * vs, get("weight_macd") * 80.0
+    f = f.withColumns({
+        "bull": F.col("bull") + F.when(lead, add).otherwise(0.0) + F.when((F.col("macd_hist") > 0) & (F.col("macd") > 0), macd).otherwise(0.0),
+        "bear": F.col("bear") + F.when(~lead, add).otherwise(0.0) + F.when((F.col("macd_hist") < 0) & (F.col("macd") < 0), macd).otherwise(0.0)})
 
     def boost(f, up, down, k):
-        lead, lag_ = F.col("bull") > F.col("bear"), F.col("bear") > F.col("bull")
-        f = f.withColumn("_u", F.when(up & lead, k).otherwise(1.0)).withColumn("_d", F.when(down & lag_, k).otherwise(1.0))
-        return f.withColumn("bull", F.col("bull") * F.col("_u")).withColumn("bear", F.col("bear") * F.col("_d"))
+        return f.withColumns({
+            "bull": F.col("bull") * F.when(up & (F.col("bull") > F.col("bear")), k).otherwise(1.0),
+            "bear": F.col("bear") * F.when(down & (F.col("bear") > F.col("bull")), k).otherwise(1.0)})
 
     f = boost(f, F.col("regime") == "trending_up", F.col("regime") == "trending_down", 1.10)
     flat = F.col("regime") == "range_bound"
     cheap, dear = flat & (rsi < get("rsi_moderate_oversold")), flat & (rsi > get("rsi_overbought"))
-    f = f.withColumn("bull", F.col("bull") * F.when(cheap, 1.15).otherwise(1.0)).withColumn(
-        "bear", F.col("bear") * F.when(dear & ~F.coalesce(cheap, F.lit(False)), 1.15).otherwise(1.0))
+    f = f.withColumns({
+        "bull": F.col("bull") * F.when(cheap, 1.15).otherwise(1.0),
+        "bear": F.col("bear") * F.when(dear & ~F.coalesce(cheap, F.lit(False)), 1.15).otherwise(1.0)})
     for c in ("spy_change_pct", "qqq_change_pct"):
         f = boost(f, F.col(c) > 0.4, F.col(c) < -0.4, 1.05)
     mult = F.when(F.col("regime") == "volatile", get("volatile_multiplier")).when(F.col("regime") == "unknown", get("unknown_multiplier")).otherwise(1.0)

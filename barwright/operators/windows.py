@@ -33,6 +33,8 @@ def rolling(agg, c, n, keys=KEYS, order=ORDER):
 
 
 def returns(df, keys=KEYS, order=ORDER, out="ret"):
+    if out in df.columns:
+        return df
     prev = F.lag("close").over(ordered(keys, order))
     return df.withColumn(out, safe_div("close", prev) - 1)
 
@@ -53,7 +55,7 @@ def zscore(df, n=50, out="zscore"):
 
 def bollinger(df, n=20, k=2.0):
     mid, sd = rolling(F.avg, "close", n), rolling(F.stddev_samp, "close", n)
-    df = df.withColumn("bb_upper", mid + sd * k).withColumn("bb_lower", mid - sd * k)
+    df = df.withColumns({"bb_upper": mid + sd * k, "bb_lower": mid - sd * k})
     return df.withColumn("pct_b", safe_div(F.col("close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")))
 
 
@@ -65,17 +67,16 @@ def rsi(df, n=14, variant="rolling", out=None, keys=KEYS, order=ORDER, eps=0.0):
     """
     move = F.col("close") - F.lag("close").over(ordered(keys, order))
     df = df.withColumn("_move", F.coalesce(move, F.lit(0.0)) if variant == "rolling" else move)
-    df = df.withColumn("_up", F.greatest("_move", F.lit(0.0))).withColumn("_down", F.greatest(-F.col("_move"), F.lit(0.0)))
     # greatest() skips nulls: keep the first strict move unknown
-    up = F.when(F.col("_move").isNotNull(), F.col("_up"))
-    down = F.when(F.col("_move").isNotNull(), F.col("_down"))
+    up = F.when(F.col("_move").isNotNull(), F.greatest("_move", F.lit(0.0)))
+    down = F.when(F.col("_move").isNotNull(), F.greatest(-F.col("_move"), F.lit(0.0)))
     gain, loss = rolling(F.avg, up, n, keys, order), rolling(F.avg, down, n, keys, order)
     index = 100 - 100 / (1 + safe_div(gain, loss))
     if variant == "rolling":
         value = F.when((loss == 0) & (gain > 0), F.lit(100.0)).otherwise(index)
     else:
         value = F.when(gain.isNull(), None).when(loss <= eps, F.lit(100.0)).otherwise(F.bround(index, 2))
-    return df.withColumn(out or f"rsi_{n}", value).drop("_move", "_up", "_down")
+    return df.withColumn(out or f"rsi_{n}", value).drop("_move")
 
 
 def true_range(df, out="tr"):
@@ -90,26 +91,26 @@ def atr(df, n=14):
 
 
 def momentum(df):
-    df = returns(df)
-    for name, n in (("mom_1m", 21), ("mom_3m", 63), ("mom_6m", 126)):
-        df = df.withColumn(name, rolling(F.sum, "ret", n))
-    df = df.withColumn("volume_momentum", safe_div("volume", rolling(F.avg, "volume", 21)))
+    df = returns(df).withColumns({
+        "mom_1m": rolling(F.sum, "ret", 21), "mom_3m": rolling(F.sum, "ret", 63), "mom_6m": rolling(F.sum, "ret", 126),
+        "volume_momentum": safe_div("volume", rolling(F.avg, "volume", 21))})
     return df.withColumn("momentum_score", 0.4 * F.col("mom_1m") + 0.3 * F.col("mom_3m") + 0.3 * F.col("mom_6m"))
 
 
 def vol_regime(df):
     df = returns(df).withColumn("hist_vol", rolling(F.stddev_samp, "ret", 21) * math.sqrt(252))
     mean = rolling(F.avg, "hist_vol", 63)
-    return df.withColumn("vol_regime", safe_div("hist_vol", mean)).withColumn(
-        "vol_z", safe_div(F.col("hist_vol") - mean, rolling(F.stddev_samp, "hist_vol", 63)))
+    return df.withColumns({
+        "vol_regime": safe_div("hist_vol", mean),
+        "vol_z": safe_div(F.col("hist_vol") - mean, rolling(F.stddev_samp, "hist_vol", 63))})
 
 
 def rolling_moments(df, n=63):
     """Bias-corrected sample skewness and excess kurtosis of returns over n bars."""
     df = returns(df)
     g1, g2 = rolling(F.skewness, "ret", n), rolling(F.kurtosis, "ret", n)
-    df = df.withColumn("skew", g1 * (math.sqrt(n * (n - 1)) / (n - 2)))
-    return df.withColumn("kurt", ((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3))))
+    return df.withColumns({
+        "skew": g1 * (math.sqrt(n * (n - 1)) / (n - 2)), "kurt": ((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3)))})
 
 
 def roc(df, n=10, out=None):
@@ -141,15 +142,11 @@ def session_running(df, avg_volume=None):
     keys = ("symbol", "session")
     w = so_far(keys)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    df = (
-        df.withColumn("bars_so_far", F.count(F.lit(1)).over(w))
-        .withColumn("day_open", F.first("open").over(w))
-        .withColumn("day_high", F.max("high").over(w))
-        .withColumn("day_low", F.min("low").over(w))
-        .withColumn("cum_volume", F.sum("volume").over(w))
-    )
-    pv = F.sum(typical * F.col("volume")).over(w)
-    df = df.withColumn("vwap", F.when(F.col("cum_volume") >= 1, safe_div(pv, "cum_volume")))
+    volume = F.sum("volume").over(w)
+    df = df.withColumns({
+        "bars_so_far": F.count(F.lit(1)).over(w), "day_open": F.first("open").over(w), "day_high": F.max("high").over(w),
+        "day_low": F.min("low").over(w), "cum_volume": volume,
+        "vwap": F.when(volume >= 1, safe_div(F.sum(typical * F.col("volume")).over(w), volume))})
     df = df.withColumn("price_vs_vwap_pct", F.when(F.col("vwap") > 0, safe_div(F.col("close") - F.col("vwap"), "vwap") * 100))
     if avg_volume:
         df = df.withColumn("cum_volume_ratio", F.when(F.col(avg_volume) > 0, safe_div("cum_volume", avg_volume)))
@@ -163,18 +160,28 @@ def regime_of(range_pct, change_pct):
     )
 
 
-def hurst(df, max_lag=20):
-    """Slope of ln sqrt(std of k-bar differences) on ln k, k = 2..max_lag-1, per symbol.
+LAGS = range(2, 20)
 
-    The lags are fixed, so the regression is a fixed linear combination of ln(tau).
-    """
-    lags = range(2, max_lag)
-    for k in lags:
-        df = df.withColumn(f"_d{k}", F.col("close") - F.lag("close", k).over(ordered()))
-    tau = df.groupBy("symbol").agg(
-        F.count("close").alias("n"), *[F.sqrt(F.stddev_pop(f"_d{k}")).alias(f"_t{k}") for k in lags])
+
+def hurst_moves(df, lags=LAGS):
+    """The k-bar differences a Hurst estimate is made of."""
+    return df.withColumns({f"_d{k}": F.col("close") - F.lag("close", k).over(ordered()) for k in lags})
+
+
+def hurst_aggs(lags=LAGS):
+    return [F.count("close").alias("_n"), *[F.sqrt(F.stddev_pop(f"_d{k}")).alias(f"_t{k}") for k in lags]]
+
+
+def hurst_value(lags=LAGS):
+    """Slope of ln sqrt(std of k-bar differences) on ln k: the lags are fixed, so the regression is a
+    fixed linear combination of ln(tau); 0.5 without enough history."""
     xs = [math.log(k) for k in lags]
     mean = sum(xs) / len(xs)
     sxx = sum((x - mean) ** 2 for x in xs)
     slope = sum((F.lit((x - mean) / sxx) * F.log(F.greatest(F.col(f"_t{k}"), F.lit(1e-8))) for k, x in zip(lags, xs)), F.lit(0.0))
-    return tau.select("symbol", F.when(F.col("n") > max_lag, slope).otherwise(F.lit(0.5)).alias("hurst"))
+    return F.when(F.col("_n") > max(lags) + 1, slope).otherwise(F.lit(0.5))
+
+
+def hurst(df, lags=LAGS):
+    """Hurst exponent per symbol over its whole history."""
+    return hurst_moves(df, lags).groupBy("symbol").agg(*hurst_aggs(lags)).select("symbol", hurst_value(lags).alias("hurst"))

@@ -112,13 +112,11 @@ def technical_signals(bars):
 
     One shuffle and sort by symbol serves every indicator; only the last row survives.
     """
-    b = bars
-    for n in (8, 21, 55):
-        b = folds.ema(b, "close", n)
+    b = folds.emas(bars, "close", {"ema_8": 8, "ema_21": 21, "ema_55": 55})
     b = win.atr(win.bollinger(win.zscore(folds.adx(b))))
-    b = win.rolling_moments(win.vol_regime(win.momentum(b)))
+    b = win.hurst_moves(win.rolling_moments(win.vol_regime(win.momentum(b))))
     cols = ["ema_8", "ema_21", "ema_55", "adx", "zscore", "pct_b", "momentum_score", "volume_momentum", "vol_regime", "vol_z", "skew"]
-    last = b.groupBy("symbol").agg(F.max_by(F.struct(*cols), "ts").alias("l")).select("symbol", "l.*").join(win.hurst(bars), "symbol")
+    last = b.groupBy("symbol").agg(F.max_by(F.struct(*cols), "ts").alias("l"), *win.hurst_aggs()).select("symbol", "l.*", win.hurst_value().alias("hurst"))
     one = F.lit(1.0)
     s, m = F.col("ema_8") > F.col("ema_21"), F.col("ema_21") > F.col("ema_55")
     z, mom, vz, h = F.col("zscore"), F.col("momentum_score"), F.col("vol_z"), F.col("hurst")
