@@ -169,10 +169,9 @@ def journal(spark, sf):
 
 def signals(spark, sf):
     """Analyst signals per day and event type, from event values."""
-    return ticks(spark, sf).join(
-        table(spark, sf, "events").select("event_id", "user_id"), "event_id"
-    ).select(
-        F.to_date("ts").alias("date"), F.concat(F.lit("analyst"), F.col("user_id") % 10).alias("analyst"), "symbol",
+    e = table(spark, sf, "events").withColumn("size", F.regexp_extract("props", r"(\d+)", 1).cast("long"))
+    return e.select(
+        F.to_date("ts").alias("date"), F.concat(F.lit("analyst"), F.col("user_id") % 10).alias("analyst"), F.col("event_type").alias("symbol"),
         F.when(F.col("value") > 60, "bullish").when(F.col("value") < 20, "bearish").otherwise("neutral").alias("signal"),
         F.when(F.col("size") > 4, F.col("size").cast("double")).alias("confidence"), "event_id",
     )
