@@ -254,7 +254,7 @@ def segment_positions(spark, sf):
 
 
 LIM = f"""lim AS (SELECT account, symbol, long, short, price AS current_price, cash, tv, {VL} * {CM} AS pct,
-  least(tv * {VL} * {CM} - abs((long - short) * price), cash) AS rem FROM sp JOIN vols USING (symbol) JOIN ctx USING (symbol) JOIN tv USING (account))"""
+  least(tv * {VL} * {CM} - abs((long - short) * price), cash) AS rem FROM sp JOIN vols USING (symbol) LEFT JOIN ctx USING (symbol) JOIN tv USING (account))"""
 
 
 def limits(spark, sf):

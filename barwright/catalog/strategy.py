@@ -27,7 +27,7 @@ MARKET = f"""slots AS (SELECT DISTINCT session, ts FROM bars5),
   market AS (SELECT session, ts, CASE WHEN ac IS NULL THEN 'unknown' ELSE {regime_case('rng', 'spy')} END AS regime, spy, qqq FROM mk)"""
 
 
-@query("w16_session_running", f"""WITH {BARS5}, {CTX}, {RUNNING} SELECT symbol, session, ts, {r('day_open')} AS day_open, {r('day_high')} AS day_high, {r('day_low')} AS day_low, CAST(cumv AS BIGINT) AS cum_volume, {r('vwap', 4)} AS vwap,
+@query("w16_session_running", f"""WITH {BARS5}, {CTX}, {RUNNING} SELECT symbol, session, ts, {r('day_open', 7)} AS day_open, {r('day_high', 7)} AS day_high, {r('day_low', 7)} AS day_low, CAST(cumv AS BIGINT) AS cum_volume, {r('vwap', 7)} AS vwap,
   {r('CASE WHEN vwap > 0 THEN (close - vwap) / vwap * 100 END', 4)} AS price_vs_vwap_pct, {r('CASE WHEN avg20 > 0 THEN cumv / avg20 END', 4)} AS cum_volume_ratio
   FROM run2 LEFT JOIN dctx USING (symbol, session)""")
 def _(spark, sf):
@@ -36,10 +36,9 @@ def _(spark, sf):
     d = joins.daily_context(session_summary(b).select("symbol", F.col("session").alias("ts"), "close", "volume"))
     b = b.join(d.select("symbol", F.col("ts").alias("session"), "avg_volume_20d"), ["symbol", "session"], "left")
     b = win.session_running(b, "avg_volume_20d")
-    for c in ("vwap", "price_vs_vwap_pct", "cum_volume_ratio"):
-        b = b.withColumn(c, F.round(c, 4))
+    b = b.withColumns({"price_vs_vwap_pct": F.round("price_vs_vwap_pct", 4), "cum_volume_ratio": F.round("cum_volume_ratio", 4)})
     return tidy(b.select(
-        "symbol", "session", "ts", "day_open", "day_high", "day_low", "cum_volume", "vwap", "price_vs_vwap_pct", "cum_volume_ratio"))
+        "symbol", "session", "ts", "day_open", "day_high", "day_low", "cum_volume", "vwap", "price_vs_vwap_pct", "cum_volume_ratio"), 7)
 
 
 @query("w17_running_regime", f"WITH {BARS5}, {RUNNING}, {MARKET} SELECT session, ts, regime, {r('spy')} AS spy_change_pct, {r('qqq')} AS qqq_change_pct FROM market")
