@@ -321,8 +321,8 @@ def coerce_bars(df):
 
 
 def between_dates(df, a, b, on="ts"):
-    """Inclusive date range; on parquet it reaches the scan."""
-    return df.filter(F.col(on).between(F.lit(a).cast("date"), F.lit(b).cast("date")))
+    """Inclusive date range, the whole of the last day for timestamps; on parquet it reaches the scan."""
+    return df.filter((F.col(on) >= F.lit(a).cast("date")) & (F.col(on) < F.date_add(F.lit(b).cast("date"), 1)))
 
 
 def company_facts(info, registry):
