@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and, where SQL can express them, their counterparts."""
 
-from barwright.llm import mixing, quality, sharding
+from barwright.llm import minhash, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op7_fingerprints": minhash.query,
     "op8_quality_rules": quality.query,
+    "op9_packing": packing.query,
+    "op10_simhash": simhash.query,
 }
 
 ORACLES = {}
