@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and, where SQL can express them, their counterparts."""
 
-from barwright.llm import minhash, mixing, packing, quality, sharding, simhash
+from barwright.llm import minhash, mixing, packing, private, quality, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op6_private_data": private.query,
     "op7_fingerprints": minhash.query,
     "op8_quality_rules": quality.query,
     "op9_packing": packing.query,
