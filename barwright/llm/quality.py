@@ -18,6 +18,8 @@ from barwright.llm.common import let, settle, text_of, windows_of, words
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 12
+#: A rule is right on at least so many of the good documents that it votes on.
+LEAST_RIGHT = 0.97
 
 
 def covered(ws):
@@ -50,6 +52,7 @@ def measures(docs):
             (F.char_length(j) - F.char_length(F.regexp_replace(j, r"[#*$%&|<>]", ""))).cast("long").alias("symbols"),
             covered(ws).cast("long").alias("repeated"),
             F.size(F.array_distinct(ws)).cast("long").alias("distinct"),
+            F.char_length(F.regexp_replace(j, r"[^\p{L}\p{M}]+", "")).cast("long").alias("letter_chars"),
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("lettered"),
             F.size(F.filter(ws, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.char_length(w) > 2))).cast("long").alias("upper"),
             (F.char_length(j) - F.char_length(F.replace(j, F.lit("!"), F.lit("")))).cast("long").alias("shouts")))
@@ -65,16 +68,18 @@ def base_failed():
 def rules():
     """name -> (bad when, good when); a rule abstains where neither holds."""
     n = F.greatest(F.col("_quality.words"), F.lit(1))
+    long_enough = F.col("_quality.words") >= 30
     share = lambda c: F.col(f"_quality.{c}") / n
     lines = F.col("_lines.dup") / F.greatest(F.col("_lines.all"), F.lit(1))
     return {
         "length": (F.col("_quality.words") < 10, F.col("_quality.words") >= 50),
         "word_length": ((share("chars") < 2.5) | (share("chars") > 9), share("chars").between(3.5, 7)),
         "symbols": (share("symbols") > 0.1, share("symbols") <= 0.02),
-        "dup_lines": (lines > 0.3, (lines <= 0.05) & (F.col("_lines.all") >= 3)),
+        "dup_lines": ((lines > 0.4) & (F.col("_lines.all") >= 4), (lines <= 0.05) & (F.col("_lines.all") >= 3)),
         "repeats": (share("repeated") > 0.2, share("repeated") <= 0.05),
         "upper": (share("upper") > 0.2, share("upper") <= 0.1),
-        "letters": (share("lettered") < 0.8, share("lettered") >= 0.95),
+        "letters": (long_enough & (share("lettered") < 0.8), share("lettered") >= 0.95),
+        "letter_chars": (long_enough & (F.col("_quality.letter_chars") < 0.75 * F.col("_quality.chars")), F.col("_quality.letter_chars") >= 0.85 * F.col("_quality.chars")),
         "shouts": (share("shouts") > 0.2, share("shouts") <= 0.05),
         "variety": (share("distinct") < 0.1, (share("distinct") > 0.4) & (F.col("_quality.words") >= 50)),
     }
@@ -98,9 +103,11 @@ def posterior_log_odds(vote, names, prior, right_good, right_bad):
 def fit(patterns, names, rounds=ROUNDS):
     """Prior and rule accuracies (right on good documents, right on bad ones) from patterns(names..., n).
 
-    Each round is one aggregate over the pattern table and returns one row.
+    Each round is one aggregate over the pattern table and returns one row. The rules are written to spare good
+    documents, each after one kind of bad ones: the start says so (a bad vote is rare on good documents, a
+    good vote common on either), and LEAST_RIGHT holds it.
     """
-    prior, right_good, right_bad = 0.8, dict.fromkeys(names, 0.9), dict.fromkeys(names, 0.7)
+    prior, right_good, right_bad = 0.8, dict.fromkeys(names, 0.995), dict.fromkeys(names, 0.2)
     for _ in range(rounds):
         p = F.lit(1.0) / (1 + F.exp(-posterior_log_odds(F.col, names, prior, right_good, right_bad)))
         q = patterns.withColumn("_g", p * F.col("n")).withColumn("_b", (1 - p) * F.col("n"))
@@ -110,9 +117,9 @@ def fit(patterns, names, rounds=ROUNDS):
             break
         prior = min(max((row["g"] + 1) / (row["n"] + 2), 0.5), 0.999)
         for r in names:
-            good = (row[f"_g{r}1"] + 9) / (row[f"_g{r}1"] + row[f"_g{r}-1"] + 10)
-            bad = (row[f"_b{r}-1"] + 7) / (row[f"_b{r}1"] + row[f"_b{r}-1"] + 10)
-            right_good[r] = min(max(good, 0.5), 0.999)
+            good = (row[f"_g{r}1"] + 10) / (row[f"_g{r}1"] + row[f"_g{r}-1"] + 10.05)
+            bad = (row[f"_b{r}-1"] + 2) / (row[f"_b{r}1"] + row[f"_b{r}-1"] + 10)
+            right_good[r] = min(max(good, LEAST_RIGHT), 0.999)
             right_bad[r] = min(max(bad, 1 - right_good[r]), 0.999)
     return prior, right_good, right_bad
 
