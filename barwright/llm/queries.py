@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and, where SQL can express them, their counterparts."""
 
-from barwright.llm import minhash, mixing, packing, private, quality, sharding, simhash
+from barwright.llm import chat, minhash, mixing, ordering, packing, private, quality, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_mixing": mixing.query,
+    "op4_preferences": chat.query,
+    "op5_training_order": ordering.query,
     "op6_private_data": private.query,
     "op7_fingerprints": minhash.query,
     "op8_quality_rules": quality.query,
@@ -12,4 +14,4 @@ QUERIES = {
     "op10_simhash": simhash.query,
 }
 
-ORACLES = {}
+ORACLES = {"op4_preferences": chat.SQL}
