@@ -39,9 +39,9 @@ def _(spark, sf):
     return tidy(aggs.benchmark_return(frames.bars(spark, sf), "1996-01-01", "2000-12-31"))
 
 
-PACK = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars),
+PACK = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, ts >= max(ts) OVER (PARTITION BY symbol) - 90 AS q FROM bars),
   pack AS (SELECT symbol, max(close) FILTER (rn = 1) AS c1, max(close) FILTER (rn = 2) AS c2, max(close) FILTER (rn = 5) AS c5,
-    max(close) FILTER (rn = 30) AS c30, arg_min(close, ts) AS c0, max(high) AS high_90d, min(low) AS low_90d,
+    max(close) FILTER (rn = 30) AS c30, arg_min(close, ts) FILTER (q) AS c0, max(high) FILTER (q) AS high_90d, min(low) FILTER (q) AS low_90d,
     avg(volume) FILTER (rn <= 10) AS v10, max(volume) FILTER (rn = 1) AS volume FROM ranked GROUP BY 1)"""
 
 

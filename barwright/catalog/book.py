@@ -42,9 +42,9 @@ def _(spark, sf):
     return tidy(v.select("account", "symbol", "long_value", "short_value"), 2)
 
 
-@query("a08_portfolio_value", f"""WITH {ACCOUNTS}, {SPLIT} SELECT a.account, {r('any_value(cash)', 2)} AS cash_balance, {r('sum(lv - sv)', 2)} AS total_position_value,
-  {r('any_value(cash) + sum(lv - sv)', 2)} AS total_value, {r('((any_value(cash) + sum(lv - sv)) / 1e7 - 1) * 100', 4)} AS return_pct
-  FROM accounts a JOIN val USING (account) GROUP BY 1""")
+@query("a08_portfolio_value", f"""WITH {ACCOUNTS}, {SPLIT} SELECT a.account, {r('any_value(cash)', 2)} AS cash_balance, {r('coalesce(sum(lv - sv), 0)', 2)} AS total_position_value,
+  {r('any_value(cash) + coalesce(sum(lv - sv), 0)', 2)} AS total_value, {r('((any_value(cash) + coalesce(sum(lv - sv), 0)) / 1e7 - 1) * 100', 4)} AS return_pct
+  FROM accounts a LEFT JOIN val USING (account) GROUP BY 1""")
 def _(spark, sf):
     v = portfolio.value_positions(split(spark, sf), frames.marks(spark, sf))
     s = portfolio.portfolio_summary(portfolio.portfolio_value(v, frames.accounts(spark, sf)), 1e7)
@@ -265,16 +265,15 @@ def limits(spark, sf):
 
 
 @query("d01_risk_limits", f"""WITH {BARS}, {VOLS}, {CORR}, {CTX}, {SEGPOS}, {LIM} SELECT account, symbol, {r('current_price', 4)} AS current_price, {r('pct', 4)} AS limit_pct,
-  {r('rem', 2)} AS remaining_position_limit FROM lim""")
+  {r('rem', 4)} AS remaining_position_limit FROM lim""")
 def _(spark, sf):
-    x = limits(spark, sf)[2]
-    return tidy(x.withColumn("remaining_position_limit", F.round("remaining_position_limit", 2)), 4)
+    return tidy(limits(spark, sf)[2], 4)
 
 
 ALLOW = f"""WITH {BARS}, {VOLS}, {CORR}, {CTX}, {SEGPOS}, {LIM},
-  m AS (SELECT *, CAST(CASE WHEN current_price > 0 THEN floor(rem / current_price) ELSE 0 END AS BIGINT) AS ms FROM lim),
-  q AS (SELECT *, CASE WHEN cash > 0 AND current_price > 0 THEN greatest(0, least(ms, CAST(floor(cash / current_price) AS BIGINT))) ELSE 0 END AS buy,
-        CASE WHEN current_price > 0 AND ms > 0 THEN greatest(0, least(ms, CAST(floor(greatest(0, tv / 0.5 - 0) / current_price) AS BIGINT))) ELSE 0 END AS sh FROM m)"""
+  m AS (SELECT *, CAST(CASE WHEN current_price > 0 THEN floor(round(rem / current_price, 9)) ELSE 0 END AS BIGINT) AS ms FROM lim),
+  q AS (SELECT *, CASE WHEN cash > 0 AND current_price > 0 THEN greatest(0, least(ms, CAST(floor(round(cash / current_price, 9)) AS BIGINT))) ELSE 0 END AS buy,
+        CASE WHEN current_price > 0 AND ms > 0 THEN greatest(0, least(ms, CAST(floor(round(greatest(0, tv / 0.5 - 0) / current_price, 9)) AS BIGINT))) ELSE 0 END AS sh FROM m)"""
 
 
 @query("d02_allowed_actions", f"""{ALLOW} SELECT account, symbol, CASE WHEN buy > 0 THEN buy END AS buy, CASE WHEN long > 0 THEN long END AS sell,
@@ -285,21 +284,19 @@ def _(spark, sf):
     tv = p.join(lim.select("account", "symbol", "current_price"), ["account", "symbol"]).groupBy("account").agg(
         F.sum((F.col("long") - F.col("short")) * F.col("current_price")).alias("h"))
     f = f.join(a.join(tv, "account").withColumn("equity", F.col("cash") + F.col("h")), "account")
-    f = f.withColumn("max_shares", F.floor(F.col("remaining_position_limit") / F.col("current_price")))
+    f = f.withColumn("max_shares", risk.whole_shares(F.col("remaining_position_limit"), F.col("current_price")))
     f = risk.allowed_actions(f.withColumn("margin_requirement", F.lit(0.5)).withColumn("margin_used", F.lit(0.0)))
     return tidy(f.select("account", "symbol", *[F.try_element_at("allowed", F.lit(k)).alias(k) for k in ("buy", "sell", "short", "cover", "hold")]))
 
 
 @query("j12_decision_frame", f"""WITH {BARS}, {VOLS}, {CORR}, {CTX}, {SEGPOS}, {LIM},
   sg AS (SELECT o_orderkey AS id, o_custkey % 25 AS account, c_mktsegment AS symbol FROM orders JOIN customer ON o_custkey = c_custkey)
-  SELECT id, symbol, {r('coalesce(current_price, 0)', 4)} AS current_price, {r('coalesce(rem, 0)', 2)} AS remaining_position_limit,
-  CAST(coalesce(CASE WHEN current_price > 0 THEN floor(rem / current_price) ELSE 0 END, 0) AS BIGINT) AS max_shares FROM sg LEFT JOIN (SELECT * FROM lim WHERE account = 3) l USING (symbol)""")
+  SELECT id, account, symbol, {r('coalesce(current_price, 0)', 4)} AS current_price, {r('coalesce(rem, 0)', 4)} AS remaining_position_limit,
+  CAST(coalesce(CASE WHEN current_price > 0 THEN floor(round(rem / current_price, 9)) ELSE 0 END, 0) AS BIGINT) AS max_shares FROM sg LEFT JOIN lim USING (account, symbol)""")
 def _(spark, sf):
     o, c = frames.table(spark, sf, "orders"), frames.table(spark, sf, "customer")
-    sig = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("symbol"))
-    lim = limits(spark, sf)[2].filter(F.col("account") == 3).drop("account", "limit_pct")
-    d = risk.decision_frame(sig, lim)
-    return tidy(d.withColumn("remaining_position_limit", F.round("remaining_position_limit", 2)), 4)
+    sig = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("account"), F.col("c_mktsegment").alias("symbol"))
+    return tidy(risk.decision_frame(sig, limits(spark, sf)[2].drop("limit_pct")), 4)
 
 
 # -- rules ------------------------------------------------------------------------------

@@ -4,12 +4,11 @@ from pyspark.sql import functions as F
 
 from barwright.catalog.indicators import ADX, BARS, NUM, RET, W_, _lags, ema_sql, roll
 from barwright.catalog.registry import he, query, r, rcols, tidy
-from barwright.catalog.sqlframes import BRAND_BARS, BRAND_NEWS, INSIDER, PANEL, SIGNALS, profile
+from barwright.catalog.sqlframes import AS_OF, BRAND_BARS, BRAND_NEWS_AT, BRAND_NEWS_YEAR, INSIDER, INSIDER_AT, INSIDER_YEAR, PANEL, SIGNALS, profile
 from barwright.operators import aggs, joins, panel as P
 from barwright.plans import screens, valuation
 from barwright.sources import frames, universe
 
-AS_OF = "2001-09-30"
 
 
 def pan(spark, sf):
@@ -219,7 +218,7 @@ def _(spark, sf):
     return tidy(screens.screen_fundamentals(pan(spark, sf), AS_OF))
 
 
-@query("k02_growth", f"""{PROF[12]}, {INSIDER}, f AS (SELECT symbol, coalesce((buy_value - sell_value) / nullif(buy_value + sell_value, 0), 0) AS nf FROM flow),
+@query("k02_growth", f"""{PROF[12]}, {INSIDER_AT}, f AS (SELECT symbol, coalesce((buy_value - sell_value) / nullif(buy_value + sell_value, 0), 0) AS nf FROM flow),
   s AS (SELECT symbol, least({case('revenue_growth_0', [(0.2, 0.4), (0.1, 0.2)])} + {fl('revenue_growth_0 IS NOT NULL AND ' + L['slope']('revenue_growth') + ' > 0', 0.1)}
       + {case('earnings_per_share_growth_0', [(0.2, 0.25), (0.1, 0.1)])} + {fl('earnings_per_share_growth_0 IS NOT NULL AND ' + L['slope']('earnings_per_share_growth') + ' > 0', 0.05)} + {fl('free_cash_flow_growth_0 > 0.15', 0.1)}, 1) AS growth,
     least({case('peg_ratio_0', [(1, 0.5), (2, 0.25)], op='<')} + {case('price_to_sales_ratio_0', [(2, 0.5), (5, 0.25)], op='<')}, 1) AS valuation,
@@ -232,12 +231,12 @@ def _(spark, sf):
     return tidy(screens.screen_growth(pan(spark, sf), frames.insider(spark, sf), AS_OF).drop("max_score", "confidence"), 4)
 
 
-@query("k03_sentiment", f"""WITH {INSIDER}, {BRAND_NEWS}, i AS (SELECT symbol, count(*) FILTER (transaction_shares >= 0) AS ib, count(*) FILTER (transaction_shares < 0) AS isell, count(transaction_shares) AS inn FROM insider GROUP BY 1),
+@query("k03_sentiment", f"""WITH {INSIDER_AT}, {BRAND_NEWS_AT}, i AS (SELECT symbol, count(*) FILTER (transaction_shares >= 0) AS ib, count(*) FILTER (transaction_shares < 0) AS isell, count(transaction_shares) AS inn FROM insider GROUP BY 1),
   n AS (SELECT symbol, count(*) FILTER (sentiment = 'positive') AS nb, count(*) FILTER (sentiment = 'negative') AS ns, count(sentiment) AS nn FROM brand_news GROUP BY 1),
   j AS (SELECT symbol, coalesce(ib, 0) * 0.3 + coalesce(nb, 0) * 0.7 AS bu, coalesce(isell, 0) * 0.3 + coalesce(ns, 0) * 0.7 AS be, coalesce(inn, 0) * 0.3 + coalesce(nn, 0) * 0.7 AS tot FROM i FULL JOIN n USING (symbol))
   SELECT symbol, {r('bu', 4)} AS bullish_weight, {r('be', 4)} AS bearish_weight, CASE WHEN bu > be THEN 'bullish' WHEN be > bu THEN 'bearish' ELSE 'neutral' END AS signal, {r('greatest(bu, be) / nullif(tot, 0) * 100', 4)} AS confidence FROM j""")
 def _(spark, sf):
-    return tidy(screens.screen_sentiment(frames.insider(spark, sf), frames.brand_news(spark, sf)), 4)
+    return tidy(screens.screen_sentiment(frames.insider(spark, sf), frames.brand_news(spark, sf), AS_OF), 4)
 
 
 def _trim(x, n=63):
@@ -352,7 +351,7 @@ K11 = {
 NEG = "ng AS (SELECT symbol, count(*) FILTER (sentiment = 'negative') AS neg FROM brand_news GROUP BY 1)"
 
 
-@query("k11_burry", screen_sql(f"{PROF[5]}, {INSIDER}, {BRAND_NEWS}, {NEG}", K11, top=12, source="prof LEFT JOIN flow USING (symbol) LEFT JOIN ng USING (symbol)"))
+@query("k11_burry", screen_sql(f"{PROF[5]}, {INSIDER_YEAR}, {BRAND_NEWS_YEAR}, {NEG}", K11, top=12, source="prof LEFT JOIN flow USING (symbol) LEFT JOIN ng USING (symbol)"))
 def _(spark, sf):
     return tidy(screens.screen_burry(pan(spark, sf), frames.insider(spark, sf), frames.brand_news(spark, sf), AS_OF), 4)
 
@@ -375,7 +374,7 @@ K12 = {
 }
 
 
-@query("k12_lynch", screen_sql(f"{PROF[5]}, {INSIDER}, {BRAND_NEWS}, {MOOD}", K12, [0.3, 0.25, 0.2, 0.15, 0.1], 10, 7.5, 4.5, MOODY))
+@query("k12_lynch", screen_sql(f"{PROF[5]}, {INSIDER_AT}, {BRAND_NEWS_AT}, {MOOD}", K12, [0.3, 0.25, 0.2, 0.15, 0.1], 10, 7.5, 4.5, MOODY))
 def _(spark, sf):
     return tidy(screens.screen_lynch(pan(spark, sf), frames.insider(spark, sf), frames.brand_news(spark, sf), AS_OF, WORDS), 4)
 

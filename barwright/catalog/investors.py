@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barwright.catalog.fundamentals import (
     AS_OF, INS, L, MOOD, MOODY, PROF, WORDS, case, fl, pan, pv_sql, screen_sql)
 from barwright.catalog.registry import query, r, rcols, tidy
-from barwright.catalog.sqlframes import BRAND_BARS, BRAND_NEWS, INSIDER
+from barwright.catalog.sqlframes import BRAND_BARS, BRAND_NEWS_AT, INSIDER_AT
 from barwright.plans import screens
 from barwright.sources import frames
 
@@ -24,7 +24,7 @@ K13 = {
 }
 
 
-@query("k13_fisher", screen_sql(f"{PROF[5]}, {INSIDER}, {BRAND_NEWS}, {MOOD}", K13, [0.3, 0.25, 0.2, 0.15, 0.05, 0.05], 10, 7.5, 4.5, MOODY))
+@query("k13_fisher", screen_sql(f"{PROF[5]}, {INSIDER_AT}, {BRAND_NEWS_AT}, {MOOD}", K13, [0.3, 0.25, 0.2, 0.15, 0.05, 0.05], 10, 7.5, 4.5, MOODY))
 def _(spark, sf):
     return tidy(screens.screen_fisher(pan(spark, sf), frames.insider(spark, sf), frames.brand_news(spark, sf), AS_OF, WORDS), 4)
 
@@ -47,7 +47,7 @@ K14 = {
 }
 
 
-@query("k14_druckenmiller", screen_sql(f"{PROF[5]}, {INSIDER}, {BRAND_NEWS}, {MOOD}, {PX}", K14, [0.35, 0.2, 0.2, 0.15, 0.1], 10, 7.5, 4.5, MOODY + " LEFT JOIN px USING (symbol)"))
+@query("k14_druckenmiller", screen_sql(f"{PROF[5]}, {INSIDER_AT}, {BRAND_NEWS_AT}, {MOOD}, {PX}", K14, [0.35, 0.2, 0.2, 0.15, 0.1], 10, 7.5, 4.5, MOODY + " LEFT JOIN px USING (symbol)"))
 def _(spark, sf):
     return tidy(screens.screen_druckenmiller(pan(spark, sf), frames.brand_bars(spark, sf), frames.insider(spark, sf), frames.brand_news(spark, sf), AS_OF, WORDS), 4)
 
@@ -141,7 +141,7 @@ _cr, _sh = "(cash_and_equivalents[1] / revenue[1])", "outstanding_shares"
 _r3, _o3 = f"list_avg({_fcf}[1:3])", L["old"](_fcf)
 
 
-@query("k08_munger", f"""{PROF[10]}, {INSIDER}, m0 AS (SELECT *, CASE WHEN len({_fcf}) >= 3 AND list_avg({_fcf}[1:5]) > 0 THEN list_avg({_fcf}[1:5]) / market_cap_0 END AS y,
+@query("k08_munger", f"""{PROF[10]}, {INSIDER_AT}, m0 AS (SELECT *, CASE WHEN len({_fcf}) >= 3 AND list_avg({_fcf}[1:5]) > 0 THEN list_avg({_fcf}[1:5]) / market_cap_0 END AS y,
     CASE WHEN len({_fcf}) >= 3 AND list_avg({_fcf}[1:5]) > 0 THEN (list_avg({_fcf}[1:5]) * 15 - market_cap_0) / market_cap_0 END AS mos, buys / nullif(buys + sells, 0) AS br,
     CASE WHEN len(total_debt) = len(shareholders_equity) THEN CASE WHEN shareholders_equity[1] > 0 THEN total_debt[1] / shareholders_equity[1] ELSE 1e99 END END AS de FROM prof LEFT JOIN flow USING (symbol)),
   m1 AS (SELECT symbol, y, mos, br, de, {_cr} AS cr, {_sh}[1] < {_sh}[-1] * 0.95 AS scf,

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from barwright.catalog import registry
 from barwright.catalog.book import SWING
-from barwright.catalog.fundamentals import AS_OF, K6, pan
+from barwright.catalog.fundamentals import AS_OF, K6, WORDS, pan
 from barwright.catalog.registry import query, r, rcols, tidy
-from barwright.catalog.sqlframes import BARS, BARS5, BRAND_BARS, BRAND_NEWS, FILLS, INSIDER, JOURNAL, PANEL, POSITIONS, SIGNALS, SNAPSHOTS
+from barwright.catalog.sqlframes import BARS, BARS5, BRAND_BARS, BRAND_NEWS, BRAND_NEWS_AT, FILLS, INSIDER, INSIDER_AT, JOURNAL, PANEL, POSITIONS, SIGNALS, SNAPSHOTS
 from barwright.catalog.aggregates import PACK, regime_case
 from barwright.functions.numeric import ladder, reason, safe_div, safe_growth
 from barwright.operators import aggs, joins, scanner
@@ -88,10 +88,12 @@ def facts(spark, sf):
 
 @query("s05_flatten_xbrl", f"""WITH {PANEL}, f AS (SELECT * FROM panel WHERE quarter(report_period) <> 2), c AS (
     SELECT symbol, 'Assets' AS concept, report_period, total_assets AS val FROM f UNION ALL SELECT symbol, 'NetIncomeLoss', report_period, net_income FROM f
-    UNION ALL SELECT symbol, 'LongTermDebt', report_period, total_debt FROM f WHERE total_debt IS NOT NULL)
-  SELECT symbol, concept, report_period AS "end", {r('val', 2)} AS val, CASE WHEN quarter(report_period) = 4 THEN '10-K' ELSE '10-Q' END AS form FROM c""")
+    UNION ALL SELECT symbol, 'LongTermDebt', report_period, total_debt FROM f UNION ALL SELECT symbol, CASE WHEN CAST(b AS BIGINT) % 2 = 1 THEN 'Revenues' ELSE 'SalesRevenueNet' END, report_period, revenue FROM f
+    UNION ALL SELECT symbol, 'StockholdersEquity', report_period, shareholders_equity FROM f UNION ALL SELECT symbol, 'NetCashProvidedByUsedInOperatingActivities', report_period, operating_cash_flow FROM f
+    UNION ALL SELECT symbol, 'PaymentsToAcquirePropertyPlantAndEquipment', report_period, capital_expenditure FROM f)
+  SELECT symbol, concept, report_period AS "end", {r('val', 2)} AS val, CASE WHEN quarter(report_period) = 4 THEN '10-K' ELSE '10-Q' END AS form FROM c WHERE val IS NOT NULL""")
 def _(spark, sf):
-    o = readers.flatten_xbrl(facts(spark, sf), "quarterly").filter(F.col("concept").isin("Assets", "NetIncomeLoss", "LongTermDebt"))
+    o = readers.flatten_xbrl(facts(spark, sf), "quarterly")
     return o.select("symbol", "concept", F.to_date("end").alias("end"), F.round("val", 2).alias("val"), "form")
 
 
@@ -326,18 +328,18 @@ def _(spark, sf):
     return tidy(scanner.ordered_signals(frames.signals(spark, sf), ["analyst3", "analyst1"]).select("event_id", "analyst", "position"))
 
 
-@query("u01_watchlist", f"""WITH {POSITIONS}, {SWING}, w AS (SELECT symbol, 0 AS p FROM positions WHERE qty > 300 UNION ALL SELECT symbol, 1 FROM u UNION ALL SELECT unnest(['SPY', 'QQQ']), 2)
+@query("u01_watchlist", f"""WITH {POSITIONS}, {SWING}, w AS (SELECT symbol, 0 AS p FROM positions WHERE qty <> 0 UNION ALL SELECT symbol, 1 FROM u UNION ALL SELECT unnest(['SPY', 'QQQ']), 2)
   SELECT symbol, min(p)::BIGINT AS priority FROM w GROUP BY 1""")
 def _(spark, sf):
-    held = frames.positions(spark, sf).filter(F.col("qty") > 300)
+    held = frames.positions(spark, sf).filter(F.col("qty") != 0)
     anchors = spark.createDataFrame([("SPY",), ("QQQ",)], "symbol string")
     return tidy(scanner.watchlist(held, universe.universe_df(spark, "swing"), anchors))
 
 
-@query("u02_risk_universe", f"WITH {FILLS}, {JOURNAL} SELECT DISTINCT symbol FROM (SELECT symbol FROM fills WHERE account < 50 UNION ALL SELECT ticker FROM journal WHERE status = 'executed')")
+@query("u02_risk_universe", f"WITH {FILLS}, {JOURNAL} SELECT DISTINCT symbol FROM (SELECT symbol FROM fills UNION ALL SELECT ticker FROM journal WHERE status = 'executed')")
 def _(spark, sf):
     j = frames.journal(spark, sf).filter(F.col("status") == "executed").select(F.col("ticker").alias("symbol"))
-    return scanner.risk_universe(frames.fills(spark, sf).filter(F.col("account") < 50), j)
+    return scanner.risk_universe(frames.fills(spark, sf), j)
 
 
 @query("u04_universe_symbols", f"WITH {FILLS}, {SWING} SELECT DISTINCT symbol FROM u SEMI JOIN fills USING (symbol)")
@@ -347,7 +349,7 @@ def _(spark, sf):
 
 # -- briefs -----------------------------------------------------------------------------
 
-BRIEF = f"""WITH {PANEL}, {INSIDER}, {BRAND_NEWS}, {BRAND_BARS}, {PACK.replace('FROM bars)', 'FROM brand_bars)')},
+BRIEF = f"""WITH {PANEL}, {INSIDER_AT}, {BRAND_NEWS_AT}, {BRAND_BARS}, {PACK.replace('FROM bars)', 'FROM brand_bars)')},
   ch AS (SELECT symbol, (c1 - c2) / c2 * 100 AS d1, (c1 - c5) / c5 * 100 AS d5, (c1 - c30) / c30 * 100 AS d30, volume, v10 FROM pack),
   fu AS (SELECT symbol, arg_max(revenue_growth, report_period) AS rg, arg_max(price_to_earnings_ratio, report_period) AS pe FROM panel GROUP BY 1),
   j AS (SELECT ch.*, rg, pe, coalesce(buys > sells, false) AS buying, symbol IN (SELECT symbol FROM brand_news) AS nw FROM ch LEFT JOIN flow USING (symbol) LEFT JOIN fu USING (symbol))"""
@@ -363,7 +365,7 @@ def pack(spark, sf):
     CASE WHEN rg > 0.2 THEN 'rev growth ' || printf('%.0f', rg * 100) || '%' END, CASE WHEN pe <> 0 AND pe < 15 THEN 'PE ' || printf('%.1f', pe) END), ''), 'steady') AS reason FROM j""")
 def _(spark, sf):
     fu = pan(spark, sf).groupBy("symbol").agg(F.max_by("revenue_growth", "report_period").alias("revenue_growth"), F.max_by("price_to_earnings_ratio", "report_period").alias("pe_ratio"))
-    return tidy(screens.momentum_brief(pack(spark, sf), frames.brand_news(spark, sf), frames.insider(spark, sf), fu), 4)
+    return tidy(screens.momentum_brief(pack(spark, sf), frames.brand_news(spark, sf), frames.insider(spark, sf), fu, AS_OF), 4)
 
 
 @query("k18_anomalies", f"""{BRIEF} SELECT symbol, 'volume' AS kind, {r('volume / v10', 4)} AS value FROM j WHERE volume / v10 > 2 UNION ALL SELECT symbol, 'move', {r('d1', 4)} FROM j WHERE abs(d1) > 8""")
@@ -380,6 +382,14 @@ def _(spark, sf):
     return tidy(screens.regime_signal(reg, b.select("session", "symbol").distinct(), "session"), 4)
 
 
-@query("x03_run_screens", " UNION ALL ".join(f"SELECT '{n}' AS analyst, symbol, signal FROM ({registry.ORACLES[q]})" for n, q in (("graham", "k06_graham"), ("ackman", "k09_ackman"), ("wood", "k10_wood"), ("pabrai", "k15_pabrai"))))
+SCREEN_QUERIES = {"technical": "k04_technical", "fundamentals": "k01_fundamentals", "growth": "k02_growth", "sentiment": "k03_sentiment", "graham": "k06_graham", "ackman": "k09_ackman",
+                  "wood": "k10_wood", "burry": "k11_burry", "lynch": "k12_lynch", "pabrai": "k15_pabrai", "munger": "k08_munger", "fisher": "k13_fisher",
+                  "druckenmiller": "k14_druckenmiller", "damodaran": "k16_damodaran", "jhunjhunwala": "k17_jhunjhunwala"}
+# the technical screen has a query of its own over other bars
+FUNDAMENTAL = [n for n in SCREEN_QUERIES if n != "technical"]
+
+
+@query("x03_run_screens", " UNION ALL ".join(f"SELECT '{n}' AS analyst, symbol, signal FROM ({registry.ORACLES[SCREEN_QUERIES[n]]})" for n in FUNDAMENTAL))
 def _(spark, sf):
-    return screens.run_screens(["graham", "ackman", "wood", "pabrai"], {"panel": pan(spark, sf), "as_of": AS_OF})
+    given = {"panel": pan(spark, sf), "insider": frames.insider(spark, sf), "news": frames.brand_news(spark, sf), "bars": frames.brand_bars(spark, sf), "as_of": AS_OF, "words": WORDS}
+    return screens.run_screens(FUNDAMENTAL, given)

@@ -50,9 +50,9 @@ POSITIONS = FILLS + ", " + MARKS + """, positions AS (
         FROM fills GROUP BY 1, 2) n JOIN marks m USING (symbol))"""
 
 ACCOUNTS = POSITIONS + """, accounts AS (
-  SELECT s_suppkey AS account, abs(s_acctbal) * 1000 AS cash, abs(s_acctbal) * 1000 + held AS equity,
-         (abs(s_acctbal) * 1000 + held) * (1 + (s_nationkey - 12) / 200) AS last_equity
-  FROM supplier JOIN (SELECT account, sum(market_value) AS held FROM positions GROUP BY 1) ON account = s_suppkey)"""
+  SELECT s_suppkey AS account, abs(s_acctbal) * 1000 AS cash, abs(s_acctbal) * 1000 + coalesce(held, 0) AS equity,
+         (abs(s_acctbal) * 1000 + coalesce(held, 0)) * (1 + (s_nationkey - 12) / 200) AS last_equity
+  FROM supplier LEFT JOIN (SELECT account, sum(market_value) AS held FROM positions GROUP BY 1) ON account = s_suppkey)"""
 
 SNAPSHOTS = """snapshots AS (
   SELECT *, equity * (day(date) % 5 + 1) / 10 AS cash FROM (
@@ -82,7 +82,8 @@ SIGNALS = """signals AS (
 NEWS = """news AS (
   SELECT doc_id, source AS symbol, text AS title,
          CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'neutral' END AS sentiment,
-         CASE WHEN quality IS NOT NULL THEN CAST(doc_id % 100 AS DOUBLE) END AS model_confidence
+         CASE WHEN quality IS NOT NULL THEN CAST(doc_id % 100 AS DOUBLE) END AS model_confidence,
+         DATE '1995-01-01' + CAST(doc_id % 2500 AS INTEGER) AS date
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 EXPERIMENTS = """experiments AS (
@@ -123,13 +124,25 @@ def profile(n, name="prof", source="panel"):
 
 INSIDER = """insider AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS filing_date,
     l_quantity * CASE l_returnflag WHEN 'R' THEN -1 WHEN 'A' THEN 1 END AS transaction_shares,
-    CASE WHEN l_linestatus = 'F' THEN round(l_extendedprice) END AS transaction_value FROM lineitem JOIN part ON l_partkey = p_partkey),
+    CASE WHEN l_linestatus = 'F' THEN round(l_extendedprice) END AS transaction_value FROM lineitem JOIN part ON l_partkey = p_partkey /*known*/),
   flow AS (SELECT symbol, count(*) FILTER (transaction_shares > 0) AS buys, count(*) FILTER (transaction_shares < 0) AS sells, coalesce(sum(transaction_shares), 0) AS net_shares,
     coalesce(sum(transaction_shares) FILTER (transaction_shares > 0), 0) AS bought, coalesce(-sum(transaction_shares) FILTER (transaction_shares < 0), 0) AS sold,
     coalesce(sum(transaction_value) FILTER (transaction_shares > 0), 0) AS buy_value, coalesce(sum(transaction_value) FILTER (transaction_shares < 0), 0) AS sell_value,
     count(transaction_shares) AS trades FROM insider GROUP BY 1)"""
 
-BRAND_NEWS = NEWS + """, brand_news AS (SELECT * REPLACE ('Brand#' || (CAST(regexp_extract(symbol, '(\\d+)', 1) AS INT) + 1) AS symbol) FROM news)"""
+BRAND_NEWS = NEWS + """, brand_news AS (SELECT * REPLACE ('Brand#' || (CAST(regexp_extract(symbol, '(\\d+)', 1) AS INT) + 1) AS symbol) FROM news /*known*/)"""
+
+AS_OF = "2001-09-30"
+
+
+def known(text, date, days=None):
+    """The frames as known at AS_OF, by a filter inside the first frame; with ``days`` no older than that."""
+    since = f" AND {date} >= DATE '{AS_OF}' - {days}" if days else ""
+    return text.replace("/*known*/", f"WHERE {date} <= DATE '{AS_OF}'{since}")
+
+
+INSIDER_AT, INSIDER_YEAR = (known(INSIDER, "CAST(l_shipdate AS DATE)", d) for d in (None, 365))
+BRAND_NEWS_AT, BRAND_NEWS_YEAR = (known(BRAND_NEWS, "date", d) for d in (None, 365))
 
 BRAND_BARS = """brand_bars AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, arg_min(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open, max(px) AS high, min(px) AS low,
     arg_max(px, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close, count(*) AS volume

@@ -288,13 +288,14 @@ def _(spark, sf):
 @query("j14_intraday_context", f"""WITH {BARS5}, {CTX}, {NEWS}, pre AS (SELECT symbol, session, max(high) AS premarket_high, min(low) AS premarket_low, CAST(sum(volume) AS BIGINT) AS premarket_volume
     FROM bars5 WHERE et_minute >= 240 AND et_minute < 570 GROUP BY 1, 2),
   tl AS (SELECT symbol, session, string_agg(CAST(CAST(round(close * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY ts) AS last_closes FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts DESC) AS rn FROM bars5) WHERE rn <= 6 GROUP BY 1, 2),
-  hd AS (SELECT symbol, count(*) AS n, sum(length(title)) AS len FROM (SELECT 'view' AS symbol, title, row_number() OVER (ORDER BY doc_id) AS rn FROM news WHERE symbol = 'src8') WHERE rn <= 3 GROUP BY 1)
+  hd AS (SELECT symbol, count(*) AS n, sum(length(title)) AS len FROM (SELECT symbol, title, row_number() OVER (PARTITION BY symbol ORDER BY doc_id) AS rn FROM (SELECT * REPLACE (et[CAST(regexp_extract(symbol, '(\\d+)', 1) AS INT) % len(et) + 1] AS symbol)
+    FROM news, (SELECT list_sort(list(DISTINCT event_type)) AS et FROM events))) WHERE rn <= 3 GROUP BY 1)
   SELECT symbol, session, {r('close')} AS close, {r('vwap')} AS vwap, {r('premarket_high')} AS premarket_high, {r('premarket_low')} AS premarket_low, premarket_volume, {r('prev_close')} AS prev_close, {r('avg20')} AS avg_volume_20d, last_closes, n AS headlines, CAST(len AS BIGINT) AS headline_chars,
   {r('(close - prev_close) / prev_close * 100')} AS change_1d_pct, {r('volume / avg20')} AS volume_ratio, upper(symbol) AS label
   FROM sess LEFT JOIN pre USING (symbol, session) LEFT JOIN dctx USING (symbol, session) LEFT JOIN tl USING (symbol, session) LEFT JOIN hd USING (symbol)""")
 def _(spark, sf):
     b = frames.bars5(spark, sf)
-    n = frames.news(spark, sf).filter(F.col("symbol") == "src8").withColumn("symbol", F.lit("view"))
+    n = frames.event_news(spark, sf)
     labels = frames.table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().withColumn("label", F.upper("symbol"))
     c = joins.intraday_context(b, n, labels)
     return tidy(c.select("symbol", "session", "close", "vwap", "premarket_high", "premarket_low", "premarket_volume", "prev_close", "avg_volume_20d",

@@ -57,20 +57,24 @@ def benchmark_return(bars, start=None, end=None):
     return g.select("symbol", ((safe_div("_l", "_f.close") - 1) * 100).alias("return_pct"))
 
 
-def return_pack(bars):
-    """1/5/30/90-bar changes, range and mean volume from the newest 30 bars and the extremes.
+def return_pack(bars, as_of=None, days=90):
+    """1/5/30-bar and 90-day changes, range and mean volume.
 
-    The "5d" and "30d" bases are the 5th and 30th bars from the end.
+    The "5d" and "30d" bases are the 5th and 30th bars from the end; the "90d" fields cover the ``days`` calendar days up
+    to ``as_of``, or to each symbol's last bar.
     """
     newest = W.partitionBy("symbol").orderBy(F.desc("ts"))
-    b = bars.withColumn("_r", F.row_number().over(newest))
+    b = known_at(bars, "ts", as_of)
+    end = F.max("ts").over(W.partitionBy("symbol")) if as_of is None else F.lit(as_of).cast("date")
+    b = b.withColumn("_r", F.row_number().over(newest)).withColumn("_in", F.col("ts") >= F.date_sub(end, days))
 
     def at(k):
         return F.max(F.when(F.col("_r") == k, F.col("close")))
 
     g = b.groupBy("symbol").agg(
         at(1).alias("current"), at(2).alias("_c2"), at(5).alias("_c5"), at(30).alias("_c30"),
-        F.min_by("close", "ts").alias("_c0"), F.max("high").alias("high_90d"), F.min("low").alias("low_90d"),
+        F.min_by("close", F.when(F.col("_in"), F.col("ts"))).alias("_c0"),
+        F.max(F.when(F.col("_in"), F.col("high"))).alias("high_90d"), F.min(F.when(F.col("_in"), F.col("low"))).alias("low_90d"),
         F.avg(F.when(F.col("_r") <= 10, F.col("volume"))).alias("avg_volume_10d"),
         F.max(F.when(F.col("_r") == 1, F.col("volume"))).alias("volume"),
     )
@@ -312,8 +316,18 @@ def trades_per_day(journal, day=None):
 
 # -- news, insiders and signals ---------------------------------------------------------
 
-def news_sentiment(news):
+def known_at(rows, date, as_of=None, days=None):
+    """Rows dated up to ``as_of`` (all without one), and no more than ``days`` before it."""
+    if as_of is None:
+        return rows
+    day = F.lit(as_of).cast("date")
+    rows = rows.filter(F.col(date) <= day)
+    return rows if days is None else rows.filter(F.col(date) >= F.date_sub(day, days))
+
+
+def news_sentiment(news, as_of=None, days=None):
     """Majority of labelled articles; with model confidences .7 of their mean + .3 of the share."""
+    news = known_at(news, "date", as_of, days)
     lab = F.col("sentiment").isNotNull()
     bull, bear = F.col("sentiment") == "positive", F.col("sentiment") == "negative"
     neutral = lab & ~bull & ~bear
@@ -333,8 +347,9 @@ def news_sentiment(news):
 NEGATIVE_WORDS = ["lawsuit", "fraud", "negative", "downturn", "decline", "investigation", "recall"]
 
 
-def headline_score(news, words=NEGATIVE_WORDS):
+def headline_score(news, words=NEGATIVE_WORDS, as_of=None, days=None):
     """8 without negative headlines, 6 with some, 3 above 30 %; a symbol without news has 5."""
+    news = known_at(news, "date", as_of, days)
     text = F.lower("title")
     hit = None
     for word in words:
@@ -347,8 +362,9 @@ def headline_score(news, words=NEGATIVE_WORDS):
     return g.select("symbol", "articles", "negative", score.alias("score"))
 
 
-def insider_flow(insider):
-    """Buys, sells, net shares and the value and count ratios per symbol."""
+def insider_flow(insider, as_of=None, days=None):
+    """Buys, sells, net shares and the value and count ratios per symbol, from filings known at ``as_of``."""
+    insider = known_at(insider, "filing_date", as_of, days)
     s, v = F.col("transaction_shares"), F.abs("transaction_value")
     traded = F.col("transaction_value").isNotNull() & (F.col("transaction_value") != 0)
     zero = F.lit(0.0)

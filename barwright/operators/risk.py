@@ -100,11 +100,15 @@ def risk_limits(pos, accounts, vols, corr):
                     F.when(ok, pct).alias("limit_pct"), F.when(ok, limit).otherwise(0.0).alias("remaining_position_limit"))
 
 
+def whole_shares(money, price):
+    """Whole shares that the money pays for; a quotient within 1e-9 of a whole number is that number."""
+    return F.when(price > 0, F.floor(F.round(money / price, 9))).otherwise(0)
+
+
 def decision_frame(signals, limits):
-    """Signals left-joined to limits per symbol, as the input of a decision."""
-    lim = limits.withColumn("max_shares", F.when(
-        F.col("current_price") > 0, F.floor(F.col("remaining_position_limit") / F.col("current_price"))).otherwise(0))
-    return signals.join(lim, "symbol", "left").fillna(0, ["max_shares"]).fillna(0.0, ["current_price", "remaining_position_limit"])
+    """Signals left-joined to the limits of their account and symbol, as the input of a decision."""
+    lim = limits.withColumn("max_shares", whole_shares(F.col("remaining_position_limit"), F.col("current_price")))
+    return signals.join(lim, ["account", "symbol"], "left").fillna(0, ["max_shares"]).fillna(0.0, ["current_price", "remaining_position_limit"])
 
 
 def allowed_actions(frame):
@@ -114,10 +118,10 @@ def allowed_actions(frame):
     """
     price, cap = F.col("current_price"), F.col("max_shares").cast("long")
     zero = F.lit(0).cast("long")
-    buy = F.when((F.col("cash") > 0) & (price > 0), F.greatest(zero, F.least(cap, F.floor(F.col("cash") / price)))).otherwise(zero)
+    buy = F.when((F.col("cash") > 0) & (price > 0), F.greatest(zero, F.least(cap, whole_shares(F.col("cash"), price)))).otherwise(zero)
     room = F.greatest(F.lit(0.0), safe_div("equity", "margin_requirement") - F.col("margin_used"))
     short = F.when((price > 0) & (cap > 0), F.when(F.col("margin_requirement") <= 0, cap).otherwise(
-        F.greatest(zero, F.least(cap, F.floor(room / price))))).otherwise(zero)
+        F.greatest(zero, F.least(cap, whole_shares(room, price))))).otherwise(zero)
     all_ = F.create_map(
         F.lit("buy"), buy, F.lit("sell"), F.col("long").cast("long"), F.lit("short"), short,
         F.lit("cover"), F.col("short").cast("long"), F.lit("hold"), zero)
@@ -160,7 +164,7 @@ def validate_trades(proposals, state, pos, spark, mode):
     tactical = placed.groupBy("account").agg(F.sum(F.when(high, F.col("_held_value"))).alias("_tactical"))
     sector = placed.filter(F.col("sector").isNotNull()).groupBy("account", "sector").agg(F.sum("_held_value").alias("_sector_value"))
     j = (
-        p.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left").join(state, "account")
+        p.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left").join(state, "account", "left")
         .join(held, ["account", "_sym"], "left").join(sector, ["account", "sector"], "left").join(tactical, "account", "left")
     )
     value = F.col("qty") * F.col("entry_price")
@@ -173,6 +177,7 @@ def validate_trades(proposals, state, pos, spark, mode):
     per_stock = F.coalesce("max_per_stock_pct", F.lit(lim["max_position_pct"]))
     rules = [
         ("unknown_action", ~F.col("action").isin("buy", "short")),
+        ("no_account_state", F.col("equity").isNull()),
         ("no_leveraged_etfs", F.col("_sym").isin(universe.LEVERAGED) & F.lit(not lim["allow_leveraged_etfs"])),
         ("moonshot_blocked", F.col("_sym").isin(universe.MOONSHOTS)),
         ("daily_circuit_breaker", F.col("daily_pnl_pct") <= -lim["daily_loss_limit"]),

@@ -66,7 +66,7 @@ def screen_growth(panel, insider, as_of, periods=12):
     """Growth, valuation, margins, insiders and health, weighted; a positive trend slope over
     newest-first values (that is, falling over time) scores as the published rule has it."""
     n = P.now
-    p = P.profile(panel, as_of, periods).filter(F.col("_n") >= 4).join(aggs.insider_flow(insider).select("symbol", "net_flow_ratio"), "symbol", "left")
+    p = P.profile(panel, as_of, periods).filter(F.col("_n") >= 4).join(aggs.insider_flow(insider, as_of).select("symbol", "net_flow_ratio"), "symbol", "left")
 
     def slope(item):
         return P.trend_slope(P.series(item))
@@ -90,10 +90,10 @@ def screen_growth(panel, insider, as_of, periods=12):
     return p.withColumn("signal", sig).withColumn("confidence", F.bround(F.abs(F.col("score") - 0.5) * 200, 0))
 
 
-def screen_sentiment(insider, news):
+def screen_sentiment(insider, news, as_of=None):
     """Insider trades weigh .3, labelled articles .7; the larger side wins."""
-    i = aggs.insider_flow(insider).select("symbol", F.col("non_sales").alias("_ib"), F.col("sells").alias("_is"), F.col("trades").alias("_in"))
-    n = aggs.news_sentiment(news).select("symbol", F.col("bullish").alias("_nb"), F.col("bearish").alias("_ns"), F.col("articles").alias("_nn"))
+    i = aggs.insider_flow(insider, as_of).select("symbol", F.col("non_sales").alias("_ib"), F.col("sells").alias("_is"), F.col("trades").alias("_in"))
+    n = aggs.news_sentiment(news, as_of).select("symbol", F.col("bullish").alias("_nb"), F.col("bearish").alias("_ns"), F.col("articles").alias("_nn"))
     j = i.join(n, "symbol", "full").fillna(0)
     bull, bear = F.col("_ib") * 0.3 + F.col("_nb") * 0.7, F.col("_is") * 0.3 + F.col("_ns") * 0.7
     sig = F.when(bull > bear, "bullish").when(bear > bull, "bearish").otherwise("neutral")
@@ -154,10 +154,10 @@ def regime_signal(regimes, universe, on="mode"):
     return universe.join(regimes, on).select(on, "symbol", "regime", sig.alias("signal"), "confidence")
 
 
-def momentum_brief(pack, news, insider, fundamentals):
+def momentum_brief(pack, news, insider, fundamentals, as_of=None):
     """Signal, catalyst and reason per symbol, from the return pack and what else is known of it."""
-    flow = aggs.insider_flow(insider).select("symbol", (F.col("buys") > F.col("sells")).alias("_buying"))
-    seen = news.select("symbol", F.lit(True).alias("_news")).distinct()
+    flow = aggs.insider_flow(insider, as_of).select("symbol", (F.col("buys") > F.col("sells")).alias("_buying"))
+    seen = aggs.known_at(news, "date", as_of).select("symbol", F.lit(True).alias("_news")).distinct()
     j = pack.join(seen, "symbol", "left").join(flow, "symbol", "left").join(fundamentals, "symbol", "left")
     d1, d5, d30 = nz(F.col("change_1d")), nz(F.col("change_5d")), nz(F.col("change_30d"))
     up, down = (d5 > 5) & (d30 > 10), (d5 < -5) & (d30 < -10)
@@ -261,10 +261,11 @@ def screen_wood(panel, as_of):
     return finish(p, ["disruptive", "innovation", "valuation"], max_score=15.0)
 
 
-def screen_burry(panel, insider, news, as_of):
+def screen_burry(panel, insider, news, as_of, days=365):
+    """Insiders and headlines of the ``days`` before ``as_of`` only."""
     n = P.now
-    flow = aggs.insider_flow(insider).select("symbol", "bought", "sold")
-    neg = news.filter(F.lower("sentiment").isin("negative", "bearish")).groupBy("symbol").agg(F.count(F.lit(1)).alias("_neg"))
+    flow = aggs.insider_flow(insider, as_of, days).select("symbol", "bought", "sold")
+    neg = aggs.known_at(news, "date", as_of, days).filter(F.lower("sentiment").isin("negative", "bearish")).groupBy("symbol").agg(F.count(F.lit(1)).alias("_neg"))
     p = P.profile(panel, as_of, 5).join(flow, "symbol", "left").join(neg, "symbol", "left")
     value = ladder(safe_div(n("free_cash_flow"), n("market_cap")), [(0.15, 4.0), (0.12, 3.0), (0.08, 2.0)], op=">=") + ladder(n("ev_to_ebit"), [(6.0, 2.0), (10.0, 1.0)], op="<")
     sheet = ladder(n("debt_to_equity"), [(0.5, 2.0), (1.0, 1.0)], op="<") + flag(n("cash_and_equivalents") > n("total_debt"))
@@ -274,10 +275,10 @@ def screen_burry(panel, insider, news, as_of):
     return finish(p, ["value", "balance_sheet", "insider", "contrarian"], max_score=12.0)
 
 
-def _with_mood(p, insider, news, words=None):
-    """Headline score (5 without news) and the insider buy ratio per symbol."""
-    h = aggs.headline_score(news, words or aggs.NEGATIVE_WORDS).select("symbol", F.col("score").alias("_mood"))
-    f = aggs.insider_flow(insider).select("symbol", "buy_ratio")
+def _with_mood(p, insider, news, as_of, words=None):
+    """Headline score (5 without news) and the insider buy ratio per symbol, as known at ``as_of``."""
+    h = aggs.headline_score(news, words or aggs.NEGATIVE_WORDS, as_of).select("symbol", F.col("score").alias("_mood"))
+    f = aggs.insider_flow(insider, as_of).select("symbol", "buy_ratio")
     return p.join(h, "symbol", "left").join(f, "symbol", "left").withColumn("_mood", F.coalesce("_mood", F.lit(5.0)))
 
 
@@ -291,7 +292,7 @@ def _tens(raw, top):
 
 
 def screen_lynch(panel, insider, news, as_of, words=None):
-    p = _with_mood(P.profile(panel, as_of, 5), insider, news, words)
+    p = _with_mood(P.profile(panel, as_of, 5), insider, news, as_of, words)
     n, rev, eps = P.now, P.series("revenue"), P.series("earnings_per_share")
     cuts = [(0.25, 3.0), (0.10, 2.0), (0.02, 1.0)]
     growth = F.when(F.col("_n") >= 2, _tens(
@@ -333,7 +334,7 @@ def screen_pabrai(panel, as_of):
 
 
 def screen_fisher(panel, insider, news, as_of, words=None):
-    p = _with_mood(P.profile(panel, as_of, 5), insider, news, words)
+    p = _with_mood(P.profile(panel, as_of, 5), insider, news, as_of, words)
     n, rev, eps, rd = P.now, P.series("revenue"), P.series("earnings_per_share"), P.series("research_and_development")
     cuts = [(0.20, 3.0), (0.10, 2.0), (0.03, 1.0)]
     ratio = F.when((F.size(rd) > 0) & (F.size(rd) == F.size(rev)), P.first(rd) / F.when(P.first(rev) != 0, P.first(rev)).otherwise(1e-9))
@@ -359,7 +360,7 @@ def screen_fisher(panel, insider, news, as_of, words=None):
 def screen_druckenmiller(panel, bars, insider, news, as_of, words=None):
     b = win.returns(bars.filter(F.col("ts") <= F.lit(as_of).cast("date")))
     px = b.groupBy("symbol").agg(F.count("close").alias("_k"), F.min_by("close", "ts").alias("_c0"), F.max_by("close", "ts").alias("_c1"), F.stddev_pop("ret").alias("_sd"))
-    p = _with_mood(P.profile(panel, as_of, 5), insider, news, words).join(px, "symbol", "left")
+    p = _with_mood(P.profile(panel, as_of, 5), insider, news, as_of, words).join(px, "symbol", "left")
     n, rev, eps, eq, debt = P.now, P.series("revenue"), P.series("earnings_per_share"), P.series("shareholders_equity"), P.series("total_debt")
     cuts = [(0.08, 3.0), (0.04, 2.0), (0.01, 1.0)]
     move = F.when((F.col("_k") > 30) & (F.col("_c0") > 0), (F.col("_c1") - F.col("_c0")) / F.col("_c0"))
@@ -517,7 +518,7 @@ def screen_munger(panel, insider, as_of, compat=False):
     insider buys and sells are read off the sign of the shares.
     """
     n = P.now
-    p = P.profile(panel, as_of, 10).join(aggs.insider_flow(insider).select("symbol", "buys", "sells", "buy_ratio"), "symbol", "left")
+    p = P.profile(panel, as_of, 10).join(aggs.insider_flow(insider, as_of).select("symbol", "buys", "sells", "buy_ratio"), "symbol", "left")
     roic, gm, om, oi = P.series("return_on_invested_capital"), P.series("gross_margin"), P.series("operating_margin"), P.series("operating_income")
     rev, fcf, ni = P.series("revenue"), P.series("free_cash_flow"), P.series("net_income")
     hits = P.count_if(roic, lambda v: v > 0.15)
@@ -580,16 +581,16 @@ SCREENS = {
     "technical": lambda i: screen_technical(i["bars"]),
     "fundamentals": lambda i: screen_fundamentals(i["panel"], i["as_of"]),
     "growth": lambda i: screen_growth(i["panel"], i["insider"], i["as_of"]),
-    "sentiment": lambda i: screen_sentiment(i["insider"], i["news"]),
+    "sentiment": lambda i: screen_sentiment(i["insider"], i["news"], i["as_of"]),
     "graham": lambda i: screen_graham(i["panel"], i["as_of"]),
     "ackman": lambda i: screen_ackman(i["panel"], i["as_of"]),
     "wood": lambda i: screen_wood(i["panel"], i["as_of"]),
     "burry": lambda i: screen_burry(i["panel"], i["insider"], i["news"], i["as_of"]),
-    "lynch": lambda i: screen_lynch(i["panel"], i["insider"], i["news"], i["as_of"]),
+    "lynch": lambda i: screen_lynch(i["panel"], i["insider"], i["news"], i["as_of"], i.get("words")),
     "pabrai": lambda i: screen_pabrai(i["panel"], i["as_of"]),
     "munger": lambda i: screen_munger(i["panel"], i["insider"], i["as_of"]),
-    "fisher": lambda i: screen_fisher(i["panel"], i["insider"], i["news"], i["as_of"]),
-    "druckenmiller": lambda i: screen_druckenmiller(i["panel"], i["bars"], i["insider"], i["news"], i["as_of"]),
+    "fisher": lambda i: screen_fisher(i["panel"], i["insider"], i["news"], i["as_of"], i.get("words")),
+    "druckenmiller": lambda i: screen_druckenmiller(i["panel"], i["bars"], i["insider"], i["news"], i["as_of"], i.get("words")),
     "damodaran": lambda i: screen_damodaran(i["panel"], i["as_of"]),
     "jhunjhunwala": lambda i: screen_jhunjhunwala(i["panel"], i["as_of"]),
 }

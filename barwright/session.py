@@ -24,3 +24,17 @@ def local_session(cores="8", app="barwright"):
 def shared_dir(spark):
     """The folder all executors share, as the cluster names it; None where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def exists(spark, path):
+    """Whether there is something at a path of any file system that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def scratch_dir(spark):
+    """Where streams keep what they hand over: the shared folder, or the folder of tables on the default file system.
+
+    Never a folder of the driver alone.
+    """
+    return shared_dir(spark) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")

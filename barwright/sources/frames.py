@@ -119,7 +119,8 @@ def accounts(spark, sf):
     s = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("account"), (F.abs("s_acctbal") * 1000).alias("cash"), "s_nationkey")
     held = positions(spark, sf).groupBy("account").agg(F.sum("market_value").alias("held"))
-    return s.join(held, "account").select(
+    s = s.join(held, "account", "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+    return s.select(
         "account", "cash", (F.col("cash") + F.col("held")).alias("equity"),
         ((F.col("cash") + F.col("held")) * (1 + (F.col("s_nationkey") - 12) / 200)).alias("last_equity"))
 
@@ -178,7 +179,7 @@ def signals(spark, sf):
 
 
 def news(spark, sf):
-    """Headlines: a document's whole text by source; its labels stand for sentiment."""
+    """Headlines: a document's whole text by source; its labels stand for sentiment, its number for the date."""
     d = table(spark, sf, "documents").select("doc_id", "source", "text")
     lab = table(spark, sf, "labels")
     return d.join(lab, "doc_id", "left").select(
@@ -186,6 +187,7 @@ def news(spark, sf):
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
         .when(F.col("quality") == 0, "neutral").alias("sentiment"),
         F.when(F.col("quality").isNotNull(), (F.col("doc_id") % 100).cast("double")).alias("model_confidence"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 2500).cast("int")).alias("date"),
     )
 
 
@@ -314,6 +316,14 @@ def brand_news(spark, sf):
     return n.withColumn("symbol", F.concat(F.lit("Brand#"), F.regexp_extract("symbol", r"(\d+)", 1).cast("int") + 1))
 
 
+def event_news(spark, sf):
+    """News keyed like the ticks: the sources go round the event types, which are few and come as one row."""
+    types = table(spark, sf, "events").agg(F.sort_array(F.collect_set("event_type")).alias("_types")).scalar()
+    n = news(spark, sf).withColumn("_types", types)
+    turn = (F.regexp_extract("symbol", r"(\d+)", 1).cast("int") % F.size("_types")).cast("int")
+    return n.withColumn("symbol", F.get("_types", turn)).drop("_types")
+
+
 def brand_bars(spark, sf):
     """Daily bars per brand from unit prices."""
     li, pt = table(spark, sf, "lineitem"), table(spark, sf, "part")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from barwright.session import exists
+
 JOURNAL_FIELDS = ["timestamp", "mode", "ticker", "action", "qty", "status", "reasoning", "order_id", "error"]
 
 
@@ -35,16 +37,16 @@ def merge_snapshots(old, new, force=False):
 
 
 def write_snapshots(df, path, force=False):
-    """Daily snapshots by date partition; dates already there are kept unless ``force`` replaces them."""
+    """Daily snapshots by date partition, one per account and date: the old one stays unless ``force`` replaces it.
+
+    Only the dates of the new rows are read, and with ``force`` rewritten, old accounts together with new ones.
+    """
     spark = df.sparkSession
-    if force:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    if not exists(spark, path):
+        df.write.partitionBy("date").parquet(path)
         return
-    try:
-        seen = spark.read.parquet(path).select("date").distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        seen = None
-    out = df if seen is None else df.join(seen, "date", "left_anti")
-    out.write.mode("append").partitionBy("date").parquet(path)
+    old = spark.read.schema(df.schema).parquet(path).join(df.select("date").distinct(), "date", "left_semi").select(*df.columns)
+    if force:
+        merge_snapshots(old, df, True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    else:
+        df.join(old.select("account", "date"), ["account", "date"], "left_anti").select(*df.columns).write.mode("append").partitionBy("date").parquet(path)
