@@ -161,9 +161,16 @@ def opening(spark, sf):
     return frames.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("account"), F.lit(1_000_000.0).alias("cash"))
 
 
-@query("d13_ledger")
+ORDERED = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
+DONE = f"""{FILLS}, done AS (SELECT *, CASE WHEN action IN ('buy', 'cover') THEN 1 WHEN action IN ('sell', 'short') THEN -1 END AS s FROM fills WHERE action <> 'hold')"""
+
+
+@query("d13_ledger", f"""WITH {DONE} SELECT account, row_number() OVER w AS n, symbol, day, action, qty, {r('price', 4)} AS price,
+    {r('1e6 + sum(-s * qty * price) OVER w', 2)} AS cash, CAST(sum(s * qty) OVER (PARTITION BY account, symbol ORDER BY {ORDERED}) AS BIGINT) AS position
+  FROM done WINDOW w AS (PARTITION BY account ORDER BY {ORDERED})""")
 def _(spark, sf):
-    return tidy(portfolio.ledger(frames.fills(spark, sf), opening(spark, sf)), 4)
+    led = portfolio.ledger(frames.fills(spark, sf), opening(spark, sf))
+    return tidy(led.withColumn("cash", F.round("cash", 2)), 4)
 
 
 @query("d14_symbol_ledger", f"""WITH RECURSIVE {FILLS}, f AS (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rn
@@ -181,10 +188,18 @@ def _(spark, sf):
     return tidy(portfolio.symbol_ledger(frames.fills(spark, sf)), 3)
 
 
-@query("d15_equity_curve")
+@query("d15_equity_curve", f"""WITH {DONE}, px AS (SELECT symbol, day, arg_max(price, ({ORDERED}, account)) AS price FROM fills GROUP BY 1, 2),
+  dl AS (SELECT account, symbol, day, sum(s * qty) AS d, sum(-s * qty * price) AS c FROM done GROUP BY 1, 2, 3),
+  ps AS (SELECT account, symbol, day, sum(d) OVER (PARTITION BY account, symbol ORDER BY day) AS pos FROM dl),
+  ed AS (SELECT account, day AS date, 1e6 + sum(c) OVER (PARTITION BY account ORDER BY day) AS cash FROM (SELECT account, day, sum(c) AS c FROM dl GROUP BY 1, 2)),
+  aim AS (SELECT account, date, symbol FROM ed JOIN (SELECT DISTINCT account, symbol FROM dl) USING (account)),
+  had AS (SELECT aim.*, pos FROM aim ASOF JOIN ps ON ps.account = aim.account AND ps.symbol = aim.symbol AND ps.day <= aim.date),
+  h AS (SELECT account, date, sum(pos * price) AS v FROM had ASOF JOIN px ON px.symbol = had.symbol AND px.day <= had.date GROUP BY 1, 2)
+  SELECT account, date, 1::BIGINT AS seq, {r('cash + coalesce(v, 0)', 2)} AS value FROM ed LEFT JOIN h USING (account, date)
+  UNION ALL SELECT account, min(date), 0, 1e6 FROM ed GROUP BY 1""")
 def _(spark, sf):
-    f, o = frames.fills(spark, sf), opening(spark, sf)
-    return tidy(portfolio.equity_curve(portfolio.ledger(f, o), portfolio.daily_prices(f), o), 2)
+    f = frames.fills(spark, sf)
+    return tidy(portfolio.equity_curve(f, portfolio.daily_prices(f), opening(spark, sf)), 2)
 
 
 # -- volatility, correlation, limits ----------------------------------------------------

@@ -1,6 +1,5 @@
 """Valuation, exposures, allocations and the fill ledger."""
 
-import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from barwright.functions.numeric import col, safe_div
@@ -110,122 +109,71 @@ def allocation_drift(pos, accounts, spark, mode):
 
 # -- ledger -----------------------------------------------------------------------------
 
-LEDGER = ("account long, n long, symbol string, day date, action string, qty long, executed long, price double, cash double, "
-          "margin_used double, long long, short long, long_cost_basis double, short_cost_basis double, "
-          "short_margin_used double, realized_long double, realized_short double")
-
-
-class _Book:
-    """State of one account between fills."""
-
-    def __init__(self, cash, margin):
-        self.cash, self.margin, self.used, self.pos, self.n = cash, margin, 0.0, {}, 0
-
-    def fill(self, symbol, action, want, price):
-        # long, short, long basis, short basis, short margin, realised long, realised short
-        p = self.pos.setdefault(symbol, [0, 0, 0.0, 0.0, 0.0, 0.0, 0.0])
-        want, done = int(want), 0
-        if want > 0 and action == "buy":
-            affordable = want * price <= self.cash
-            done = want if affordable else max(0, int(self.cash / price)) if price > 0 else 0
-            if done:
-                p[2] = (p[2] * p[0] + done * price) / (p[0] + done)
-                p[0] += done
-                self.cash -= done * price
-        elif want > 0 and action == "sell":
-            done = min(want, p[0])
-            if done:
-                p[5] += (price - p[2]) * done
-                p[0] -= done
-                self.cash += done * price
-                p[2] = p[2] if p[0] else 0.0
-        elif want > 0 and action == "short":
-            free, need = max(0.0, self.cash - self.used), price * want * self.margin
-            done = want if need <= free else int(free / (price * self.margin)) if price * self.margin > 0 else 0
-            if done:
-                p[3] = (p[3] * p[1] + done * price) / (p[1] + done)
-                p[1] += done
-                p[4] += price * done * self.margin
-                self.used += price * done * self.margin
-                self.cash += price * done - price * done * self.margin
-        elif want > 0 and action == "cover":
-            done = min(want, p[1])
-            if done:
-                release = done / p[1] * p[4]
-                p[6] += (p[3] - price) * done
-                p[1] -= done
-                p[4] -= release
-                self.used -= release
-                self.cash += release - done * price
-                if not p[1]:
-                    p[3] = p[4] = 0.0
-        return done, p
-
-
-def ledger(fills, opening, margin=0.5):
-    """Every fill with what was executed and the account's state after it.
-
-    Cash couples all symbols of an account, so an account is a strict sequence. Rows are
-    hash-partitioned by account and sorted by Spark (spilling to disk where needed); each task
-    then streams Arrow batches and carries only the open books, so memory does not grow with
-    an account's history. ``opening`` has (account, cash).
+def executed(fills):
+    """Fills that were executed, with what each does to cash and to the signed position."""
+    sign = F.when(F.col("action").isin("buy", "cover"), 1).when(F.col("action").isin("sell", "short"), -1)
+    f = fills.withColumn("_d", sign * F.col("qty")).filter(F.col("_d").isNotNull() & (F.col("qty") > 0))
+    return f.withColumn("_cash", -F.col("_d") * F.col("price"))
+
+
+def _by_day(f):
+    return f.groupBy("account", "symbol", "day").agg(F.sum("_d").alias("_d"), F.sum("_cash").alias("_cash"), F.count(F.lit(1)).alias("_k"))
+
+
+def ledger(fills, opening):
+    """Every executed fill with the account's cash and its signed position in the symbol after it.
+
+    Both are prefix sums: sums per day first, running over the days (bounded by the calendar), then within a day. A window
+    over fills holds one account's day, so a busy account splits. ``opening`` has (account, cash); an account without it
+    starts at 0.
     """
-    margin = float(margin)
-    rows = (
-        fills.join(opening.select("account", F.col("cash").alias("_cash")), "account")
-        .repartition("account").sortWithinPartitions("account", "seq")
-        .select("account", "symbol", "day", "action", "qty", "price", "_cash")
-    )
-
-    def run(batches):
-        book, owner = None, object()
-        for pdf in batches:
-            out = []
-            for acc, sym, day, action, qty, price, cash in pdf.itertuples(index=False, name=None):
-                if acc != owner:
-                    book, owner = _Book(cash, margin), acc
-                done, p = book.fill(sym, action, qty, price)
-                book.n += 1
-                out.append((acc, book.n, sym, day, action, qty, done, price, book.cash, book.used, *p))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
-
-    return rows.mapInPandas(run, LEDGER)
-
-
-def symbol_ledger(fills, keys=("account", "symbol")):
+    f = executed(fills)
+    day = _by_day(f)
+    earlier = W.partitionBy("account").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    acc = day.groupBy("account", "day").agg(F.sum("_cash").alias("_c"), F.sum("_k").alias("_k"))
+    acc = acc.select("account", "day", F.coalesce(F.sum("_c").over(earlier), F.lit(0.0)).alias("_c0"), F.coalesce(F.sum("_k").over(earlier), zero).alias("_n0"))
+    earlier = W.partitionBy("account", "symbol").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    sym = day.select("account", "symbol", "day", F.coalesce(F.sum("_d").over(earlier), zero).alias("_p0"))
+    inside = W.partitionBy("account", "day").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    held = W.partitionBy("account", "day", "symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    f = f.withColumns({"_n": F.row_number().over(W.partitionBy("account", "day").orderBy("seq")), "_c": F.sum("_cash").over(inside), "_p": F.sum("_d").over(held)})
+    j = f.join(acc, ["account", "day"]).join(sym, ["account", "symbol", "day"]).join(opening.select("account", F.col("cash").alias("_open")), "account", "left")
+    return j.select("account", (F.col("_n0") + F.col("_n")).alias("n"), "symbol", "day", "action", "qty", "price",
+                    (F.coalesce("_open", F.lit(0.0)) + F.col("_c0") + F.col("_c")).alias("cash"), (F.col("_p0") + F.col("_p")).alias("position"))
+
+
+def symbol_ledger(fills, keys=("account", "symbol"), span=200):
     """Cash-free running position, average cost and realised profit of longs per symbol.
 
-    Sells clamp at what is held, so the position is the running sum of signed quantities
-    reflected at zero: S - min(0, running minimum of S), all windows. The basis follows from
-    an average-cost recursion, which is streamed in order per key.
+    Sells clamp at what is held, so the position is the running sum of signed quantities reflected at zero: S - min(0,
+    running minimum of S). The cost of what is held is affine per fill: a buy adds q * p, a sell leaves the share
+    left / held. Between two empty positions it is therefore exp(L) * sum(q * p * exp(-L)) with L the running sum of
+    log(left / held); the scale restarts every ``span`` nats, and two spans hold all that a double can show.
     """
     f = fills.filter(F.col("action").isin("buy", "sell"))
-    w = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    signed = F.when(F.col("action") == "buy", F.col("qty")).otherwise(-F.col("qty"))
-    f = f.withColumn("_s", F.sum(signed).over(w))
+    order = W.partitionBy(*keys).orderBy("seq")
+    w = order.rowsBetween(W.unboundedPreceding, 0)
+    buy = F.col("action") == "buy"
+    f = f.withColumn("_s", F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).over(w))
     f = f.withColumn("position", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w)))
-    ordered = f.repartition(*keys).sortWithinPartitions(*keys, "seq").select(*keys, "day", "action", "qty", "price", "position")
-    names = [*keys, "day", "action", "qty", "price", "position", "cost_basis", "realized"]
-
-    def run(batches):
-        owner, held, basis, gain = object(), 0, 0.0, 0.0
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                key, (day, action, qty, price, position) = row[:len(keys)], row[len(keys):]
-                if key != owner:
-                    owner, held, basis, gain = key, 0, 0.0, 0.0
-                if action == "buy" and position:
-                    basis = (basis * held + qty * price) / position
-                elif action == "sell":
-                    gain += (price - basis) * (held - position)
-                    basis = basis if position else 0.0
-                held = position
-                out.append((*key, day, action, qty, price, position, basis, gain))
-            yield pd.DataFrame(out, columns=names)
-
-    return ordered.mapInPandas(run, "account long, symbol string, day date, action string, qty long, price double, "
-                                    "position long, cost_basis double, realized double")
+    f = f.withColumn("_held", F.coalesce(F.lag("position").over(order), F.lit(0)))
+    f = f.withColumn("_seg", F.sum(F.when(F.col("_held") == 0, 1).otherwise(0)).over(w))
+    left = F.when(~buy & (F.col("position") > 0) & (F.col("_held") > 0), F.log(F.col("position") / F.col("_held"))).otherwise(0.0)
+    seg = W.partitionBy(*keys, "_seg")
+    f = f.withColumn("_l", F.sum(left).over(seg.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    f = f.withColumn("_b", F.floor(-F.col("_l") / span))
+    paid = F.when(buy, F.col("qty") * F.col("price")).otherwise(0.0)
+    f = f.withColumn("_x", paid * F.exp(-F.col("_l") - span * F.col("_b")))
+    own = F.sum("_x").over(W.partitionBy(*keys, "_seg", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    past = F.coalesce(F.sum("_x").over(seg.orderBy("_b").rangeBetween(-1, -1)), F.lit(0.0))
+    at = F.col("_l") + span * F.col("_b")
+    cost = F.exp(at) * own + F.exp(at - span) * past
+    f = f.withColumn("cost_basis", F.when(F.col("position") > 0, cost / F.col("position")).otherwise(0.0))
+    before = F.coalesce(F.lag("cost_basis").over(order), F.lit(0.0))
+    gain = F.when(buy, 0.0).otherwise((F.col("price") - before) * (F.col("_held") - F.col("position")))
+    f = f.withColumn("_g", gain).withColumn("realized", F.sum("_g").over(w))
+    return f.select(*keys, "day", "action", "qty", "price", "position", "cost_basis", "realized")
 
 
 def daily_prices(fills):
@@ -237,23 +185,26 @@ def daily_prices(fills):
     return p.select("symbol", F.explode(F.sequence("day", until)).alias("date"), "price")
 
 
-def equity_curve(ledger_rows, prices, opening):
+def equity_curve(fills, prices, opening):
     """Account value on every day it traded; the opening point repeats the first date as seq 0.
 
-    A symbol's state holds from its day until its next one. States are expanded over the
-    account's trading days (both bounded by the calendar) and met with that day's price.
+    One daily aggregate of the executed fills feeds cash and positions. A symbol's position holds from its day until its
+    next one; it is expanded over the account's days (bounded by the calendar) and met with that day's price.
     """
-    led = ledger_rows.withColumnRenamed("n", "_n")
-    end = led.groupBy("account", "day").agg(F.max_by("cash", "_n").alias("cash"))
-    state = led.groupBy("account", "symbol", "day").agg(F.max_by(F.struct("long", "short"), "_n").alias("s"))
+    day = _by_day(executed(fills))
+    cash = day.groupBy("account", "day").agg(F.sum("_cash").alias("_c"))
+    so_far = W.partitionBy("account").orderBy("day")
+    whole = W.partitionBy("account")
+    start = opening.select("account", F.col("cash").alias("_open"))
+    end = cash.withColumns({"_c": F.sum("_c").over(so_far), "_first": F.min("day").over(whole)}).join(start, "account", "left")
+    end = end.select("account", F.col("day").alias("date"), "_first", F.coalesce("_open", F.lit(0.0)).alias("_open"), "_c")
     w = W.partitionBy("account", "symbol").orderBy("day")
-    state = state.select("account", "symbol", "day", "s.*", F.lead("day").over(w).alias("_next")).filter((F.col("long") > 0) | (F.col("short") > 0))
-    last = end.groupBy("account").agg(F.max("day").alias("_last"))
-    state = state.join(last, "account").withColumn("_until", F.coalesce(F.date_sub("_next", 1), F.col("_last")))
-    daily = state.select("account", "symbol", "long", "short", F.explode(F.sequence("day", "_until")).alias("date"))
-    held = daily.join(prices, ["symbol", "date"]).groupBy("account", "date").agg(
-        F.sum((F.col("long") - F.col("short")) * F.col("price")).alias("_held"))
-    curve = end.withColumnRenamed("day", "date").join(held, ["account", "date"], "left")
-    curve = curve.select("account", "date", F.lit(1).alias("seq"), (F.col("cash") + F.coalesce("_held", F.lit(0.0))).alias("value"))
-    first = end.groupBy("account").agg(F.min("day").alias("date")).join(opening.select("account", "cash"), "account")
-    return curve.unionByName(first.select("account", "date", F.lit(0).alias("seq"), F.col("cash").alias("value")))
+    last = W.partitionBy("account")
+    state = day.withColumn("_last", F.max("day").over(last)).withColumns({"_pos": F.sum("_d").over(w), "_next": F.lead("day").over(w)})
+    state = state.filter(F.col("_pos") != 0).withColumn("_until", F.coalesce(F.date_sub("_next", 1), F.col("_last")))
+    daily = state.select("account", "symbol", "_pos", F.explode(F.sequence("day", "_until")).alias("date"))
+    held = daily.join(prices, ["symbol", "date"]).groupBy("account", "date").agg(F.sum(F.col("_pos") * F.col("price")).alias("_held"))
+    curve = end.join(held, ["account", "date"], "left")
+    points = F.array(F.struct(F.lit(1).alias("seq"), (F.col("_open") + F.col("_c") + F.coalesce("_held", F.lit(0.0))).alias("value")),
+                     F.when(F.col("date") == F.col("_first"), F.struct(F.lit(0).alias("seq"), F.col("_open").alias("value"))))
+    return curve.select("account", "date", F.explode(F.filter(points, lambda x: x.isNotNull())).alias("p")).select("account", "date", "p.*")

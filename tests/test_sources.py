@@ -84,13 +84,18 @@ def test_form4_sign(spark, tmp_path):
 
 def test_snapshots_are_idempotent(spark, tmp_path):
     p = str(tmp_path / "snaps")
-    one = spark.createDataFrame([("2024-01-02", 1.0)], "date string, equity double").withColumn("date", F.to_date("date"))
-    two = spark.createDataFrame([("2024-01-02", 9.0), ("2024-01-03", 2.0)], "date string, equity double").withColumn("date", F.to_date("date"))
-    sinks.write_snapshots(one, p)
-    sinks.write_snapshots(two, p)
-    assert sorted(r.equity for r in readers.read_snapshots(spark, p).collect()) == [1.0, 2.0]
-    sinks.write_snapshots(two, p, force=True)
-    assert sorted(r.equity for r in readers.read_snapshots(spark, p).collect()) == [2.0, 9.0]
+
+    def snaps(*rows):
+        return spark.createDataFrame(rows, "account string, date string, equity double").withColumn("date", F.to_date("date"))
+
+    def held():
+        return sorted((r.account, str(r.date)[-2:], r.equity) for r in readers.read_snapshots(spark, p).collect())
+
+    sinks.write_snapshots(snaps(("a", "2024-01-02", 1.0)), p)
+    sinks.write_snapshots(snaps(("b", "2024-01-02", 5.0), ("a", "2024-01-02", 9.0), ("a", "2024-01-03", 2.0)), p)
+    assert held() == [("a", "02", 1.0), ("a", "03", 2.0), ("b", "02", 5.0)]
+    sinks.write_snapshots(snaps(("b", "2024-01-02", 6.0)), p, force=True)
+    assert held() == [("a", "02", 1.0), ("a", "03", 2.0), ("b", "02", 6.0)]
     assert readers.read_snapshots(spark, p, "2024-01-03").count() == 1
 
 
@@ -127,3 +132,17 @@ def test_universe(spark):
 def test_headline_words(spark, title, score):
     from barwright.operators.aggs import headline_score
     assert headline_score(spark.createDataFrame([("A", title)], "symbol string, title string")).first().score == score
+
+
+def test_filings_after_the_date_change_nothing(spark, sf):
+    from barwright.catalog.fundamentals import AS_OF, pan
+    from barwright.plans import screens
+    from barwright.sources import frames
+    late = spark.createDataFrame([("Brand#11", "2001-10-05", 1e9, 1e9)], "symbol string, filing_date string, transaction_shares double, transaction_value double")
+    late = late.withColumn("filing_date", F.to_date("filing_date"))
+    ins, news = frames.insider(spark, sf), frames.brand_news(spark, sf)
+    rows = lambda i: sorted(map(str, screens.screen_munger(pan(spark, sf), i, AS_OF).collect()))
+    assert rows(ins) == rows(ins.unionByName(late))
+    burry = lambda n: sorted(map(str, screens.screen_burry(pan(spark, sf), ins, n, AS_OF).collect()))
+    bad = news.limit(1).withColumns({"date": F.lit("2001-10-05").cast("date"), "sentiment": F.lit("negative")})
+    assert burry(news) == burry(news.unionByName(bad.unionByName(bad).unionByName(bad).unionByName(bad).unionByName(bad)))
