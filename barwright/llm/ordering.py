@@ -61,10 +61,9 @@ def cut_partition(vocabulary, stride):
         words, task, at, end = WordIds(vocabulary), TaskContext.get().partitionId(), 0, np.uint32(END).tobytes()
         for b in batches:
             texts = [t or b"" for t in b.column("_text").to_pylist()]
-            words.learn({w for t in texts for w in t.split()})
             doc, seq, length, cut = [], [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), texts):
-                ids = np.frombuffer(words.ids(t) + end, "<u4").astype("<u2").tobytes()
+            for i, ids in zip(b.column("doc_id").to_pylist(), words.of_texts(texts)):
+                ids = np.frombuffer(ids + end, "<u4").astype("<u2").tobytes()
                 for k in range(0, len(ids), 2 * stride):
                     doc.append(i)
                     seq.append(k // (2 * stride))

@@ -75,9 +75,8 @@ def pack_partition(vocabulary, room=ROOM):
             return out
         for b in batches:
             texts = [t or b"" for t in b.column("_text").to_pylist()]
-            words.learn({w for t in texts for w in t.split()})
-            for i, t in zip(b.column("doc_id").to_pylist(), texts):
-                ids = words.ids(t) + last
+            for i, ids in zip(b.column("doc_id").to_pylist(), words.of_texts(texts)):
+                ids += last
                 for k, s in enumerate(range(0, len(ids), 4 * room)):
                     p = ids[s:s + 4 * room]
                     held.append((i, k, s // 4, len(p) // 4, zlib.crc32(p)))

@@ -183,4 +183,16 @@ def test_ids_by_word_equal_ids_by_text(text):
     assert ids == WORDS.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["Straße, ÜBER!! don't it's x's. |a| a.b@c.de $$$ 0 10 a0b <|endoftext|>. <|ENDOFTEXT|>, e\u0301a E\u0301A \u0130stanbul \u03a3\u0391\u03a3 \ufb01ne 東京。 тест ñÑ\u00a0nbsp \u2003 wide'S 'Ll",
+                                  "tion.%%% a### x~ .' 's, n't 'tis \u00b2 x\u00b2 \u0661 ok"])
+def test_ids_of_odd_words(text):
+    assert np.frombuffer(WORDS.ids(text.encode()), "<u4").tolist() == WORDS.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet="abtheZé'ß.,!#0 1<|>\u0301\u00a0ſK", max_size=40))
+@settings(max_examples=1500, deadline=None)
+def test_ids_of_made_up_words(text):
+    assert np.frombuffer(WORDS.ids(text.encode()), "<u4").tolist() == WORDS.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 WORDS = subwords.WordIds(remembered=500)
