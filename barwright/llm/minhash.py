@@ -13,7 +13,7 @@ fingerprint, which is like another empty one and unlike all others. Equal texts
 
 from pyspark.sql import Window, functions as F
 
-from barwright.llm.common import let, settle, text_of, windows_of, words
+from barwright.llm.common import let, lookup, settle, text_of, windows_of, words
 
 WIDTH = 5
 BINS = 128
@@ -24,6 +24,8 @@ EMPTY = (1 << VALUE_BITS) - 1
 LOW = 8
 #: Documents are dealt in blocks of so many ids to find each one's successor.
 BLOCK = 256
+#: Blocks whose heads are broadcast.
+HEADS = 100_000
 
 
 def _signed(x):
@@ -114,22 +116,27 @@ def following_blocks(blocks):
     return ranged.withColumn("_in", inside).join(firsts, F.col("part") == F.col("_part")).select("block", F.coalesce("_in", "_next").alias("next_block"))
 
 
-def with_next(docs, columns):
+def with_next(docs, columns, add=lambda d: d):
     """Each row with next_<column> of the row that follows by ascending doc_id, the first after the last.
 
+    ``add`` works out further columns of a row; only rows that need it, all once and the first of each block again, pay for it.
+    The heads of the blocks are one row in 256; their table is broadcast up to HEADS rows and joined by doc_id beyond it.
+
     Rows with a null doc_id come before all others, in order of their text's hash.
     """
     order = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "_tie")
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), F.lit(-(1 << 62)))
     dealt = docs.withColumn("block", block).withColumn("_tie", F.xxhash64("text"))
+    everyone = add(dealt)
     ids = docs.select(block.alias("block"), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie"))
     first = settle(ids.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "tie")).alias("f")))
     follows = following_blocks(first.select("block")).join(first.select(F.col("block").alias("next_block"), "f"), "next_block")
-    heads = dealt.join(follows.select(F.col("block").alias("_block"), F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_t")),
-                       F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t").isNull() | (F.col("_tie") == F.col("_t"))))
+    follows = settle(follows.select(F.col("block").alias("_block"), F.col("f.doc_id").alias("_id"), F.col("f.tie").alias("_t")))
+    heads = lookup(dealt, follows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t").isNull() | (F.col("_tie") == F.col("_t"))), "inner", HEADS)
+    heads = add(heads)
     # rows that share a doc_id share their place: the least of them by hash is the head
     heads = heads.groupBy("_block").agg(F.min_by(F.struct(*[F.col(c).alias(f"head_{c}") for c in columns]), F.col("_tie")).alias("head"))
-    inside = dealt.select("*", *[F.lead(F.struct(c)).over(order).alias(f"_next_{c}") for c in columns])
+    inside = everyone.select("*", *[F.lead(F.struct(c)).over(order).alias(f"_next_{c}") for c in columns])
     out = inside.join(heads, F.col("block") == F.col("_block"), "left")
     for c in columns:
         out = out.withColumn(f"next_{c}", F.when(F.col(f"_next_{c}").isNotNull(), F.col(f"_next_{c}.{c}")).otherwise(F.col(f"head.head_{c}")))
@@ -139,7 +146,7 @@ def with_next(docs, columns):
 def query(spark, sf_dir):
     """Fingerprints of every text and of its edited text, whose second half is the start of the next document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of().alias("text"))
-    d = with_next(docs.withColumn("fp", fingerprint("text")), ["text", "fp"])
+    d = with_next(docs, ["text", "fp"], lambda x: x.withColumn("fp", fingerprint("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
