@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and, where SQL can express them, their counterparts."""
 
-from barwright.llm import chat, minhash, mixing, ordering, packing, private, quality, sharding, simhash
+from barwright.llm import chat, lm, minhash, mixing, ordering, packing, private, quality, sharding, simhash
 
 QUERIES = {
+    "op1_lm_scores": lm.query,
     "op2_sharding": sharding.query,
     "op3_mixing": mixing.query,
     "op4_preferences": chat.query,
