@@ -9,7 +9,7 @@ import numpy as np
 
 CLASSES, MEMBERS = 32, 64
 SYMBOLS = CLASSES * MEMBERS
-DIM, HIDDEN, WINDOW = 32, 96, 32
+DIM, HIDDEN, WINDOW = 24, 48, 16
 
 
 def initial(counts, seed=5, dim=DIM, hidden=HIDDEN, window=WINDOW):

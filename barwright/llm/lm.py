@@ -4,7 +4,7 @@ The model is a causal self-attention network over subword ids (``attention``). W
 subword ids and words of all training documents (they set its symbols, its output biases and the base), and windows of a
 bounded sample of training documents for its other weights. Ids beyond the 2047 commonest share one symbol and split its probability by their
 counts, so every text has a probability. Texts are lower-cased words and an end; each subword is scored once, in overlapping
-windows of 32 with at least 8 before it.
+windows of 16 with at least 4 before it.
 
 The base looks every word up among the counts of the corpus. Words that make at least 1 in 2^19 of it, so at most 2^19 words, travel as a
 table; all others are joined by word, and as each is rare, no key of that join is hot. Nothing else is broadcast.
@@ -28,14 +28,14 @@ from barwright.llm.subwords import VOCABULARY, WordIds
 FOLDS, HELD_OUT = 7, 2
 #: Id of the end in the vocabulary, and the number of its ids.
 END_ID, IDS = 49_407, 49_408
-STRIDE = 24
+STRIDE = 12
 #: A word with at least this share of all training tokens is frequent.
 FREQUENT = 1 << 19
 #: Expected documents and windows of the training sample.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2_500, 60_000
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2_500, 120_000
 EPOCHS = 2
 #: Windows scored at a time, and different words counted before they are handed on.
-BATCH, COUNTED = 512, 200_000
+BATCH, COUNTED = 320, 200_000
 
 
 def folded(docs):
