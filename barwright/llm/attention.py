@@ -171,8 +171,9 @@ def windows(symbols, start, stride, window=WINDOW):
     """
     n = len(symbols)
     count = -(-n // stride)
-    padded = np.full(window - 1 + count * stride + 1, start, np.int64)
-    padded[window:window + n] = symbols
+    first = window - stride + 1  # where the first target lies: the first window's last ``stride`` positions precede the first targets
+    padded = np.full(count * stride + first, start, np.int64)
+    padded[first:first + n] = symbols
     at = np.arange(count)[:, None] * stride
     x = padded[at + np.arange(window)]
     y = padded[at + np.arange(window - stride, window) + 1]
