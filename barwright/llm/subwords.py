@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words that a task remembers before it starts anew; bounds its memory.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 #: Texts whose words are learnt together, and words asked for in one call.
 TEXTS, ASKED = 500, 400
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
