@@ -6,15 +6,16 @@ The formats the readers take are produced from the given tables by Spark, then p
 from pyspark.sql import functions as F
 
 from barwright.catalog import registry
-from barwright.catalog.book import SWING
+from barwright.catalog.book import SWING, UNIVERSE
 from barwright.catalog.fundamentals import AS_OF, K6, WORDS, pan
 from barwright.catalog.registry import query, r, rcols, tidy
-from barwright.catalog.sqlframes import BARS, BARS5, BRAND_BARS, BRAND_NEWS, BRAND_NEWS_AT, FILLS, INSIDER, INSIDER_AT, JOURNAL, PANEL, POSITIONS, SIGNALS, SNAPSHOTS
+from barwright.catalog.sqlframes import BARS, BARS5, BRAND_BARS, BRAND_NEWS, BRAND_NEWS_AT, EXPERIMENTS, FILLS, INSIDER, INSIDER_AT, JOURNAL, PANEL, POSITIONS, SIGNALS, SNAPSHOTS
 from barwright.catalog.aggregates import PACK, regime_case
 from barwright.functions.numeric import ladder, reason, safe_div, safe_growth
 from barwright.operators import aggs, joins, scanner
 from barwright.plans import screens
 from barwright.sources import frames, readers, sinks, universe
+from barwright.streaming.jobs import scratch
 
 OHLC = ("open", "high", "low", "close")
 
@@ -197,6 +198,59 @@ for _force in (False, True):
         return tidy(sinks.merge_snapshots(old, new, force))
 
 
+@query("s14_snapshot_writer", f"""WITH {SNAPSHOTS} SELECT account, date, CASE WHEN account = 'BUILDING' AND date >= DATE '2000-01-01' THEN position_count + 1000
+    WHEN account > 'C' OR date <= DATE '1998-12-31' THEN position_count + CASE WHEN date > DATE '1998-12-31' THEN 100 ELSE 0 END ELSE position_count + 100 END AS position_count FROM snapshots""")
+def _(spark, sf):
+    """First days, then later ones that overlap and must not replace, then one account's last days by force; read back from the folder."""
+    s, path = frames.snapshots(spark, sf).select("account", "date", "position_count"), scratch(spark, "s14")
+    at, n = F.col("date"), F.col("position_count")
+    sinks.write_snapshots(s.filter(at <= F.lit("1998-12-31").cast("date")), path)
+    sinks.write_snapshots(s.filter(at >= F.lit("1998-06-01").cast("date")).withColumn("position_count", n + 100), path)
+    sinks.write_snapshots(s.filter((F.col("account") == "BUILDING") & (at >= F.lit("2000-01-01").cast("date"))).withColumn("position_count", n + 1000), path, force=True)
+    return tidy(readers.read_snapshots(spark, path).select("account", "date", "position_count"))
+
+
+@query("s15_read_snapshots", f"""WITH {SNAPSHOTS} SELECT account, date, {r('equity', 2)} AS equity FROM snapshots WHERE date >= DATE '2000-01-01'""")
+def _(spark, sf):
+    path = scratch(spark, "s15")
+    sinks.write_snapshots(frames.snapshots(spark, sf), path)
+    return tidy(readers.read_snapshots(spark, path, "2000-01-01").select("account", "date", "equity"), 2)
+
+
+@query("s16_append_json", f"""WITH {POSITIONS} SELECT account, symbol, {r('unrealized_plpc')} AS plpc, 2::BIGINT AS times FROM positions WHERE abs(unrealized_plpc * 100) > 5""")
+def _(spark, sf):
+    """The alert log after two runs: every record twice, all stamped."""
+    path = scratch(spark, "s16")
+    alerts = scanner_alerts(spark, sf)
+    for _run in range(2):
+        sinks.append_json(alerts, path)
+    log = spark.read.schema("account long, symbol string, plpc double, timestamp string").json(path)
+    return tidy(log.filter(F.col("timestamp").isNotNull()).groupBy("account", "symbol", "plpc").agg(F.count(F.lit(1)).alias("times")))
+
+
+def scanner_alerts(spark, sf):
+    from barwright.operators import risk
+    return risk.big_movers(frames.positions(spark, sf)).select("account", "symbol", F.col("unrealized_plpc").alias("plpc"))
+
+
+@query("s17_read_experiments", f"""WITH {EXPERIMENTS} SELECT experiment_id::VARCHAR AS experiment_id, mode, kept, {r('fitness_score')} AS fitness_score, {r('fitness_score / 10')} AS sharpe, length(hypothesis) AS chars FROM experiments""")
+def _(spark, sf):
+    """Experiments written as JSON lines, a broken line among them, and read back."""
+    path = scratch(spark, "s17")
+    e = frames.experiments(spark, sf).select(
+        F.col("experiment_id").cast("string").alias("experiment_id"), "mode", "hypothesis", "kept", "fitness_score", F.create_map(F.lit("sharpe_ratio"), F.col("fitness_score") / 10).alias("metrics"))
+    e.write.json(path)
+    e.limit(1).select(F.lit("{ not json").alias("value")).write.mode("append").text(path)
+    x = readers.read_experiments(spark, path)
+    return tidy(x.select("experiment_id", "mode", "kept", "fitness_score", F.col("metrics")["sharpe_ratio"].alias("sharpe"), F.char_length("hypothesis").cast("long").alias("chars")))
+
+
+@query("s18_universe", f"""WITH {FILLS}, {UNIVERSE} SELECT mode, sector, symbol, count(*) AS fills, CAST(sum(qty) AS BIGINT) AS qty FROM uni JOIN fills USING (symbol) GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    j = frames.fills(spark, sf).join(F.broadcast(universe.universe_df(spark).select("mode", "sector", "symbol")), "symbol")
+    return tidy(j.groupBy("mode", "sector", "symbol").agg(F.count(F.lit(1)).alias("fills"), F.sum("qty").alias("qty")))
+
+
 @query("s19_merge_keep_existing", f"""WITH {BARS}, o AS (SELECT symbol, ts, close FROM bars WHERE ts <= DATE '1998-12-31'), n AS (SELECT symbol, ts, close + 1 AS close FROM bars WHERE ts >= DATE '1998-06-01')
   SELECT * FROM o UNION ALL SELECT * FROM n ANTI JOIN o USING (symbol, ts)""")
 def _(spark, sf):

@@ -142,6 +142,32 @@ def _(spark, sf):
     return sig4(research.day_signals(day_feats(spark, sf), P))
 
 
+# the published parameters as they are; what stays below the published threshold is shown and marked
+PUBLISHED = {**research.DAY, "min_confidence": 20.0}
+
+
+@query("w25_published_parameters", f"WITH {FEAT}, {day_sql('v', p=PUBLISHED)} SELECT symbol, session, ts, {SIGCOLS}, round(confidence, 4) >= {research.DAY['min_confidence']} AS passes FROM sig")
+def _(spark, sf):
+    s = sig4(research.day_signals(day_feats(spark, sf), PUBLISHED))
+    return s.withColumn("passes", F.col("confidence") >= research.DAY["min_confidence"])
+
+
+def reversal(pdf):
+    """A strategy in Python: a session whose close falls for three bars in a row is bought at the next higher close."""
+    p = pdf.assign(falls=(pdf["close"].diff() < 0).rolling(3).sum().shift(1), up=pdf["close"].diff() > 0)
+    p = p[(p["falls"] == 3) & p["up"]]
+    return p.assign(direction="long", confidence=50.0, entry_price=p["close"], stop_price=p["close"] * 0.99, target_price=p["close"] * 1.02)[
+        ["symbol", "session", "ts", "direction", "confidence", "entry_price", "stop_price", "target_price"]]
+
+
+@query("x01_python_strategy", f"""WITH {BARS5}, d_ AS (SELECT *, close - lag(close) OVER w AS d FROM bars5 WINDOW w AS (PARTITION BY symbol, session ORDER BY ts)),
+  f_ AS (SELECT *, lag(d, 1) OVER w < 0 AND lag(d, 2) OVER w < 0 AND lag(d, 3) OVER w < 0 AS fell FROM d_ WINDOW w AS (PARTITION BY symbol, session ORDER BY ts))
+  SELECT symbol, session, ts, 'long' AS direction, {r('close')} AS entry_price, {r('close * 0.99::DOUBLE')} AS stop_price, {r('close * 1.02::DOUBLE')} AS target_price FROM f_ WHERE fell AND d > 0""")
+def _(spark, sf):
+    run = research.python_strategy(reversal)
+    return tidy(run(frames.bars5(spark, sf)).select("symbol", "session", "ts", "direction", "entry_price", "stop_price", "target_price"))
+
+
 @query("x01_strategy_registry", f"WITH {FEAT}, {day_sql('v')} SELECT session, direction, count(*) AS signals, {r('avg(confidence)', 4)} AS confidence FROM sig GROUP BY 1, 2")
 def _(spark, sf):
     s = research.run_strategy("scaled_day", day_feats(spark, sf))
@@ -251,13 +277,15 @@ def _(spark, sf):
     return tidy(s.select("variant", "num_trades", "win_rate", "total_return_pct", "max_drawdown", "fitness"), 4)
 
 
-@query("x02_keep_rule")
+SIDES = SWEEP.replace("tr AS (SELECT *, ", """cut_ AS (SELECT min(session) AS cut FROM (SELECT DISTINCT session FROM bars5 ORDER BY 1 DESC LIMIT 20)),
+  tr AS (SELECT * REPLACE (variant || CASE WHEN session >= (SELECT cut FROM cut_) THEN '/out' ELSE '/in' END AS variant), """)
+
+
+@query("x02_keep_rule", f"""WITH {SIDES}, j_ AS (SELECT split_part(variant, '/', 1) AS v, max(fitness) FILTER (variant LIKE '%/in') AS i, max(fitness) FILTER (variant LIKE '%/out') AS o FROM fit GROUP BY 1),
+  b_ AS (SELECT v, i, o FROM j_ WHERE i IS NOT NULL ORDER BY i DESC, v DESC LIMIT 1)
+  SELECT v AS variant, {r('i', 4)} AS is_fitness, {r('o', 4)} AS oos_fitness, coalesce(o, -999) >= -5 AS kept FROM b_""")
 def _(spark, sf):
-    b = frames.bars5(spark, sf)
-    cut = F.lit("2024-01-12").cast("date")
-    inside = research.sweep(b.filter(F.col("session") < cut), GRID, *frames.anchors(), base=P)
-    outside = research.sweep(b.filter(F.col("session") >= cut), GRID, *frames.anchors(), base=P)
-    return tidy(research.keep_rule(inside, outside), 4)
+    return tidy(research.keep_rule(research.sweep(frames.bars5(spark, sf), GRID, *frames.anchors(), base=P, out_of_sample=20)), 4)
 
 
 # -- calendars and as-of ----------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from barwright.catalog.registry import query, r, tidy
+from barwright.catalog.registry import ORACLES, query, r, tidy
 from barwright.catalog.sqlframes import TICKS
+from barwright.operators import risk
 from barwright.sources import frames
 from barwright.streaming import jobs
 
@@ -77,9 +78,15 @@ def _(spark, sf):
     return jobs.drain(jobs.stream_journal(twice), spark, "r06").withColumn("timestamp", naive("timestamp"))
 
 
-@query("r07_stream_alerts", f"""WITH {TICKS} SELECT symbol, count(*) AS alerts FROM ticks WHERE price > 102.5 GROUP BY 1""")
+@query("r07_stream_alerts", f"""{ORACLES['d07_concentration_alerts']} UNION ALL SELECT account, type, NULL, value, threshold FROM ({ORACLES['d08_cash_alerts']})""")
 def _(spark, sf):
-    out, ck = jobs.scratch(spark, "r07"), jobs.scratch(spark, "r07-ck")
-    hot = lambda df: df.filter("price > 102.5").select("symbol", "price")
-    jobs.stream_alerts(ticks(spark, sf), out, [hot], ck).awaitTermination()
-    return tidy(spark.read.schema("symbol string, price double").json(out).groupBy("symbol").agg(F.count(F.lit(1)).alias("alerts")))
+    """Positions arrive account by account in several files; each micro-batch runs the concentration and cash checks."""
+    landed, out, ck = (jobs.scratch(spark, n) for n in ("r07-in", "r07", "r07-ck"))
+    frames.positions(spark, sf).repartition(4, "account").write.parquet(landed)
+    acc = frames.accounts(spark, sf)
+    of = lambda batch: acc.join(batch.select("account").distinct(), "account", "left_semi")
+    checks = [lambda b: risk.concentration_alerts(b, of(b), spark, "swing"), lambda b: risk.cash_alerts(of(b), "swing")]
+    positions = jobs.stream_ticks(spark, landed, spark.read.parquet(landed).schema, 1)
+    jobs.stream_alerts(positions, out, checks, ck).awaitTermination()
+    found = spark.read.schema("account long, type string, subject string, value double, threshold double").json(out)
+    return tidy(found.select("account", "type", "subject", "value", "threshold"), 3)

@@ -282,6 +282,32 @@ def strategy_metrics(equity, trades, mode="day", keys=("account",), initial=None
     return fitness(m, mode)
 
 
+def daily_metrics(day, capital, mode="day", keys=("variant",), rf=0.0434):
+    """Fitness of strategies from their days alone: day(keys, session, pnl, trades, wins, gross_profit, gross_loss).
+
+    The curve starts at ``capital`` the day before, as the default of the lag and the floor of the running peak, so one
+    window and one aggregate do.
+    """
+    w = win.so_far(keys, ("session",))
+    d = day.withColumn("value", capital + F.sum("pnl").over(w))
+    d = d.withColumns({"_prev": F.coalesce(F.lag("value").over(win.ordered(keys, ("session",))), F.lit(float(capital))),
+                       "_peak": F.greatest(F.max("value").over(w), F.lit(float(capital)))})
+    d = d.withColumn("_ex", safe_div("value", "_prev") - 1 - rf / DAYS)
+    g = d.groupBy(*keys).agg(
+        F.count("_ex").alias("_n"), F.avg("_ex").alias("_m"), F.stddev_samp("_ex").alias("_s"),
+        F.coalesce(F.stddev_samp(F.when(F.col("_ex") < 0, F.col("_ex"))), F.lit(0.0)).alias("_neg"),
+        (F.min(safe_div(F.col("value") - F.col("_peak"), "_peak")) * 100).alias("max_drawdown"), F.max_by("value", "session").alias("_v1"),
+        *[F.sum(c).alias(c) for c in ("trades", "wins", "gross_profit", "gross_loss")])
+    root, enough = math.sqrt(DAYS), F.col("_n") >= 1
+    sortino = F.when(F.col("_neg") > 1e-12, F.least(F.col("_m") / F.col("_neg") * root, F.lit(20.0))).when(F.col("_m") > 0, 20.0).otherwise(0.0)
+    pf = F.when(F.col("gross_loss") > 0, F.col("gross_profit") / F.col("gross_loss")).when(F.col("gross_profit") > 0, 10.0).otherwise(0.0)
+    m = g.select(
+        *keys, F.when(enough, F.when(F.col("_s") > 1e-12, F.col("_m") / F.col("_s") * root).otherwise(0.0)).alias("sharpe_ratio"), F.when(enough, sortino).alias("sortino_ratio"),
+        "max_drawdown", ((F.col("_v1") - capital) / capital * 100).alias("total_return_pct"), F.col("trades").alias("num_trades"),
+        (F.col("wins") / F.col("trades")).alias("win_rate"), F.least(pf, F.lit(10.0)).alias("profit_factor"), "gross_profit", "gross_loss")
+    return fitness(m, mode)
+
+
 # -- journal ----------------------------------------------------------------------------
 
 def journal_stats(journal, keys=()):

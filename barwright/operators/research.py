@@ -186,8 +186,8 @@ def best_signal(signals, universe_keys):
     return universe_keys.join(g, "symbol", "left").select("symbol", label.alias("signal"), F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"))
 
 
-def sweep(bars, grid, anchor, second, capital=100_000.0, size=0.15, slippage=0.0005, max_per_bar=5, base=DAY):
-    """Score parameter variants in one job.
+def sweep(bars, grid, anchor, second, capital=100_000.0, size=0.15, slippage=0.0005, max_per_bar=5, base=DAY, out_of_sample=None):
+    """Score parameter variants in one job; with ``out_of_sample`` = n the last n sessions (side ``out``) apart from the rest (``in``).
 
     ``grid`` maps a variant name to overrides of the day parameters. Features are built once per
     distinct set of window lengths; the variants with those lengths ride along as one literal array
@@ -208,17 +208,21 @@ def sweep(bars, grid, anchor, second, capital=100_000.0, size=0.15, slippage=0.0
     t = label_brackets(sig, bars, slippage)
     shares = F.greatest(F.lit(1.0), F.floor(capital * size / F.col("entry_fill")).cast("double"))
     t = t.withColumn("pnl", trade_pnl("entry_fill", "exit_fill", shares, "direction"))
-    day = t.groupBy("variant", "session").agg(F.sum("pnl").alias("pnl"))
-    w = W.partitionBy("variant").orderBy("session")
-    curve = day.select("variant", F.col("session").alias("date"), (capital + F.sum("pnl").over(w)).alias("value"))
-    start = day.groupBy("variant").agg(F.date_sub(F.min("session"), 1).alias("date")).withColumn("value", F.lit(capital))
-    return aggs.strategy_metrics(curve.unionByName(start), t, "day", ("variant",), capital)
-
-
-def keep_rule(in_sample, out_of_sample, floor=-5.0, incumbent=None):
-    """The best variant in sample, kept only if it beats the incumbent and holds out of sample."""
-    j = in_sample.select("variant", F.col("fitness").alias("is_fitness")).join(
-        out_of_sample.select("variant", F.col("fitness").alias("oos_fitness")), "variant", "left")
+    won, gone = F.col("pnl") > 0, F.col("pnl") <= 0
+    zero = F.lit(0.0)
+    day = t.groupBy("variant", "session").agg(
+        F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("trades"), F.sum(won.cast("long")).alias("wins"),
+        F.coalesce(F.sum(F.when(won, F.col("pnl"))), zero).alias("gross_profit"), F.abs(F.coalesce(F.sum(F.when(gone, F.col("pnl"))), zero)).alias("gross_loss"))
+    if out_of_sample is None:
+        return aggs.daily_metrics(day, capital)
+    cut = bars.select("session").distinct().orderBy(F.desc("session")).limit(out_of_sample).agg(F.min("session")).scalar()
+    return aggs.daily_metrics(day.withColumn("side", F.when(F.col("session") >= cut, "out").otherwise("in")), capital, keys=("variant", "side"))
+
+
+def keep_rule(scored, floor=-5.0, incumbent=None):
+    """The best variant in sample, kept only if it beats the incumbent and holds out of sample; ``scored`` has variant, side, fitness."""
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("fitness")))
+    j = scored.groupBy("variant").agg(at("in").alias("is_fitness"), at("out").alias("oos_fitness")).filter(F.col("is_fitness").isNotNull())
     best = j.agg(F.max_by(F.struct("variant", "is_fitness", "oos_fitness"), F.struct("is_fitness", "variant")).alias("b")).select("b.*")
     ok = F.coalesce("oos_fitness", F.lit(-999.0)) >= floor
     return best.withColumn("kept", ok if incumbent is None else ok & (F.col("is_fitness") > incumbent))

@@ -150,9 +150,12 @@ CONCEPTS = {
     "share_repurchase": ["PaymentsForRepurchaseOfCommonStock"],
     "issuance_of_debt": ["ProceedsFromIssuanceOfLongTermDebt"],
     "repayment_of_debt": ["RepaymentsOfLongTermDebt"],
+    "net_income_from_cash_flow": ["NetIncomeLoss"],
+    "depreciation_from_cash_flow": ["DepreciationDepletionAndAmortization"],
     "ebit": ["OperatingIncomeLoss"],
     "income_before_tax": ["IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest"],
     "weighted_average_shares": ["WeightedAverageNumberOfShareOutstandingBasicAndDiluted", "CommonStockSharesOutstanding"],
+    "net_cash_from_operations": ["NetCashProvidedByUsedInOperatingActivities"],
     "net_cash_from_investing": ["NetCashProvidedByUsedInInvestingActivities"],
     "net_cash_from_financing": ["NetCashProvidedByUsedInFinancingActivities"],
 }
@@ -164,10 +167,13 @@ def extract_line_items(obs, items, as_of, limit=10, concepts=CONCEPTS, compat=Fa
     Of an item's concepts the first with any data wins; of a period's observations the first.
     Free cash flow is operating cash flow less capital spending (``compat``: not subtracted).
     """
+    unknown = [i for i in items if i != "free_cash_flow" and i not in concepts]
+    if unknown:
+        raise ValueError(f"no concepts for line items {unknown}")
     need = [i for i in items if i != "free_cash_flow"]
     if "free_cash_flow" in items:
         need += [i for i in ("operating_cash_flow", "capital_expenditure") if i not in need]
-    pairs = [F.struct(F.lit(i).alias("item"), F.lit(c).alias("c"), F.lit(k).alias("prio")) for i in need for k, c in enumerate(concepts.get(i, [i]))]
+    pairs = [F.struct(F.lit(i).alias("item"), F.lit(c).alias("c"), F.lit(k).alias("prio")) for i in need for k, c in enumerate(concepts[i])]
     # the map from items to concepts is a literal array: matching is a filter, not a join
     o = obs.withColumn("m", F.explode(F.filter(F.array(*pairs), lambda p: p["c"] == F.col("concept")))).select("symbol", "m.item", "m.prio", "end", "filed", "pos", "val")
     best = o.groupBy("symbol", "item").agg(F.min("prio").alias("prio"))
@@ -237,16 +243,18 @@ def explode_filings(df, start=None, end=None, limit=None, key="symbol"):
 
 
 VALUE = "struct<value:{t}>"
-FORM4 = ("issuer struct<issuerTradingSymbol:string>, reportingOwner struct<reportingOwnerId:struct<rptOwnerName:string>, "
-         "reportingOwnerRelationship:struct<isDirector:string, officerTitle:string>>, "
+FORM4 = ("issuer struct<issuerTradingSymbol:string>, reportingOwner array<struct<reportingOwnerId:struct<rptOwnerName:string>, "
+         "reportingOwnerRelationship:struct<isDirector:string, officerTitle:string>>>, "
          "nonDerivativeTable struct<nonDerivativeTransaction:array<struct<securityTitle:struct<value:string>, transactionDate:struct<value:string>, "
          "transactionAmounts:struct<transactionShares:struct<value:double>, transactionPricePerShare:struct<value:double>, transactionAcquiredDisposedCode:struct<value:string>>, "
          "postTransactionAmounts:struct<sharesOwnedFollowingTransaction:struct<value:double>>>>>")
 
 
 def _as_form4(d):
-    t = d.select(F.col("issuer.issuerTradingSymbol").alias("symbol"), F.col("reportingOwner.reportingOwnerId.rptOwnerName").alias("name"),
-                 F.col("reportingOwner.reportingOwnerRelationship").alias("rel"), F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"))
+    # a joint filing names several owners of the same trades: one row per owner and trade
+    d = d.select("issuer", "nonDerivativeTable", F.explode_outer("reportingOwner").alias("owner"))
+    t = d.select(F.col("issuer.issuerTradingSymbol").alias("symbol"), F.col("owner.reportingOwnerId.rptOwnerName").alias("name"),
+                 F.col("owner.reportingOwnerRelationship").alias("rel"), F.explode("nonDerivativeTable.nonDerivativeTransaction").alias("t"))
     shares, price = F.col("t.transactionAmounts.transactionShares.value"), F.col("t.transactionAmounts.transactionPricePerShare.value")
     sold = F.col("t.transactionAmounts.transactionAcquiredDisposedCode.value") == "D"
     return t.select(
@@ -310,9 +318,12 @@ def read_runs(spark, path):
 
 
 def read_snapshots(spark, path, since=None):
-    """Date-partitioned snapshots; the cut-off prunes partitions."""
+    """Daily snapshots in folders by month; the cut-off prunes folders."""
     s = spark.read.parquet(path)
-    return s if since is None else s.filter(F.col("date") >= F.lit(since).cast("date"))
+    if since is not None:
+        day = F.lit(since).cast("date")
+        s = s.filter((F.col("month") >= F.trunc(day, "month")) & (F.col("date") >= day))
+    return s.drop("month")
 
 
 def coerce_bars(df):

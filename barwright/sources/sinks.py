@@ -37,16 +37,19 @@ def merge_snapshots(old, new, force=False):
 
 
 def write_snapshots(df, path, force=False):
-    """Daily snapshots by date partition, one per account and date: the old one stays unless ``force`` replaces it.
+    """Daily snapshots, one per account and date: the old one stays unless ``force`` replaces it.
 
-    Only the dates of the new rows are read, and with ``force`` rewritten, old accounts together with new ones.
+    Folders are months, so that a day of few accounts is not a file of its own. Only the months of the new rows are read,
+    and with ``force`` rewritten, old rows together with new ones.
     """
     spark = df.sparkSession
+    df = df.withColumn("month", F.trunc("date", "month"))
     if not exists(spark, path):
-        df.write.partitionBy("date").parquet(path)
+        df.repartition("month").write.partitionBy("month").parquet(path)
         return
-    old = spark.read.schema(df.schema).parquet(path).join(df.select("date").distinct(), "date", "left_semi").select(*df.columns)
+    old = spark.read.schema(df.schema).parquet(path).join(df.select("month").distinct(), "month", "left_semi").select(*df.columns)
     if force:
-        merge_snapshots(old, df, True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        merge_snapshots(old, df, True).repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
     else:
-        df.join(old.select("account", "date"), ["account", "date"], "left_anti").select(*df.columns).write.mode("append").partitionBy("date").parquet(path)
+        new = df.join(old.select("account", "date"), ["account", "date"], "left_anti").select(*df.columns)
+        new.repartition("month").write.mode("append").partitionBy("month").parquet(path)

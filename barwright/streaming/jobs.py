@@ -5,7 +5,6 @@ window, a position, an account's day).
 """
 
 import os
-import tempfile
 import uuid
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from barwright.functions.numeric import safe_div
-from barwright.session import shared_dir
+from barwright.session import scratch_dir
 from barwright.sources import universe
 
 LATE = "10 minutes"
@@ -141,9 +140,8 @@ def stream_alerts(positions, path, checks, checkpoint):
 
 
 def scratch(spark, name):
-    """A fresh folder in the shared directory the cluster names; a temporary one where none is set."""
-    base = shared_dir(spark) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder that driver and executors share."""
+    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def drain(stream, spark, name, mode="append"):

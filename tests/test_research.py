@@ -70,11 +70,14 @@ def test_stream_bars_over_many_batches_equal_batch(spark, sf, tmp_path):
 
 
 def test_sweep_keeps_the_best_that_holds(spark):
-    a = spark.createDataFrame([("x", 5.0), ("y", 9.0)], "variant string, fitness double")
-    bad = spark.createDataFrame([("x", 1.0), ("y", -9.0)], "variant string, fitness double")
-    r = research.keep_rule(a, bad).first()
+    def scored(*rows):
+        return spark.createDataFrame([(v, s, f) for v, i, o in rows for s, f in (("in", i), ("out", o)) if f is not None], "variant string, side string, fitness double")
+
+    r = research.keep_rule(scored(("x", 5.0, 1.0), ("y", 9.0, -9.0))).first()
     assert (r.variant, r.kept) == ("y", False)
-    assert research.keep_rule(a, a).first().kept and not research.keep_rule(a, a, incumbent=9.5).first().kept
+    good = scored(("x", 5.0, 5.0), ("y", 9.0, 9.0))
+    assert research.keep_rule(good).first().kept and not research.keep_rule(good, incumbent=9.5).first().kept
+    assert not research.keep_rule(scored(("x", 5.0, None))).first().kept
 
 
 def test_buckets_first_match_wins(spark):
