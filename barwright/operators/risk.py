@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
@@ -34,13 +35,13 @@ def volatility_pack(bars, lookback=60, window=30):
 PAIR_SUMS = "a string, b string, s double, n long"
 
 
-def correlation_matrix(bars, block=256, min_dates=5):
-    """Correlation of returns over the dates on which every symbol has one.
+def correlation_matrix(bars, blocks=2, min_dates=5):
+    """Correlation of returns over the dates on which every symbol has one; null where a symbol's returns do not vary.
 
-    A blocked matrix product. Returns are standardised per symbol; symbols fall into blocks of
-    about ``block``, dates into months. A task holds one month of two symbol blocks, multiplies
-    them and emits one partial sum per symbol pair, never a row per date and pair. Its input is
-    at most 31 x 2*block numbers whatever the data, and partial sums combine map-side.
+    A blocked matrix product. Returns are standardised per symbol; symbols fall into ``blocks`` by hash, dates into
+    months. A task holds one month of two symbol blocks, multiplies them and emits one partial sum per symbol pair, never
+    a row per date and pair; partial sums combine map-side. Choose ``blocks`` so that a block has a few hundred symbols:
+    every return is copied once per block.
     """
     rets = win.returns(bars).filter(F.col("ret").isNotNull()).select("symbol", "ts", "ret")
     per_date = rets.groupBy("ts").agg(F.count(F.lit(1)).alias("_k"))
@@ -50,24 +51,22 @@ def correlation_matrix(bars, block=256, min_dates=5):
     stats = rets.groupBy("symbol").agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.count(F.lit(1)).alias("_n"))
     z = rets.join(stats.filter(F.col("_n") >= min_dates), "symbol").select(
         "symbol", "ts", safe_div(F.col("ret") - F.col("_m"), "_s").alias("z"))
-    n_blocks = max(1, math.ceil(symbols.count() / block))
-    z = z.withColumn("_b", F.pmod(F.xxhash64("symbol"), F.lit(n_blocks)).cast("int")).withColumn("_month", F.date_trunc("month", "ts").cast("date"))
+    z = z.withColumn("_b", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")).withColumn("_month", F.date_trunc("month", "ts").cast("date"))
     # every row meets each block pair its block belongs to
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     z = z.withColumn("_o", other).select("symbol", "ts", "z", "_b", "_month", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def products(pdf):
         i, j = int(pdf["_i"].iat[0]), int(pdf["_j"].iat[0])
         left = pdf[pdf["_b"] == i].pivot(index="ts", columns="symbol", values="z")
         right = left if i == j else pdf[pdf["_b"] == j].pivot(index="ts", columns="symbol", values="z")
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "s": [], "n": []})
-        sums = pd.DataFrame(left.to_numpy().T @ right.loc[left.index].to_numpy(), index=left.columns, columns=right.columns)
-        out = sums.rename_axis("a").rename_axis("b", axis=1).stack().rename("s").reset_index()
-        return out.assign(n=len(left))
+        sums = left.to_numpy().T @ right.reindex(left.index).to_numpy()
+        a, b = left.columns.to_numpy(object), right.columns.to_numpy(object)
+        return pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "s": sums.ravel().astype(float), "n": np.full(sums.size, len(left))})
 
     part = z.groupBy("_month", "_i", "_j").applyInPandas(products, PAIR_SUMS)
     half = part.groupBy("a", "b").agg((F.sum("s") / (F.sum("n") - 1)).alias("corr")).filter(F.col("a") != F.col("b"))
+    half = half.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
     flipped = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
     return half.unionByName(flipped).groupBy("a", "b").agg(F.max("corr").alias("corr"))
 
