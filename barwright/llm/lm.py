@@ -6,7 +6,7 @@ bounded sample of training documents for its other weights. Ids beyond the 2047
 counts, so every text has a probability. Texts are lower-cased words and an end; each subword is scored once, in overlapping
 windows of 16 with at least 4 before it.
 
-The base looks every word up among the counts of the corpus. Words that make at least 1 in 2^19 of it, so at most 2^19 words, travel as a
+The base looks every word up among the counts of the corpus. Words that make at least 1 in 2^20 of it, so at most 2^20 words, travel as a
 table; all others are joined by word, and as each is rare, no key of that join is hot. Nothing else is broadcast.
 
 Nulls: a null text is empty and scores its end alone; a null doc_id counts as the empty id, which trains. Repeated rows
@@ -30,12 +30,12 @@ FOLDS, HELD_OUT = 7, 2
 END_ID, IDS = 49_407, 49_408
 STRIDE = 12
 #: A word with at least this share of all training tokens is frequent.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: Expected documents and windows of the training sample.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2_500, 120_000
-EPOCHS = 2
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2_500, 200_000
+EPOCHS = 3
 #: Windows scored at a time, and different words counted before they are handed on.
-BATCH, COUNTED = 320, 200_000
+BATCH, COUNTED = 640, 200_000
 
 
 def folded(docs):
@@ -116,10 +116,10 @@ def sample_windows(training, n_docs, n_tokens, of, end, vocabulary=VOCABULARY, d
                 keep = np.random.Generator(np.random.PCG64(key & (2 ** 63 - 1))).random(len(x)) < thin
                 rows += [(key, i, np.concatenate([a, c, k]).astype("<u2").tobytes()) for i, (a, c, k) in enumerate(zip(x, y, m)) if keep[i]]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["k", "i", "w"])
-    pick = F.pmod(F.xxhash64(F.lit(23), "text_key", "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
+    pick = F.pmod(F.xxhash64(F.lit(23), "text_key", "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) if share < 1 else F.lit(True)
     found = training.where(pick).select("text_key", "text").mapInArrow(run, "k long, i long, w binary").collect()
     found = sorted({(r.k, r.i, bytes(r.w)) for r in found})
-    w = np.array([np.frombuffer(r[2], "<u2") for r in found]).reshape(len(found), 3, -1).astype(np.int64)
+    w = np.array([np.frombuffer(r[2], "<u2") for r in found]).reshape(len(found), 3, attention.WINDOW).astype(np.int64)
     return w[:, 0], w[:, 1], w[:, 2].astype(np.float32)
 
 
