@@ -9,7 +9,7 @@ import numpy as np
 
 CLASSES, MEMBERS = 32, 64
 SYMBOLS = CLASSES * MEMBERS
-DIM, HIDDEN, WINDOW = 16, 48, 16
+DIM, HIDDEN, WINDOW = 16, 48, 32
 
 
 def initial(counts, seed=5, dim=DIM, hidden=HIDDEN, window=WINDOW):
@@ -25,11 +25,6 @@ def initial(counts, seed=5, dim=DIM, hidden=HIDDEN, window=WINDOW):
     }
 
 
-def _log_softmax(x):
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
 def distances(queries, window):
     """Distance of each key from each of the last ``queries`` positions of a window; negative where the mask hides it."""
     return np.arange(window - queries, window)[:, None] - np.arange(window)[None, :]
@@ -93,6 +88,17 @@ def log_probs(t, x, y, queries):
     return out.reshape(len(last), queries)
 
 
+def _softmax_loss(x, at, scale, every):
+    """Gradient of the scaled losses by the values x (overwritten), whose right ones lie ``at``, and the sum of the losses."""
+    x -= x.max(-1, keepdims=True)
+    right = x[every, at]
+    np.exp(x, out=x)
+    total = x.sum(-1)
+    x *= (scale / total)[:, None]
+    x[every, at] -= scale
+    return x, ((np.log(total) - right) * scale).sum()
+
+
 def gradients(p, x, y, m):
     """Mean loss over the masked positions and its gradient by weight."""
     n, t = x.shape
@@ -100,28 +106,26 @@ def gradients(p, x, y, m):
     zf = z.reshape(n * t, -1)
     pre = zf @ p["w"] + p["b"]
     h = np.maximum(pre, 0)
-    yf, mf = y.reshape(-1), m.reshape(-1)
-    cls, mem = yf // MEMBERS, yf % MEMBERS
-    scale = (mf / max(mf.sum(), 1)).astype(np.float32)
+    scale = (m / max(m.sum(), 1)).reshape(-1).astype(np.float32)
     g = {}
-    lc = _log_softmax(h @ p["uc"] + p["bc"])
-    loss = -(lc[np.arange(len(yf)), cls] * scale).sum()
-    dc = np.exp(lc)
-    dc[np.arange(len(yf)), cls] -= 1
-    dc *= scale[:, None]
-    g["uc"], g["bc"] = h.T @ dc, dc.sum(0)
-    dh = dc @ p["uc"].T
+    cls = y.reshape(-1) // MEMBERS
+    order = np.argsort(cls.astype(np.uint8), kind="stable")  # by class, so that each class is one matrix product
+    cls, mem, hs, sc = cls[order], (y.reshape(-1) % MEMBERS)[order], h[order], scale[order]
+    every = np.arange(len(cls))
+    dc, lost = _softmax_loss(hs @ p["uc"] + p["bc"], cls, sc, every)
+    g["uc"], g["bc"] = hs.T @ dc, dc.sum(0)
+    ds = dc @ p["uc"].T
     g["um"], g["bm"] = np.zeros_like(p["um"]), np.zeros_like(p["bm"])
+    bounds, loss = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist(), lost
     for c in range(CLASSES):
-        rows = np.nonzero((cls == c) & (mf > 0))[0]
-        if len(rows):
-            lm = _log_softmax(h[rows] @ p["um"][c] + p["bm"][c])
-            loss -= (lm[np.arange(len(rows)), mem[rows]] * scale[rows]).sum()
-            dm = np.exp(lm)
-            dm[np.arange(len(rows)), mem[rows]] -= 1
-            dm *= scale[rows][:, None]
-            g["um"][c], g["bm"][c] = h[rows].T @ dm, dm.sum(0)
-            dh[rows] += dm @ p["um"][c].T
+        i, j = bounds[c], bounds[c + 1]
+        if j > i:
+            dm, lost = _softmax_loss(hs[i:j] @ p["um"][c] + p["bm"][c], mem[i:j], sc[i:j], every[:j - i])
+            loss += lost
+            g["um"][c], g["bm"][c] = hs[i:j].T @ dm, dm.sum(0)
+            ds[i:j] += dm @ p["um"][c].T
+    dh = np.empty_like(ds)
+    dh[order] = ds
     dh[pre <= 0] = 0
     g["w"], g["b"] = zf.T @ dh, dh.sum(0)
     dz = (dh @ p["w"].T).reshape(n, t, -1)
@@ -140,30 +144,63 @@ def gradients(p, x, y, m):
         g[name] = flat.T @ gf
         de += (gf @ p[name].T).reshape(de.shape)
     g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], x.reshape(-1), de.reshape(-1, dim))
+    at = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+    seen, first = np.unique(x.reshape(-1)[at], return_index=True)
+    g["emb"][seen] = np.add.reduceat(de.reshape(-1, dim)[at], first, axis=0)
     return float(loss), g
 
 
+def fresh(p):
+    """State of training before its first step: weights, both moments of Adam and the number of steps taken."""
+    return {"p": p, "first": {k: np.zeros_like(v) for k, v in p.items()}, "second": {k: np.zeros_like(v) for k, v in p.items()}, "step": 0}
+
+
+def descend(state, x, y, m, rate):
+    """One step of Adam on windows (x, y, m), in place; their mean loss before it."""
+    p, first, second = state["p"], state["first"], state["second"]
+    loss, g = gradients(p, x, y, m)
+    state["step"] += 1
+    step = state["step"]
+    for k in p:
+        first[k] += 0.1 * (g[k] - first[k])
+        second[k] += 0.01 * (g[k] * g[k] - second[k])
+        p[k] -= (rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+    return loss
+
+
+def falling(rate, step, done):
+    """The rate of a step: it rises over 50 steps and falls with the share of the work that is done."""
+    return rate * min(1, step / 50) * (1 - 0.95 * done)
+
+
 def train(p, x, y, m, epochs=3, batch=256, rate=4e-3, seed=11):
     """Adam over windows (x, y, m) with a falling rate; the weights after it and the mean loss of the last epoch."""
-    rng = np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    step, total, losses = 0, max(1, epochs * -(-len(x) // batch)), []
+    rng, state = np.random.default_rng(seed), fresh(p)
+    total, losses = max(1, epochs * -(-len(x) // batch)), []
     for _ in range(epochs):
         order, losses = rng.permutation(len(x)), []
         for i in range(0, len(x), batch):
-            rows = order[i:i + batch]
-            loss, g = gradients(p, x[rows], y[rows], m[rows])
-            losses.append(loss)
-            step += 1
-            lr = rate * min(1, step / 50) * (1 - 0.95 * step / total)
-            for k in p:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] * g[k] - second[k])
-                p[k] -= (lr * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+            rows, step = order[i:i + batch], state["step"] + 1
+            losses.append(descend(state, x[rows], y[rows], m[rows], falling(rate, step, step / total)))
     return p, float(np.mean(losses)) if losses else float("nan")
 
 
+def packed(state):
+    """Weights and moments as one vector of single precision."""
+    return np.concatenate([state[part][k].ravel() for part in ("p", "first", "second") for k in sorted(state["p"])]).astype(np.float32)
+
+
+def unpacked(v, like, step):
+    """The state that ``packed`` made a vector of; ``like`` are weights of its shapes."""
+    out, at = {"step": step}, 0
+    for part in ("p", "first", "second"):
+        out[part] = {}
+        for k in sorted(like):
+            out[part][k] = v[at:at + like[k].size].reshape(like[k].shape).astype(np.float32)
+            at += like[k].size
+    return out
+
+
 def windows(symbols, start, stride, window=WINDOW):
     """Overlapping windows over a sequence: inputs, next symbols of the last ``stride`` positions, and which of them count.
 

@@ -1,10 +1,11 @@
 """Language-model scores of documents, beside a word-count base.
 
 The model is a causal self-attention network over subword ids (``attention``). What it takes from the corpus: the counts of all
-subword ids and words of all training documents (they set its symbols, its output biases and the base), and windows of a
-bounded sample of training documents for its other weights. Ids beyond the 2047 commonest share one symbol and split its probability by their
-counts, so every text has a probability. Texts are lower-cased words and an end; each subword is scored once, in overlapping
-windows of 16 with at least 4 before it.
+subword ids and words of all training documents (they set its symbols, its output biases and the base), and every window of
+every training document for its other weights. Windows are dealt to units of bounded size; in each of eight rounds tasks take
+steps over an eighth of their unit's windows from common weights, and the results are added in Spark and averaged. Ids
+beyond the 2047 commonest share one symbol and split its probability by their counts, so every text has a probability. Texts
+are lower-cased words and an end; each subword is scored once, in overlapping windows of 32 with at least 8 before it.
 
 The base looks every word up among the counts of the corpus. Words that make at least 1 in 2^20 of it, so at most 2^20 words, travel as a
 table; all others are joined by word, and as each is rare, no key of that join is hot. Nothing else is broadcast.
@@ -16,9 +17,11 @@ are scored each. An empty table gives an empty result; without training document
 import math
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from barwright.llm import attention
@@ -28,12 +31,13 @@ from barwright.llm.subwords import VOCABULARY, WordIds
 FOLDS, HELD_OUT = 7, 2
 #: Id of the end in the vocabulary, and the number of its ids.
 END_ID, IDS = 49_407, 49_408
-STRIDE = 12
+STRIDE = 24
 #: A word with at least this share of all training tokens is frequent.
 FREQUENT = 1 << 20
-#: Expected documents and windows of the training sample.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 2_500, 200_000
-EPOCHS = 3
+#: Training windows of a unit, which one task works through; rounds after each of which the units' states are averaged.
+UNIT, ROUNDS = 1 << 16, 8
+#: Windows and top rate of a training step, and pieces in which states are added.
+STEP, RATE, PIECES = 32, 4e-3, 64
 #: Windows scored at a time, and different words counted before they are handed on.
 BATCH, COUNTED = 640, 200_000
 
@@ -101,26 +105,63 @@ class Symbols:
         self.counts = np.bincount(self.of, weights=counts, minlength=attention.SYMBOLS)
 
 
-def sample_windows(training, n_docs, n_tokens, of, end, vocabulary=VOCABULARY, docs=SAMPLE_DOCS, windows=SAMPLE_WINDOWS):
-    """Windows for training: documents by hash of their texts, whole, thinned by window; about ``windows`` rows, whatever the input."""
-    share = min(1.0, docs / max(1, n_docs))
-    thin = min(1.0, windows / max(1.0, share * (n_tokens / attention.WINDOW + n_docs)))
+def training_windows(training, units, of, end, vocabulary=VOCABULARY):
+    """(unit, round, w) with every window of every training row once; w holds windows of WINDOW + 1 symbols and their count of targets.
+
+    Windows are dealt by a draw that depends on a row's place in the table alone, so that repeated rows spread like any others.
+    """
+    cells = units * ROUNDS
 
     def run(batches):
-        known = WordIds(vocabulary)
+        known, rng = WordIds(vocabulary), np.random.default_rng([29, TaskContext.get().partitionId()])
         for b in batches:
-            rows = []
-            for key, t in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist()):
-                s = of[np.append(np.frombuffer(known.ids((t or b"").lower()), "<u4"), END_ID).astype(np.int64)]
-                x, y, m = attention.windows(s, end, attention.WINDOW)
-                keep = np.random.Generator(np.random.PCG64(key & (2 ** 63 - 1))).random(len(x)) < thin
-                rows += [(key, i, np.concatenate([a, c, k]).astype("<u2").tobytes()) for i, (a, c, k) in enumerate(zip(x, y, m)) if keep[i]]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["k", "i", "w"])
-    pick = F.pmod(F.xxhash64(F.lit(23), "text_key", "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) if share < 1 else F.lit(True)
-    found = training.where(pick).select("text_key", "text").mapInArrow(run, "k long, i long, w binary").collect()
-    found = sorted({(r.k, r.i, bytes(r.w)) for r in found})
-    w = np.array([np.frombuffer(r[2], "<u2") for r in found]).reshape(len(found), 3, attention.WINDOW).astype(np.int64)
-    return w[:, 0], w[:, 1], w[:, 2].astype(np.float32)
+            w = [np.zeros((0, attention.WINDOW + 2), "<u2")]
+            for ids in known.of_texts([(t or b"").lower() for t in b.column("text").to_pylist()]):
+                x, y, m = attention.windows(of[np.append(np.frombuffer(ids, "<u4"), END_ID).astype(np.int64)], end, attention.WINDOW)
+                w.append(np.column_stack([x, y[:, -1], m.sum(1)]).astype("<u2"))
+            w = np.concatenate(w)
+            cell = rng.integers(0, cells, len(w))
+            order = np.argsort(cell, kind="stable")
+            w, cell = w[order], cell[order]
+            at, first = np.unique(cell, return_index=True)
+            yield pa.record_batch([pa.array(at // ROUNDS, pa.int32()), pa.array(at % ROUNDS, pa.int32()), pa.array([c.tobytes() for c in np.split(w, first[1:])][:len(at)], pa.binary())], ["unit", "round", "w"])
+    return training.select("text").mapInArrow(run, "unit int, round int, w binary").repartitionById(units, F.col("unit"))
+
+
+def trained(windows, weights):
+    """Weights after one pass over all of ``windows``: in each round the units descend on their own, then their states are averaged by windows."""
+    state, sc = attention.fresh(weights), windows.sparkSession.sparkContext
+    for r in range(ROUNDS):
+        sent = sc.broadcast((attention.packed(state), state["step"]))
+
+        def run(batches, r=r, sent=sent):
+            w = [np.frombuffer(v, "<u2").reshape(-1, attention.WINDOW + 2) for b in batches for v in b.column("w").to_pylist()]
+            if not w:
+                return
+            w = np.concatenate(w).astype(np.int64)
+            w = w[np.lexsort(w.T)]  # whatever the order in which rows arrive
+            w = w[np.random.default_rng([31, r]).permutation(len(w))]
+            s = attention.unpacked(sent.value[0], weights, sent.value[1])
+            for i in range(0, len(w), STEP):
+                part = w[i:i + STEP]
+                m = (np.arange(attention.WINDOW) < part[:, -1:]).astype(np.float32)
+                attention.descend(s, part[:, :attention.WINDOW], part[:, 1:-1], m, attention.falling(RATE, s["step"] + 1, (r + i / len(w)) / ROUNDS))
+            v = np.array_split(attention.packed(s) * np.float32(len(w)), PIECES)
+            yield pa.record_batch([pa.array(range(PIECES), pa.int32()), pa.array([len(w)] * PIECES, pa.int64()), pa.array([s["step"]] * PIECES, pa.int64()), pa.array([x.tobytes() for x in v], pa.binary())], ["piece", "n", "step", "v"])
+
+        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, step = 0.0, 0, 0
+            for b in batches:
+                for v in b.column("v").to_pylist():
+                    total = total + np.frombuffer(v, "<f4").astype(float)
+                n, step = n + sum(b.column("n").to_pylist()), max(step, *b.column("step").to_pylist(), 0)
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([step], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["piece", "step", "v"])
+        found = windows.where(F.col("round") == r).select("w").mapInArrow(run, "piece int, n long, step long, v binary")
+        found = sorted(found.groupBy("piece").applyInArrow(add, "piece int, step long, v binary").collect())
+        if found:
+            state = attention.unpacked(np.concatenate([np.frombuffer(x.v, "<f4") for x in found]), weights, found[0].step)
+        sent.unpersist()
+    return state["p"]
 
 
 def scores(docs, tables, symbols, vocabulary=VOCABULARY):
@@ -202,8 +243,8 @@ def fit(training, vocabulary=VOCABULARY):
     total, distinct = total + ends, distinct + (ends > 0)
     ids = id_counts(counts, ends, vocabulary)
     symbols = Symbols(ids)
-    x, y, m = sample_windows(training, ends, int(ids.sum()), symbols.of, symbols.end, vocabulary)
-    weights, _ = attention.train(attention.initial(symbols.counts), x, y, m, EPOCHS)
+    units = max(1, round((int(ids.sum()) / attention.WINDOW + ends / 2) / UNIT))
+    weights = trained(settle(training_windows(training, units, symbols.of, symbols.end, vocabulary)), attention.initial(symbols.counts))
     least = max(1, -(-total // FREQUENT))
     frequent = {bytes(r.word): math.log10(r.n + 1) for r in counts.where(F.col("n") >= least).collect()}
     return {"counts": counts, "ends": ends, "total": total, "distinct": distinct, "symbols": symbols, "tables": attention.tables(weights), "frequent": frequent}

@@ -116,3 +116,29 @@ def test_training_lowers_the_loss():
     before = attention.gradients(p, x, y, m)[0]
     p, after = attention.train(p, x, y, m.astype(np.float32), epochs=25, batch=32)
     assert after < 0.6 * before
+
+
+def test_trains_on_every_window_of_every_row(spark):
+    texts = [f"w{i} of the text number {i} " * (1 + i % 23) for i in range(4_000)] + ["one text many times over"] * 2_000 + [None, ""]
+    docs = lm.folded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = docs.where("NOT held_out")
+    ids = lm.id_counts(lm.word_counts(rows), rows.count())
+    s = lm.Symbols(ids)
+    found = lm.training_windows(rows, 3, s.of, s.end).collect()
+    w = np.concatenate([np.frombuffer(r.w, "<u2").reshape(-1, attention.WINDOW + 2) for r in found]).astype(int)
+    targets = w[:, 1:-1][np.arange(attention.WINDOW) < w[:, -1:]]
+    assert (np.bincount(targets, minlength=attention.SYMBOLS) == s.counts).all()  # nothing is sampled, nothing is twice
+    assert {r.unit for r in found} == {0, 1, 2} and {r.round for r in found} == set(range(lm.ROUNDS))
+    assert attention.WINDOW >= 32 and attention.WINDOW - lm.STRIDE >= 8
+
+
+def test_units_learn_together(spark):
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 300, (60, 3))[rng.integers(0, 60, 120_000)].ravel()  # the last two of each three follow from the first
+    x, y, m = attention.windows(s, 0, attention.WINDOW)
+    w = np.column_stack([x, y[:, -1], m.sum(1)]).astype("<u2")
+    rows = [(int(i % 3), int(i // 3 % lm.ROUNDS), bytearray(v.tobytes())) for i, v in enumerate(w)]
+    p = attention.initial(np.bincount(s, minlength=attention.SYMBOLS))
+    before = attention.gradients(p, x[:500], y[:500], m[:500])[0]
+    p = lm.trained(spark.createDataFrame(rows, "unit int, round int, w binary").repartition(3, "unit"), p)
+    assert attention.gradients(p, x[:500], y[:500], m[:500])[0] < 0.85 * before
