@@ -33,8 +33,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: What follows the local part of a looser e-mail address. A plain dot has blanks on both sides or on none: one before a blank ends a sentence.
+AFTER = re.compile(r" ?(?:\(at\)|\[at\]| at |@) ?[a-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.| \. )[a-z0-9-]{1,63}){1,4}", re.I | re.A)
+SIGNS = ("@", "(at)", "[at]", " at ")
 LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7})(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")),
@@ -88,22 +90,35 @@ def base_spans(t):
     return out
 
 
+def loose_emails(t):
+    """Spans of addresses spelled out or spaced, in any case, found from their sign: the local part is the run of its characters before that."""
+    end = 0
+    for m in AFTER.finditer(t):
+        run = t[max(end, m.start() - 64):m.start()]
+        start = m.start() - len(run) + len(run.rstrip(LOCAL))
+        if start < m.start():
+            end = m.end()
+            yield start, end
+
+
 def loose_spans(t, base):
     """Further candidates, leftmost first by pattern, that overlap neither base spans nor each other."""
     taken = sorted((s, e) for _, s, e in base)
     ends = list(accumulate((e for _, e in taken), max))  # base spans of two kinds may overlap
     out = []
     digit = any(c in t for c in "0123456789")
-    for kind, pattern in LOOSE:
-        if (kind != "email" and not digit) or (kind == "email" and " dot " not in t and "dot]" not in t and "dot)" not in t):
-            continue
-        for m in pattern.finditer(t):
-            s, e = m.span()
-            i = bisect(taken, (s, e))
-            if (i == 0 or ends[i - 1] <= s) and (i == len(taken) or taken[i][0] >= e):
-                out.append((KINDS.index(kind), s, e))
-                taken.insert(i, (s, e))
-                ends.insert(i, max(e, ends[i - 1] if i else e))
+    found = []
+    low = t.lower()
+    if any(c in low for c in SIGNS):
+        found += [("email", s, e) for s, e in loose_emails(t)]
+    if digit:
+        found += [(kind, *m.span()) for kind, pattern in LOOSE for m in pattern.finditer(t)]
+    for kind, s, e in found:
+        i = bisect(taken, (s, e))
+        if (i == 0 or ends[i - 1] <= s) and (i == len(taken) or taken[i][0] >= e):
+            out.append((KINDS.index(kind), s, e))
+            taken.insert(i, (s, e))
+            ends.insert(i, max(e, ends[i - 1] if i else e))
     return out
 
 

@@ -102,3 +102,16 @@ def test_redaction(spark, plants, odd):  # noqa: F811
 def test_no_candidates():
     assert private.fit({}) == (frozenset(), [])
     assert brute.words("") == []
+
+
+def test_spelled_addresses(spark):
+    forms = ["jane{} (at) example.com", "jane{} [at] example.com", "jane{} at example.com", "jane{} @ example.com", "JANE{} (AT) EXAMPLE (DOT) ORG", "jane{} At example Dot org", "jane{} [at] mail [dot] example [dot] com"]
+    rows = [(10 * i + k, f"write to {f.format(i)}. In the morning we looked at home. It was late", f.format(i)) for i in range(40) for k, f in enumerate(forms)]
+    rows += [(10 * i + 8, f"contact jane{i}@example.com for more", f"jane{i}@example.com") for i in range(40)]
+    rows += [(10 * i + 9, "We met at noon. No one at Home. In all, at 12.5 of it", "") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, address string")
+    accepted, _ = private.fit(private.pattern_counts(docs))
+    out = {r.doc_id: r.spans for r in private.spans_of(docs, accepted).collect()}
+    for i, text, address in rows:
+        s = text.find(address)
+        assert out[i] == (f"email:{s}:{s + len(address)}" if address else ""), text
