@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their counterparts."""
 
-from barwright.llm import chat, lm, minhash, mixing, ordering, packing, private, quality, sharding, simhash
+from barwright.llm import chat, jaccard, lm, minhash, mixing, negatives, ordering, packing, private, quality, sharding, simhash, whitening
 
 QUERIES = {
     "op1_lm_scores": lm.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_packing": packing.query,
     "op10_simhash": simhash.query,
+    "op11_whitening": whitening.query,
+    "op12_jaccard_join": jaccard.query,
+    "op13_hard_negatives": negatives.query,
 }
 
-ORACLES = {"op4_preferences": chat.SQL}
+ORACLES = {"op4_preferences": chat.SQL, "op13_hard_negatives": negatives.SQL}
