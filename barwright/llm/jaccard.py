@@ -9,9 +9,10 @@ all over a text, passages or lines that many documents have in common do not mak
 Candidates that could still be near by size and by a 1024-bit parity sketch (differing bits are a lower bound of differing
 shingles) are counted exactly: over FRAGMENTS fixed fragments of the global order, partial overlaps are counted apart and summed per pair.
 
-Equal sets are one row throughout. In a group that shares a fragment, all meet the first few in a random order, links are contracted to components, and
-only groups that still hold several components go on, each round with SIXTEEN times as many to meet; every pair is counted or already
-connected. So large groups of copies cost a few rounds rather than all pairs, and no link is lost.
+Equal sets are one row throughout. Groups of at most FEW that share a fragment meet pair by pair. In larger ones all meet a lead, the member
+with the most company, and the difference of each set to its lead is taken: two members that differ by few shingles are both near the lead,
+or their differences share many shingles, which prefixes of the differences (rarest shingle first) find. So thousands of copies with edits of their
+own cost their edits rather than all pairs, and no link is lost.
 
 Nulls: a null or blank text has an empty set and links with nothing. Rows with a null doc_id take part; a component of such rows alone has a null id. Repeated
 rows share a component. Texts are read whole, however long. An empty table gives an empty result. Other columns are not read, whatever their names.
@@ -28,7 +29,7 @@ from barwright.llm.common import lookup, settle, table
 from barwright.llm.components import components
 
 WIDTH, LIKE = 3, 90
-FRAGMENTS, SKETCH, SIXTEEN = 16, 1024, 16
+FRAGMENTS, SKETCH, FEW = 16, 1024, 4
 #: Words whose hashes a task remembers.
 WORDS = 1 << 18
 #: Odd multipliers of the words of a shingle and of a fragment's number and class.
@@ -135,29 +136,27 @@ def sketched(batches):
 
 
 def fragments(batches):
-    """(rep, fragment, part): the shingles of each text by fragment of the global order."""
+    """(rep, fragment, part): the shingles of each text by fragment of the global order, empty ones too."""
     known = Known()
     for b in batches:
         for rep, text in zip(b.column("rep").to_pylist(), b.column("_text").to_pylist()):
             s = shingles(text, known)
             cuts = np.searchsorted(s >> np.uint64(32), np.arange(FRAGMENTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
-            kept = np.nonzero(np.diff(cuts))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), rep)), pa.array(kept.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(cuts[kept], len(s)).astype(np.int32)), pa.array(s.view(np.int64)))],
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(FRAGMENTS, rep)), pa.array(np.arange(FRAGMENTS, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(s.view(np.int64)))],
                                              ["rep", "fragment", "part"])
 
 
 def members(reps):
-    """(sig, rep, high, at): who shares the hash of a fragment, in a random order from 1; what only one has is pruned. Settled."""
+    """(sig, rep): who shares the hash of a fragment; what only one has is pruned. Settled."""
     def run(batches):
         for b in batches:
-            for name, high in (("low", 0), ("high", 1)):
+            for name in ("low", "high"):
                 blobs = b.column(name).to_pylist()
-                tags = np.repeat(b.column("rep").to_numpy() * 2 + high, [len(x) // 8 for x in blobs])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), "<i8")), pa.array(tags)], ["sig", "tag"])
-    w = Window.partitionBy("sig").orderBy(F.xxhash64("sig", "tag"))
-    rows = reps.select("rep", "low", "high").mapInArrow(run, "sig long, tag long")
-    rows = rows.select("sig", "tag", F.row_number().over(w).alias("at"), (F.lag("tag").over(w).isNotNull() | F.lead("tag").over(w).isNotNull()).alias("met")).where("met")
-    return settle(rows.select("sig", F.expr("tag div 2").alias("rep"), (F.col("tag") % 2 == 1).alias("high"), "at"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), "<i8")), b.column("rep").take(pa.array(np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])))], ["sig", "rep"])
+    w = Window.partitionBy("sig").orderBy("rep")
+    rows = reps.select("rep", "low", "high").mapInArrow(run, "sig long, rep long")
+    rows = rows.select("sig", "rep", (F.lag("rep").over(w).isNotNull() | F.lead("rep").over(w).isNotNull()).alias("met")).where("met")
+    return settle(rows.select("sig", "rep"))
 
 
 def parts_of(docs, reps, met):
@@ -172,51 +171,91 @@ def parts_of(docs, reps, met):
     return settle(one.mapInArrow(fragments, "rep long, fragment int, part array<long>"))
 
 
+def beside(pairs, parts, *keep):
+    """``pairs`` (a, b, ...) with both parts (pa, pb) of each fragment."""
+    left = pairs.join(parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa")), "a")
+    return left.join(parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"]).select("a", "b", *keep, "pa", "pb")
+
+
 def near(pairs, parts):
     """The pairs (a, b, na, nb) whose overlaps, counted per fragment and summed, make LIKE or more of their union."""
-    left = pairs.join(parts.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("pa")), "a")
-    both = left.join(parts.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
-    over = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    keys = ("a", "b", "na", "nb")
+    over = beside(pairs, parts, "na", "nb").select(*keys, F.size(F.array_intersect("pa", "pb")).alias("o")).groupBy(*keys).agg(F.sum("o").alias("o"))
     return over.where(100 * F.col("o") >= LIKE * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def candidates(rest, reps, seen, leads):
-    """Pairs (a, b, na, nb) of the first ``leads`` of each group with those after them, in other components, that size and sketch allow."""
-    lead = rest.where(F.col("at") <= leads).select("sig", F.col("rep").alias("x"), F.col("at").alias("ax"), F.col("high").alias("hx"), F.col("root").alias("rx"))
-    pairs = lead.join(rest, "sig").where((F.col("at") > F.col("ax")) & (F.col("root") != F.col("rx")) & ~(F.col("high") & F.col("hx")))
-    pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"p{i}").alias(f"{x}{i}") for i in range(SKETCH // 64)])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+def possible(pairs, sides):
+    """Distinct pairs (a, b, na, nb) that sizes and sketches allow."""
+    side = lambda x: sides.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"p{i}").alias(f"{x}{i}") for i in range(SKETCH // 64)])
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, SKETCH // 64)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    total = F.col("na") + F.col("nb")
-    fits = (100 * F.least("na", "nb") >= LIKE * F.greatest("na", "nb")) & ((100 + LIKE) * apart <= (100 - LIKE) * total)
+    fits = (100 * F.least("na", "nb") >= LIKE * F.greatest("na", "nb")) & ((100 + LIKE) * apart <= (100 - LIKE) * (F.col("na") + F.col("nb")))
     return pairs.where(fits).select("a", "b", "na", "nb")
 
 
+def allowed(total):
+    """How many shingles two near sets of ``total`` shingles together may differ in."""
+    return F.floor(total * (100 - LIKE) / (100 + LIKE) + 1e-9)
+
+
+def by_lead(met, groups):
+    """(small, led): pairs (a, b) of the groups of at most FEW, and (rep, lead) of the larger ones. Both settled."""
+    company = met.join(groups, "sig").groupBy("rep").agg(F.sum("m").alias("company"))
+    led = met.join(company, "rep").groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max_by("rep", F.struct("company", "rep")).alias("lead"))
+    rows = met.join(led, "sig")
+    few = rows.where(F.col("m") <= FEW).groupBy("sig").agg(F.collect_list("rep").alias("reps"))
+    few = few.select("reps", F.explode("reps").alias("a")).select("a", F.explode("reps").alias("b")).where("a < b").distinct()
+    return settle(few), settle(rows.where((F.col("m") > FEW) & (F.col("rep") != F.col("lead"))).select("rep", "lead").distinct())
+
+
+def by_difference(led, linked, sides, parts):
+    """Pairs (a, b) of one lead, in different components, that may be near though neither difference to the lead tells; None if there are no such leads."""
+    rows = led.join(linked, F.col("rep") == F.col("node"), "left").select("rep", "lead", F.coalesce("component", "rep").alias("root"))
+    home = linked.select(F.col("node").alias("_lead"), F.col("component").alias("_home"))
+    mixed = rows.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("lead")
+    rows = rows.join(mixed, "lead")
+    sizes = sides.select(F.col("rep").alias("_rep"), "n")
+    rows = rows.join(sizes, F.col("rep") == F.col("_rep")).drop("_rep").join(sizes.select(F.col("_rep"), F.col("n").alias("nr")), F.col("lead") == F.col("_rep")).drop("_rep")
+    rows = rows.join(home, F.col("lead") == F.col("_lead"), "left").withColumn("home", F.coalesce("_home", "lead") == F.col("root"))
+    rows = settle(rows.drop("_lead", "_home"))
+    if rows.isEmpty():
+        return None
+    spans = rows.groupBy("lead").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    parted = beside(rows.select(F.col("rep").alias("a"), F.col("lead").alias("b")), parts).select(
+        F.col("a").alias("rep"), F.col("b").alias("lead"), F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("token"))
+    parted = settle(parted)
+    common = parted.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("df"))
+    sets = parted.join(common, ["lead", "token"]).groupBy("rep", "lead").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    sets = sets.join(rows, ["rep", "lead"]).join(spans, "lead").withColumn("d", F.size("tokens"))
+    d, n = F.col("d"), F.col("n")
+    # the most and the least that partners can differ by: partners of a member of the lead's own component are not in it
+    room = allowed(n + F.least(F.col("most"), F.floor(n * 100 / LIKE + 1e-9)))
+    away = F.when(F.col("home"), allowed(F.col("nr") + F.greatest(F.col("least"), F.ceil(n * LIKE / 100 - 1e-9))) + 1).otherwise(0)
+    need = lambda other: F.greatest(F.lit(1), F.ceil((d + other - room) / 2))
+    sets = sets.withColumns({"short": d - need(F.greatest(d, away)) + 1, "long": d - need(F.greatest(d - room, F.lit(0), away)) + 1})
+    cut = lambda c: sets.select("rep", "lead", "root", "n", "d", F.explode(F.transform(F.slice("tokens", 1, F.greatest(F.col(c), F.lit(0)).cast("int")), lambda x: x["token"])).alias("token"))
+    long = settle(cut("long"))
+    several = long.groupBy("lead", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("lead", "token")
+    long = long.join(several, ["lead", "token"])
+    short = cut("short").select("lead", "token", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("d").alias("da"))
+    fits = (F.col("root") != F.col("ra")) & (F.col("da") <= F.col("d")) & (100 * F.least("n", "na") >= LIKE * F.greatest("n", "na")) & (F.col("d") - F.col("da") <= allowed(F.col("n") + F.col("na")))
+    return short.join(long, ["lead", "token"]).where(fits).select("a", F.col("rep").alias("b"))
+
+
 def classes_of(docs, reps):
-    """(rep, root) of all representatives that link with another; settled."""
+    """(node, component) of all representatives that link with another; settled."""
     met = members(reps)
+    groups = settle(met.groupBy("sig").agg(F.count(F.lit(1)).alias("m")))
     parts = parts_of(docs, reps, met)
     longs = [F.conv(F.hex(F.substring("parity", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"p{i}") for i in range(SKETCH // 64)]
     sides = settle(reps.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", *longs))
-    edges, asked, linked, seen, leads = None, None, None, 0, 1
-    while True:
-        rest = met.where(F.col("at") > seen)
-        if linked is None:
-            rest = rest.withColumn("root", F.col("rep"))
-        else:
-            rest = rest.join(linked, F.col("rep") == F.col("node"), "left").select("sig", "rep", "high", "at", F.coalesce("component", "rep").alias("root"))
-        mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-        rest = settle(rest.join(mixed, "sig", "left_semi"))
-        if rest.isEmpty():
-            return linked
-        pairs = candidates(rest, sides, seen, leads)
-        pairs = settle(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
-        new = settle(near(pairs, parts))
-        asked = pairs.select("a", "b") if asked is None else asked.unionByName(pairs.select("a", "b"))
-        edges = new if edges is None else edges.unionByName(new)
-        linked = components(edges)
-        seen, leads = leads, leads * SIXTEEN
+    small, led = by_lead(met, groups)
+    edges = settle(near(possible(small.unionByName(led.select(F.col("rep").alias("a"), F.col("lead").alias("b"))), sides), parts))
+    linked = components(edges)
+    more = by_difference(led, linked, sides, parts)
+    if more is None:
+        return linked
+    return components(edges.unionByName(settle(near(possible(more, sides), parts))))
 
 
 def join(docs):
@@ -228,14 +267,9 @@ def join(docs):
     each = each.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "parity", "low", "high")])
     reps = settle(each.select(F.monotonically_increasing_id().alias("rep"), "*"))
     linked = classes_of(src, reps)
-    ids = firsts.join(reps.select("key", "rep"), "key")
-    if linked is not None:
-        ids = ids.join(linked, F.col("rep") == F.col("node"), "left")
-        ids = settle(ids.select("key", "first", F.coalesce("component", "rep").alias("root")))
-        least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
-        ids = ids.join(least, "root").select("key", "component_id")
-    else:
-        ids = ids.select("key", F.col("first").alias("component_id"))
+    ids = firsts.join(reps.select("key", "rep"), "key").join(linked, F.col("rep") == F.col("node"), "left")
+    ids = settle(ids.select("key", "first", F.coalesce("component", "rep").alias("root")))
+    ids = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
     out = rows.join(ids.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
