@@ -188,6 +188,28 @@ def _(spark, sf):
     return tidy(portfolio.symbol_ledger(frames.fills(spark, sf)), 3)
 
 
+BOOKS = f"""f AS (SELECT *, CASE WHEN action IN ('buy', 'sell') THEN 'long' ELSE 'short' END AS book, action IN ('buy', 'short') AS opens FROM fills WHERE action <> 'hold' AND qty > 0),
+  g AS (SELECT *, row_number() OVER (PARTITION BY account, symbol, book ORDER BY {ORDERED}) AS rn FROM f),
+  s AS (SELECT account, symbol, book, rn, CASE WHEN opens THEN qty ELSE 0 END AS position, CASE WHEN opens THEN price ELSE 0.0 END AS basis, CASE WHEN opens THEN qty ELSE 0 END AS executed, CAST(0 AS DOUBLE) AS gain, CASE WHEN opens THEN qty * price ELSE 0.0 END AS freed
+        FROM g WHERE rn = 1
+      UNION ALL
+        SELECT g.account, g.symbol, g.book, g.rn, CASE WHEN opens THEN s.position + g.qty ELSE greatest(s.position - g.qty, 0) END,
+          CASE WHEN opens THEN (s.basis * s.position + g.qty * g.price) / (s.position + g.qty) WHEN s.position > g.qty THEN s.basis ELSE 0.0 END,
+          CASE WHEN opens THEN g.qty ELSE least(g.qty, s.position) END,
+          s.gain + CASE WHEN opens THEN 0.0 ELSE (g.price - s.basis) * least(g.qty, s.position) * CASE WHEN g.book = 'long' THEN 1 ELSE -1 END END,
+          CASE WHEN opens THEN g.qty * g.price ELSE -s.basis * least(g.qty, s.position) END
+        FROM s JOIN g ON g.account = s.account AND g.symbol = s.symbol AND g.book = s.book AND g.rn = s.rn + 1),
+  e AS (SELECT g.*, s.position, s.basis, s.executed, s.gain, CASE WHEN g.book = 'short' THEN 0.5 * s.freed ELSE 0.0 END AS margin,
+      CASE WHEN action IN ('buy', 'cover') THEN -1 ELSE 1 END * s.executed * g.price AS trade FROM g JOIN s USING (account, symbol, book, rn))"""
+
+
+@query("d13_margin_ledger", f"""WITH RECURSIVE {FILLS}, {BOOKS} SELECT account, row_number() OVER w AS n, symbol, book, day, action, qty, executed, {r('price', 3)} AS price, position, {r('basis', 3)} AS cost_basis, {r('gain', 2)} AS realized,
+    {r('1e6 + sum(trade - margin) OVER w', 2)} AS cash, {r('sum(margin) OVER w', 2)} AS margin_used FROM e WINDOW w AS (PARTITION BY account ORDER BY {ORDERED})""")
+def _(spark, sf):
+    led = portfolio.margin_ledger(frames.fills(spark, sf), opening(spark, sf))
+    return tidy(led.withColumns({c: F.round(c, 2) for c in ("realized", "cash", "margin_used")}), 3)
+
+
 @query("d15_equity_curve", f"""WITH {DONE}, px AS (SELECT symbol, day, arg_max(price, ({ORDERED}, account)) AS price FROM fills GROUP BY 1, 2),
   dl AS (SELECT account, symbol, day, sum(s * qty) AS d, sum(-s * qty * price) AS c FROM done GROUP BY 1, 2, 3),
   ps AS (SELECT account, symbol, day, sum(d) OVER (PARTITION BY account, symbol ORDER BY day) AS pos FROM dl),

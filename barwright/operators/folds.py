@@ -1,8 +1,9 @@
-"""Recursive smoothing without recursion.
+"""Linear recurrences without recursion.
 
-S_t = sum over i<=t of a^(t-i) x_i is a plain running sum once x_i is scaled by a^-i. The
-scale is kept in range by restarting it in blocks; a block is long enough that what is older
-than the previous block weighs less than 1e-20, so two blocks give the full double result.
+y_t = a_t y_(t-1) + b_t with 0 <= a_t <= 1 is exp(L_t) * sum over i<=t of b_i exp(-L_i), L the running sum of log a. A row with
+a = 0 starts a segment of its own. The scale is kept in range by cutting a segment wherever L has fallen by SPAN; sums within a
+span are carried over as many earlier spans as have a weight above zero in a double, so nothing that a double can show is cut
+off, for any rates.
 """
 
 import math
@@ -12,38 +13,58 @@ from pyspark.sql import functions as F
 from barwright.functions.numeric import col, safe_div
 from barwright.operators.windows import KEYS, ORDER, ordered, so_far
 
+#: Fall of the log weight in a span, and earlier spans that are carried: exp(-4 * 200) is zero in a double.
+SPAN, CARRIED = 200.0, 3
 
-def _block(rates):
-    """Rows per block: old enough to be weightless at the slowest rate, short enough for the scale at the fastest."""
-    need = max(8, max(math.ceil(20 * math.log(10) / -math.log(a)) for a in rates))
-    room = min(math.floor(280 * math.log(10) / -math.log(a)) for a in rates)
-    return need if need <= room else None
+
+def _weighted(df, keys, order, fall, inputs):
+    """Adds ``out`` = sum over earlier rows i and this one of input_i * exp(-(fall - fall_i)) for ``inputs`` = {out: column}.
+
+    ``fall`` is a column that does not decrease in the order of ``keys``.
+    """
+    df = df.withColumn("_span", F.floor(col(fall) / SPAN))
+    inside = so_far((*keys, "_span"), order)
+    scale = F.exp(col(fall) - SPAN * F.col("_span"))
+    df = df.withColumns({f"_x_{out}": F.coalesce(col(c), F.lit(0.0)) * scale for out, c in inputs.items()})
+    before = ordered(keys, ("_span",))
+    df = df.withColumns({f"_o_{out}": F.sum(f"_x_{out}").over(inside) for out in inputs} | {
+        f"_p{i}_{out}": F.sum(f"_x_{out}").over(before.rangeBetween(-i, -i)) for i in range(1, CARRIED + 1) for out in inputs})
+
+    def whole(out):
+        carried = sum((F.coalesce(F.col(f"_p{i}_{out}"), F.lit(0.0)) * math.exp(-SPAN * i) for i in range(2, CARRIED + 1)),
+                      F.coalesce(F.col(f"_p1_{out}"), F.lit(0.0)) * math.exp(-SPAN))
+        return (F.col(f"_o_{out}") + carried) / scale
+    df = df.withColumns({out: whole(out) for out in inputs})
+    return df.drop("_span", *[f"_{k}_{out}" for k in ("x", "o", *[f"p{i}" for i in range(1, CARRIED + 1)]) for out in inputs])
 
 
 def decayed_sums(df, series, keys=KEYS, order=ORDER):
-    """Adds each ``out`` = sum of a^(age in rows) * c for ``series`` = {out: (c, a)}.
+    """Adds each ``out`` = sum of a^(age in rows) * c for ``series`` = {out: (c, a)}, 0 <= a <= 1.
 
-    Null inputs add nothing but still age. Series share one numbering and two window passes;
-    rates too far apart for a common block are done in turn.
+    Null inputs add nothing but still age. Series of one rate share their passes.
     """
-    block = _block([a for _, a in series.values()])
-    if block is None:
-        for out, one in series.items():
-            df = decayed_sums(df, {out: one}, keys, order)
-        return df
-    whole = ordered(keys, order)
-    df = df.withColumn("_i", F.row_number().over(whole) - 1)
-    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_j": F.col("_i") % block})
-    in_block = so_far((*keys, "_b"), ("_j",))
-    df = df.withColumns({
-        f"_l_{out}": F.sum(F.coalesce(col(c), F.lit(0.0)) * F.pow(F.lit(a), -F.col("_j"))).over(in_block) * F.pow(F.lit(a), F.col("_j"))
-        for out, (c, a) in series.items()})
-    before = whole.rowsBetween(-block, -1)
-    end = F.col("_j") == block - 1
-    df = df.withColumns({f"_c_{out}": F.last(F.when(end, F.col(f"_l_{out}")), ignorenulls=True).over(before) for out in series})
-    df = df.withColumns({
-        out: F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0.0)) * F.pow(F.lit(a), F.col("_j") + 1) for out, (_, a) in series.items()})
-    return df.drop("_i", "_b", "_j", *[f"_{k}_{out}" for k in "lc" for out in series])
+    df = df.withColumn("_i", F.row_number().over(ordered(keys, order)) - 1)
+    for rate in sorted({a for _, a in series.values()}):
+        inputs = {out: c for out, (c, a) in series.items() if a == rate}
+        if rate == 0:
+            df = df.withColumns({out: F.coalesce(col(c), F.lit(0.0)) for out, c in inputs.items()})
+        else:
+            df = _weighted(df.withColumn("_fall", F.col("_i") * -math.log(rate)), keys, order, "_fall", inputs).drop("_fall")
+    return df.drop("_i")
+
+
+def linear_scan(df, keep, add, out, keys, order, product=None):
+    """Adds ``out``: y = keep * y_before + add per row (keep between 0 and 1, y before the first row 0).
+
+    ``product`` names a column for the weight that a value before the first row would still have.
+    """
+    w = so_far(keys, order)
+    df = df.withColumn("_seg", F.sum(F.when(col(keep) == 0, 1).otherwise(0)).over(w))
+    fall = F.sum(F.when(col(keep) > 0, -F.log(col(keep))).otherwise(0.0)).over(so_far((*keys, "_seg"), order))
+    df = _weighted(df.withColumn("_fall", fall), (*keys, "_seg"), order, "_fall", {out: add})
+    if product:
+        df = df.withColumn(product, F.when(F.col("_seg") == 0, F.exp(-F.col("_fall"))).otherwise(0.0))
+    return df.drop("_seg", "_fall")
 
 
 def emas(df, c, outs, keys=KEYS, order=ORDER):

@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from barwright.functions.numeric import col, safe_div
+from barwright.operators import folds
 from barwright.sources import universe
 
 
@@ -143,37 +144,85 @@ def ledger(fills, opening):
                     (F.coalesce("_open", F.lit(0.0)) + F.col("_c0") + F.col("_c")).alias("cash"), (F.col("_p0") + F.col("_p")).alias("position"))
 
 
-def symbol_ledger(fills, keys=("account", "symbol"), span=200):
-    """Cash-free running position, average cost and realised profit of longs per symbol.
+def book(fills, opens, closes, keys=("account", "symbol"), block="day"):
+    """One side of the positions fill by fill: ``opens`` add at their price, ``closes`` clamp at what is held and leave the average cost.
 
-    Sells clamp at what is held, so the position is the running sum of signed quantities reflected at zero: S - min(0,
-    running minimum of S). The cost of what is held is affine per fill: a buy adds q * p, a sell leaves the share
-    left / held. Between two empty positions it is therefore exp(L) * sum(q * p * exp(-L)) with L the running sum of
-    log(left / held); the scale restarts every ``span`` nats, and two spans hold all that a double can show.
+    Adds before, position, cost_before, cost (of what is held) and executed. An associative scan in two levels: blocks (``block``, any
+    column that rises with seq) are summarised apart and composed, so that one account and symbol spreads over as many tasks as it
+    has blocks. Positions are sums reflected at zero, summarised by (net, lowest prefix); the cost is then linear per fill: an opening
+    adds q * p, a closing keeps position / before of it, which composes to (weight, cost) per block.
     """
-    f = fills.filter(F.col("action").isin("buy", "sell"))
-    order = W.partitionBy(*keys).orderBy("seq")
-    w = order.rowsBetween(W.unboundedPreceding, 0)
-    buy = F.col("action") == "buy"
-    f = f.withColumn("_s", F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).over(w))
-    f = f.withColumn("position", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w)))
-    f = f.withColumn("_held", F.coalesce(F.lag("position").over(order), F.lit(0)))
-    f = f.withColumn("_seg", F.sum(F.when(F.col("_held") == 0, 1).otherwise(0)).over(w))
-    left = F.when(~buy & (F.col("position") > 0) & (F.col("_held") > 0), F.log(F.col("position") / F.col("_held"))).otherwise(0.0)
-    seg = W.partitionBy(*keys, "_seg")
-    f = f.withColumn("_l", F.sum(left).over(seg.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
-    f = f.withColumn("_b", F.floor(-F.col("_l") / span))
-    paid = F.when(buy, F.col("qty") * F.col("price")).otherwise(0.0)
-    f = f.withColumn("_x", paid * F.exp(-F.col("_l") - span * F.col("_b")))
-    own = F.sum("_x").over(W.partitionBy(*keys, "_seg", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    past = F.coalesce(F.sum("_x").over(seg.orderBy("_b").rangeBetween(-1, -1)), F.lit(0.0))
-    at = F.col("_l") + span * F.col("_b")
-    cost = F.exp(at) * own + F.exp(at - span) * past
-    f = f.withColumn("cost_basis", F.when(F.col("position") > 0, cost / F.col("position")).otherwise(0.0))
-    before = F.coalesce(F.lag("cost_basis").over(order), F.lit(0.0))
-    gain = F.when(buy, 0.0).otherwise((F.col("price") - before) * (F.col("_held") - F.col("position")))
-    f = f.withColumn("_g", gain).withColumn("realized", F.sum("_g").over(w))
-    return f.select(*keys, "day", "action", "qty", "price", "position", "cost_basis", "realized")
+    f = fills.filter(F.col("action").isin(opens, closes) & (F.col("qty") > 0))
+    part = (*keys, block)
+    inner, blocks = W.partitionBy(*part).orderBy("seq"), W.partitionBy(*keys).orderBy(block)
+    w, earlier = inner.rowsBetween(W.unboundedPreceding, 0), blocks.rowsBetween(W.unboundedPreceding, -1)
+    opening = F.col("action") == opens
+    f = f.withColumn("_d", F.when(opening, F.col("qty")).otherwise(-F.col("qty")))
+    f = f.withColumn("_s", F.sum("_d").over(w)).withColumn("_m", F.min("_s").over(w))
+    zero = F.lit(0).cast("long")
+    tops = f.groupBy(*part).agg(F.sum("_d").alias("_n"), F.min("_s").alias("_low"))
+    tops = tops.withColumn("_n0", F.coalesce(F.sum("_n").over(earlier), zero))
+    tops = tops.withColumn("_m0", F.coalesce(F.min(F.col("_n0") + F.col("_low")).over(earlier), zero))
+    f = f.join(tops.select(*part, "_n0", "_m0"), list(part))
+    at = F.col("_n0") + F.col("_s")
+    f = f.withColumn("position", at - F.least(zero, F.col("_m0"), F.col("_n0") + F.col("_m")))
+    f = f.withColumn("before", F.coalesce(F.lag("position").over(inner), F.col("_n0") - F.least(zero, F.col("_m0"))))
+    keep = F.when(F.col("before") == 0, 0.0).when(opening, 1.0).otherwise(F.col("position") / F.col("before"))
+    f = f.withColumn("_keep", keep).withColumn("_add", F.when(opening, F.col("qty") * F.col("price")).otherwise(0.0))
+    f = folds.linear_scan(f, "_keep", "_add", "_own", part, ("seq",), "_weight")
+    ends = f.groupBy(*part).agg(F.max_by(F.struct("_own", "_weight"), "seq").alias("_e")).select(*part, "_e.*")
+    ends = folds.linear_scan(ends, "_weight", "_own", "_carry", keys, (block,))
+    ends = ends.select(*part, F.coalesce(F.lag("_carry").over(blocks), F.lit(0.0)).alias("_carry"))
+    f = f.join(ends, list(part))
+    f = f.withColumn("cost", F.when(F.col("position") > 0, F.col("_own") + F.col("_weight") * F.col("_carry")).otherwise(0.0))
+    f = f.withColumn("cost_before", F.coalesce(F.lag("cost").over(inner), F.when(F.col("before") > 0, F.col("_carry")).otherwise(0.0)))
+    f = f.withColumn("executed", F.abs(F.col("position") - F.col("before")))
+    return f.drop("_d", "_s", "_m", "_n0", "_m0", "_keep", "_add", "_own", "_weight", "_carry")
+
+
+def _running(f, sums, keys, order, block="day"):
+    """Adds running sums ``sums`` = {out: column} over ``keys`` in two levels, blocks first."""
+    part = (*keys, block)
+    inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    tops = f.groupBy(*part).agg(*[F.sum(col(c)).alias(f"_t_{out}") for out, c in sums.items()])
+    tops = tops.select(*part, *[F.coalesce(F.sum(f"_t_{out}").over(earlier), F.lit(0.0)).alias(f"_b_{out}") for out in sums])
+    f = f.join(tops, list(part))
+    return f.withColumns({out: F.col(f"_b_{out}") + F.sum(col(c)).over(inside) for out, c in sums.items()}).drop(*[f"_b_{out}" for out in sums])
+
+
+def symbol_ledger(fills, keys=("account", "symbol"), block="day"):
+    """Cash-free running position, average cost and realised profit of longs per symbol."""
+    f = book(fills, "buy", "sell", keys, block)
+    gain = F.when(F.col("action") == "sell", F.col("executed") * F.col("price") - (F.col("cost_before") - F.col("cost"))).otherwise(0.0)
+    f = _running(f, {"realized": gain}, keys, ("seq",), block)
+    basis = F.when(F.col("position") > 0, F.col("cost") / F.col("position")).otherwise(0.0)
+    return f.select(*keys, "day", "action", "qty", "price", "position", basis.alias("cost_basis"), "realized")
+
+
+def margin_ledger(fills, opening, requirement=0.5, block="day"):
+    """Executed fills over long and short books with cash, margin and realised gains.
+
+    Longs and shorts of a symbol are books of their own. A short adds its proceeds less the margin to cash; a cover releases
+    margin in proportion and pays its price; sells and covers clamp at what is held. Per fill: position, cost basis and realised gain
+    of its book and symbol, and the account's cash and margin in use after it.
+    """
+    both = None
+    for name, opens, closes, sign in (("long", "buy", "sell", 1), ("short", "short", "cover", -1)):
+        f = book(fills, opens, closes, block=block)
+        freed = F.col("cost_before") - F.col("cost")
+        closing = F.col("action") == closes
+        gain = F.when(closing, sign * (F.col("executed") * F.col("price") - freed)).otherwise(0.0)
+        trade = sign * F.when(closing, 1).otherwise(-1) * F.col("executed") * F.col("price")
+        margin = -freed * requirement if sign < 0 else F.lit(0.0)
+        f = f.withColumns({"book": F.lit(name), "_gain": gain, "_margin": margin, "_cash": trade - margin})
+        f = _running(f, {"realized": "_gain"}, ("account", "symbol"), ("seq",), block)
+        both = f if both is None else both.unionByName(f)
+    f = _running(both.withColumn("_one", F.lit(1)), {"_spent": "_cash", "margin_used": "_margin", "_n": "_one"}, ("account",), ("seq",), block)
+    f = f.join(opening.select("account", F.col("cash").alias("_open")), "account", "left")
+    basis = F.when(F.col("position") > 0, F.col("cost") / F.col("position")).otherwise(0.0)
+    return f.select("account", F.col("_n").cast("long").alias("n"), "symbol", "book", "day", "action", "qty", "executed", "price", "position", basis.alias("cost_basis"), "realized",
+                    (F.coalesce("_open", F.lit(0.0)) + F.col("_spent")).alias("cash"), "margin_used")
 
 
 def daily_prices(fills):

@@ -223,7 +223,7 @@ def keep_rule(scored, floor=-5.0, incumbent=None):
     """The best variant in sample, kept only if it beats the incumbent and holds out of sample; ``scored`` has variant, side, fitness."""
     at = lambda side: F.max(F.when(F.col("side") == side, F.col("fitness")))
     j = scored.groupBy("variant").agg(at("in").alias("is_fitness"), at("out").alias("oos_fitness")).filter(F.col("is_fitness").isNotNull())
-    best = j.agg(F.max_by(F.struct("variant", "is_fitness", "oos_fitness"), F.struct("is_fitness", "variant")).alias("b")).select("b.*")
+    best = j.agg(F.max_by(F.struct("variant", "is_fitness", "oos_fitness"), F.struct("is_fitness", "variant")).alias("b")).where("b IS NOT NULL").select("b.*")
     ok = F.coalesce("oos_fitness", F.lit(-999.0)) >= floor
     return best.withColumn("kept", ok if incumbent is None else ok & (F.col("is_fitness") > incumbent))
 

@@ -7,15 +7,13 @@ window, a position, an account's day).
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from barwright.functions.numeric import safe_div
 from barwright.session import scratch_dir
-from barwright.sources import universe
 
 LATE = "10 minutes"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_ticks(spark, path, schema, per_trigger=None):
@@ -56,74 +54,6 @@ def stream_journal(orders, late="1 day"):
     return orders.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["order_id"])
 
 
-STOP_OUT = "symbol string, ts timestamp_ntz, price double, high double, stop_type string"
-STOP_STATE = "entry double, high double, done int, last double"
-
-
-def _stop_step(hard, trail, flatten_minute):
-    """Update one position's (entry, high, done) with its ticks in time order."""
-    def step(key, frames, state):
-        entry, high, done, last = state.get if state.exists else (float("nan"), float("-inf"), 0, 0.0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ts, price in zip(rows["ts"], rows["price"]):
-            if entry != entry:
-                entry = price
-            high = max(high, price)
-            if done:
-                continue
-            et = ts - pd.Timedelta(hours=4)
-            kind = ("hard_stop" if (price - entry) / entry <= -hard else "trailing_stop" if (price - high) / high <= -trail
-                    else "eod_flatten" if flatten_minute is not None and et.hour * 60 + et.minute >= flatten_minute else None)
-            if kind:
-                out.append((key[0], ts, price, high, kind))
-                done = 1
-            last = price
-        state.update((entry, high, done, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "price", "high", "stop_type"])
-    return step
-
-
-def stream_stops(ticks, mode, limits=None):
-    """One stop event per position (here: symbol): entry at its first tick, trailing from its running high.
-
-    The stop with priority is the hard one; modes that flatten do so at their minute.
-    """
-    lim = {**universe.risk(mode), **(limits or {})}
-    step = _stop_step(lim["stop_loss_pct"], lim["trailing_stop_pct"], lim["flatten_minute"])
-    keyed = ticks.groupBy("symbol")
-    return keyed.applyInPandasWithState(step, STOP_OUT, STOP_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-BREAK_OUT = "account string, day date, ts timestamp_ntz, equity double, loss_pct double"
-BREAK_STATE = "day string, start double, tripped int"
-
-
-def _break_step(limit):
-    def step(key, frames, state):
-        day, start, tripped = state.get if state.exists else ("", 0.0, 0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ts, equity in zip(rows["ts"], rows["equity"]):
-            today = str(ts.date())
-            if today != day:
-                day, start, tripped = today, equity, 0
-            loss = (equity - start) / start
-            if not tripped and loss <= -limit:
-                tripped = 1
-                out.append((key[0], ts.date(), ts, equity, loss))
-        state.update((day, start, tripped))
-        yield pd.DataFrame(out, columns=["account", "day", "ts", "equity", "loss_pct"])
-    return step
-
-
-def stream_breaker(equity, mode="day", limit=None):
-    """Daily circuit breaker per account: trips once, latched until the next day."""
-    limit = universe.risk(mode)["daily_loss_limit"] if limit is None else limit
-    keyed = equity.groupBy("account")
-    return keyed.applyInPandasWithState(_break_step(limit), BREAK_OUT, BREAK_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_alerts(positions, path, checks, checkpoint):
     """Run batch alert checks on every micro-batch and append what they find as JSON lines.
 
@@ -144,18 +74,38 @@ def scratch(spark, name):
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def drain(stream, spark, name, mode="append"):
+def land_by_time(df, spark, name, order, slices=4, files=4):
+    """Write a bounded table as event files in slices of rising ``order``, the way they would land; returns the folder.
+
+    A stream that takes ``files`` files a trigger reads one slice a batch.
+    """
+    path = scratch(spark, name)
+    share = [i / slices for i in range(1, slices)]
+    cuts = [None, *df.agg(F.percentile_approx(order, share)).first()[0], None] if slices > 1 else [None, None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = df if low is None else df.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
+def drain(stream, spark, name, mode="append", keyed=False):
     """Run a stream over all that is available into a table and read that table back.
 
     Append mode writes parquet (exactly once by the file sink). Update mode keeps every batch's
     rows with its number; the newest batch of a key is its value.
     """
     out, ck = scratch(spark, name), scratch(spark, name + "-ck")
+    if keyed:
+        # processors with timers keep their state in RocksDB; the setting is read when the stream starts
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     w = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
         q = w.outputMode(mode).foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+    if keyed:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     q.awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
     return spark.read.schema(schema).parquet(out)

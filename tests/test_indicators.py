@@ -36,6 +36,43 @@ def test_emas_of_distant_lengths(spark, series):
     np.testing.assert_allclose(got(b, "b"), series.close.ewm(span=900, adjust=False).mean(), rtol=1e-11)
 
 
+def test_emas_of_one_row_and_of_rates_far_apart_in_one_pass(spark, series):
+    """n = 1 is the series itself; slow and fast rates share one path."""
+    b = folds.emas(spark.createDataFrame(series), "close", {"a": 1, "b": 2, "c": 5000})
+    for c, n in (("a", 1), ("b", 2), ("c", 5000)):
+        np.testing.assert_allclose(got(b, c), series.close.ewm(span=n, adjust=False).mean(), rtol=1e-11)
+
+
+@pytest.mark.parametrize("a", [0.0, 1e-3, 0.5, 0.98, 0.9999, 1.0])
+def test_decayed_sums_keep_all_history(spark, a):
+    """Against the recursion over 100,000 rows whose old values outweigh the new ones by far."""
+    n = 100_000
+    x = np.random.default_rng(8).normal(0, 1, n)
+    x[10], x[40_000] = 1e280, -1e200
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": np.arange(n), "x": x}))
+    out, y = np.empty(n), 0.0
+    for i, v in enumerate(x):
+        y = a * y + v
+        out[i] = y
+    np.testing.assert_allclose(got(folds.decayed_sums(df, {"y": ("x", a)}), "y"), out, rtol=1e-9, atol=1e-12)
+
+
+def test_linear_scan(spark):
+    """Weights that vary by row, with zeros that start anew and falls beyond the range of a double."""
+    rng = np.random.default_rng(9)
+    keep = rng.choice([0.0, 1.0, 0.5, 1e-9], 20_000, p=[0.01, 0.5, 0.4, 0.09])
+    add = rng.normal(0, 1, 20_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 3, 20_000), "ts": np.arange(20_000), "keep": keep, "add": add}))
+    y, p = {}, {}
+    want = []
+    for r in df.orderBy("ts").toPandas().itertuples():
+        y[r.k], p[r.k] = r.keep * y.get(r.k, 0.0) + r.add, r.keep * p.get(r.k, 1.0)
+        want.append((y[r.k], p[r.k]))
+    res = folds.linear_scan(df, "keep", "add", "y", ("k",), ("ts",), "p")
+    np.testing.assert_allclose(got(res, "y"), [w[0] for w in want], rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(got(res, "p"), [w[1] for w in want], rtol=1e-9, atol=1e-300)
+
+
 def test_adx(spark, series):
     p = series
     tr = pd.concat([p.high - p.low, (p.high - p.close.shift()).abs(), (p.low - p.close.shift()).abs()], axis=1).max(axis=1)

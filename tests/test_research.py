@@ -44,19 +44,6 @@ def test_price_asof_drops_incomplete_dates(spark):
     assert got == [("2024-01-01", "A", 1.0), ("2024-01-01", "B", 5.0), ("2024-01-02", "A", 2.0), ("2024-01-02", "B", 5.0)]
 
 
-def test_stream_state_survives_batches(spark, tmp_path):
-    """A position's high and a breaker's latch carry over micro-batches."""
-    t0 = dt.datetime(2024, 1, 2, 10, 0)
-    ticks = [("A", 100.0), ("A", 120.0), ("A", 117.0), ("A", 110.0), ("A", 90.0)]
-    src = str(tmp_path / "in")
-    schema = "event_id int, ts timestamp_ntz, symbol string, price double"
-    for i, (s, p) in enumerate(ticks):
-        spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), s, p)], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = jobs.stream_ticks(spark, src, spark.read.parquet(src).schema, per_trigger=1)
-    got = jobs.drain(jobs.stream_stops(stream, "day", {"stop_loss_pct": 0.5, "trailing_stop_pct": 0.05, "flatten_minute": None}), spark, "t-stops").collect()
-    assert [(r.symbol, r.price, r.high, r.stop_type) for r in got] == [("A", 110.0, 120.0, "trailing_stop")]
-
-
 def test_stream_bars_over_many_batches_equal_batch(spark, sf, tmp_path):
     src = str(tmp_path / "ticks")
     t = frames.ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "symbol", "price", "size")
@@ -78,6 +65,7 @@ def test_sweep_keeps_the_best_that_holds(spark):
     good = scored(("x", 5.0, 5.0), ("y", 9.0, 9.0))
     assert research.keep_rule(good).first().kept and not research.keep_rule(good, incumbent=9.5).first().kept
     assert not research.keep_rule(scored(("x", 5.0, None))).first().kept
+    assert research.keep_rule(scored(("x", None, 5.0))).count() == 0
 
 
 def test_buckets_first_match_wins(spark):
