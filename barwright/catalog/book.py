@@ -253,7 +253,7 @@ def active(spark, sf):
 
 @query("a21_correlation_context", f"""WITH {BARS}, {VOLS}, {CORR}, {CTX} SELECT symbol, {r('ac')} AS avg_correlation, {r('mc')} AS max_correlation, top AS top_correlated FROM ctx""")
 def _(spark, sf):
-    return tidy(risk.correlation_context(risk.correlation_matrix(frames.bars(spark, sf)), active(spark, sf)))
+    return tidy(risk.correlation_partners(frames.bars(spark, sf), active(spark, sf)))
 
 
 @query("a22_volatility_pack", f"""WITH {BARS}, {VOLS} SELECT symbol, {r('dv')} AS daily_volatility, {r('av')} AS annualized_volatility, {r('vp')} AS volatility_percentile,
@@ -270,7 +270,7 @@ CM = "CASE WHEN ac IS NULL THEN 1.0 WHEN ac >= 0.8 THEN 0.7 WHEN ac >= 0.6 THEN
 def _(spark, sf):
     from barwright.functions.numeric import corr_multiplier, vol_limit
     b = frames.bars(spark, sf)
-    ctx = risk.correlation_context(risk.correlation_matrix(b), active(spark, sf))
+    ctx = risk.correlation_partners(b, active(spark, sf))
     return tidy(risk.volatility_pack(b).join(ctx, "symbol").select(
         "symbol", vol_limit("annualized_volatility").alias("vol_limit_pct"), corr_multiplier("avg_correlation").alias("corr_multiplier")))
 
@@ -297,7 +297,7 @@ LIM = f"""lim AS (SELECT account, symbol, long, short, price AS current_price, c
 def limits(spark, sf):
     b = frames.bars(spark, sf)
     p, a = segment_positions(spark, sf)
-    ctx = risk.correlation_context(risk.correlation_matrix(b), active(spark, sf))
+    ctx = risk.correlation_partners(b, active(spark, sf))
     return p, a, risk.risk_limits(p, a, risk.volatility_pack(b), ctx)
 
 

@@ -1,5 +1,7 @@
 """Registered intraday context, strategy signals, outcomes, sweeps and experiment analytics."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from barwright.catalog.aggregates import SESSION, fitness_sql, regime_case, _neg_sortino
@@ -132,8 +134,8 @@ def day_feats(spark, sf):
     return research.day_features(frames.bars5(spark, sf), *frames.anchors())
 
 
-def sig4(df):
-    df = df.withColumn("confidence", F.round("confidence", 4))
+def sig4(df, digits=4):
+    df = df.withColumn("confidence", F.round("confidence", digits))
     return df.withColumn("entry_price", F.round("entry_price", 6)) if "entry_price" in df.columns else df
 
 
@@ -146,9 +148,9 @@ def _(spark, sf):
 PUBLISHED = {**research.DAY, "min_confidence": 20.0}
 
 
-@query("w25_published_parameters", f"WITH {FEAT}, {day_sql('v', p=PUBLISHED)} SELECT symbol, session, ts, {SIGCOLS}, round(confidence, 4) >= {research.DAY['min_confidence']} AS passes FROM sig")
+@query("w25_published_parameters", f"WITH {FEAT}, {day_sql('v', p=PUBLISHED)} SELECT symbol, session, ts, {SIGCOLS.replace(r('confidence', 4), r('confidence', 6))}, round(confidence, 6) >= {research.DAY['min_confidence']} AS passes FROM sig")
 def _(spark, sf):
-    s = sig4(research.day_signals(day_feats(spark, sf), PUBLISHED))
+    s = sig4(research.day_signals(day_feats(spark, sf), PUBLISHED), 6)
     return s.withColumn("passes", F.col("confidence") >= research.DAY["min_confidence"])
 
 
@@ -168,6 +170,28 @@ def _(spark, sf):
     return tidy(run(frames.bars5(spark, sf)).select("symbol", "session", "ts", "direction", "entry_price", "stop_price", "target_price"))
 
 
+FALLS = f"""WITH {BARS5}, d_ AS (SELECT *, close - lag(close) OVER w AS d FROM bars5 WINDOW w AS (PARTITION BY symbol, session ORDER BY ts)),
+  f_ AS (SELECT *, lag(d, 1) OVER w < 0 AND lag(d, 2) OVER w < 0 AND lag(d, 3) OVER w < 0 AS fell FROM d_ WINDOW w AS (PARTITION BY symbol, session ORDER BY ts))
+  SELECT symbol, session, ts, 'long' AS direction, 60.0::DOUBLE AS confidence, {r('close')} AS entry_price, {r('close * (1 - 0.02::DOUBLE)')} AS stop_price, {r('close * (1 + 0.03::DOUBLE)')} AS target_price FROM f_ WHERE fell AND d > 0"""
+THREE_FALLS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "strategies", "three_falls.py")
+FALL_CONTEXT = {"confidence": 60.0, "stop_pct": 0.02, "target_pct": 0.03}
+
+
+@query("x01_strategy_file", FALLS)
+def _(spark, sf):
+    """A strategy whose code lives in a file that is loaded at run time."""
+    return tidy(research.load_strategy(spark, THREE_FALLS, FALL_CONTEXT)(frames.bars5(spark, sf)))
+
+
+@query("x01_strategy_sql", FALLS)
+def _(spark, sf):
+    """The same strategy as a table function in SQL."""
+    run = research.load_strategy(spark, THREE_FALLS, FALL_CONTEXT)
+    research.register_table_function(spark, "three_falls", run.generate, run.origin)
+    bars = frames.bars5(spark, sf).select("symbol", "session", "ts", "close")
+    return tidy(spark.sql("SELECT * FROM three_falls(TABLE({bars}) PARTITION BY (symbol, session) ORDER BY ts)", bars=bars))
+
+
 @query("x01_strategy_registry", f"WITH {FEAT}, {day_sql('v')} SELECT session, direction, count(*) AS signals, {r('avg(confidence)', 4)} AS confidence FROM sig GROUP BY 1, 2")
 def _(spark, sf):
     s = research.run_strategy("scaled_day", day_feats(spark, sf))

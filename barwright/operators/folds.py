@@ -3,7 +3,7 @@
 y_t = a_t y_(t-1) + b_t with 0 <= a_t <= 1 is exp(L_t) * sum over i<=t of b_i exp(-L_i), L the running sum of log a. A row with
 a = 0 starts a segment of its own. The scale is kept in range by cutting a segment wherever L has fallen by SPAN; sums within a
 span are carried over as many earlier spans as have a weight above zero in a double, so nothing that a double can show is cut
-off, for any rates.
+off, for any rates. Inputs may be as large as 1e200.
 """
 
 import math

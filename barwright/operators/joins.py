@@ -1,5 +1,7 @@
 """As-of, context and merge joins."""
 
+from functools import reduce
+
 from pyspark.sql import Window as W, functions as F
 
 from barwright.functions.numeric import safe_div
@@ -35,21 +37,27 @@ def price_asof_day(dates, bars, keys=()):
     return px.join(full.filter(F.col("_have") == F.col("_need")).select(*keys, "date"), [*keys, "date"], "left_semi")
 
 
-def asof_join(left, right, by, on, cols):
-    """Latest right row at or before each left row (dates).
+def asof_join(left, right, by, on, cols, block="month"):
+    """Latest right row at or before each left row.
 
-    A right row is valid until the next one. Validity is spread over calendar months, which turns
-    the as-of into an equi-join on (key, month): no group by key alone, so a hot key splits by
-    month and stays open to AQE's skew handling.
+    Both sides in one order carry the last right row forward, in two levels: within a block of a key (``block`` is a unit of date_trunc; choose one that
+    holds a bounded number of rows), then over the blocks' last rows. Every row passes once, however dense a key is, and a hot key spreads
+    over its blocks. Null keys match nothing.
     """
-    w = W.partitionBy(*by).orderBy("_from")
-    r = right.select(*by, F.col(on).alias("_from"), *cols).withColumn("_to", F.lead("_from").over(w))
-    horizon = left.agg(F.max(on)).scalar()
-    months = F.sequence(F.trunc("_from", "month"), F.trunc(F.greatest(F.col("_from"), F.coalesce(F.date_sub("_to", 1), horizon)), "month"), F.expr("INTERVAL 1 MONTH"))
-    r = r.withColumn("_month", F.explode(months))
-    l = left.withColumn("_month", F.trunc(on, "month"))
-    cond = [l[k] == r[k] for k in by] + [l["_month"] == r["_month"], l[on] >= r["_from"], r["_to"].isNull() | (l[on] < r["_to"])]
-    return l.join(r, cond, "left").select(*[l[c] for c in left.columns], r["_from"].alias(f"{on}_right"), *[r[c] for c in cols])
+    by = list(by)
+    unit = F.date_trunc(block, F.col(on).cast("timestamp"))
+    known = [F.col(c).isNotNull() for c in (*by, on)]
+    r = right.select(*by, F.col(on), F.struct(F.col(on).alias("_on"), *cols).alias("_r")).filter(reduce(lambda x, y: x & y, known)).withColumn("_block", unit)
+    last = r.groupBy(*by, "_block").agg(F.max_by("_r", on).alias("_r"))
+    both = left.select(F.struct(*left.columns).alias("_l"), *by, on).withColumn("_block", unit).unionByName(r, allowMissingColumns=True)
+    within = W.partitionBy(*by, "_block").orderBy(on, F.col("_l").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_in", F.last("_r", ignorenulls=True).over(within)).filter(F.col("_l").isNotNull())
+    # what is carried into a left row's block is the last row of the newest right block before it
+    blocks = both.select(*by, "_block").distinct().withColumn("_seen", F.lit(1)).unionByName(last.withColumnRenamed("_r", "_end"), allowMissingColumns=True)
+    before = W.partitionBy(*by).orderBy("_block", F.col("_seen").isNull()).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_past", F.last("_end", ignorenulls=True).over(before)).filter(F.col("_seen").isNotNull()).drop("_seen", "_end")
+    out = both.join(blocks, [*by, "_block"], "left").withColumn("_r", F.coalesce("_in", "_past"))
+    return out.select("_l.*", F.col("_r._on").alias(f"{on}_right"), *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def daily_context(bars):

@@ -237,23 +237,23 @@ def daily_prices(fills):
 def equity_curve(fills, prices, opening):
     """Account value on every day it traded; the opening point repeats the first date as seq 0.
 
-    One daily aggregate of the executed fills feeds cash and positions. A symbol's position holds from its day until its
-    next one; it is expanded over the account's days (bounded by the calendar) and met with that day's price.
+    One daily aggregate of the executed fills feeds cash and positions. An account's trade dates are one sorted array (bounded by the
+    calendar); a position holds from its date until its symbol's next one and is expanded over that slice alone, then met with
+    the day's price.
     """
     day = _by_day(executed(fills))
+    dates = W.partitionBy("account").orderBy("day")
     cash = day.groupBy("account", "day").agg(F.sum("_cash").alias("_c"))
-    so_far = W.partitionBy("account").orderBy("day")
-    whole = W.partitionBy("account")
-    start = opening.select("account", F.col("cash").alias("_open"))
-    end = cash.withColumns({"_c": F.sum("_c").over(so_far), "_first": F.min("day").over(whole)}).join(start, "account", "left")
-    end = end.select("account", F.col("day").alias("date"), "_first", F.coalesce("_open", F.lit(0.0)).alias("_open"), "_c")
+    cash = cash.withColumns({"_c": F.sum("_c").over(dates), "_i": F.row_number().over(dates)})
+    all_dates = cash.groupBy("account").agg(F.sort_array(F.collect_list("day")).alias("_dates"))
     w = W.partitionBy("account", "symbol").orderBy("day")
-    last = W.partitionBy("account")
-    state = day.withColumn("_last", F.max("day").over(last)).withColumns({"_pos": F.sum("_d").over(w), "_next": F.lead("day").over(w)})
-    state = state.filter(F.col("_pos") != 0).withColumn("_until", F.coalesce(F.date_sub("_next", 1), F.col("_last")))
-    daily = state.select("account", "symbol", "_pos", F.explode(F.sequence("day", "_until")).alias("date"))
+    state = day.join(cash.select("account", "day", "_i"), ["account", "day"]).withColumns({"_pos": F.sum("_d").over(w), "_j": F.lead("_i").over(w)})
+    state = state.filter(F.col("_pos") != 0).join(all_dates, "account")
+    slice_ = F.slice("_dates", F.col("_i"), F.coalesce("_j", F.size("_dates") + 1) - F.col("_i"))
+    daily = state.select("account", "symbol", "_pos", F.explode(slice_).alias("date"))
     held = daily.join(prices, ["symbol", "date"]).groupBy("account", "date").agg(F.sum(F.col("_pos") * F.col("price")).alias("_held"))
-    curve = end.join(held, ["account", "date"], "left")
+    end = cash.join(opening.select("account", F.col("cash").alias("_open")), "account", "left").withColumn("_open", F.coalesce("_open", F.lit(0.0)))
+    curve = end.withColumnRenamed("day", "date").join(held, ["account", "date"], "left")
     points = F.array(F.struct(F.lit(1).alias("seq"), (F.col("_open") + F.col("_c") + F.coalesce("_held", F.lit(0.0))).alias("value")),
-                     F.when(F.col("date") == F.col("_first"), F.struct(F.lit(0).alias("seq"), F.col("_open").alias("value"))))
+                     F.when(F.col("_i") == 1, F.struct(F.lit(0).alias("seq"), F.col("_open").alias("value"))))
     return curve.select("account", "date", F.explode(F.filter(points, lambda x: x.isNotNull())).alias("p")).select("account", "date", "p.*")

@@ -1,7 +1,13 @@
 """Strategy signals, bracket outcomes, parameter sweeps and experiment analytics."""
 
+import hashlib
+import os
+import sys
+import types
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W, functions as F
 
 from barwright.functions.numeric import fill_price, safe_div, trade_pnl
@@ -242,11 +248,98 @@ def strategy(name):
 
 
 SIGNAL_SCHEMA = "symbol string, session date, ts timestamp_ntz, direction string, confidence double, entry_price double, stop_price double, target_price double"
+SIGNAL_COLUMNS = ["symbol", "session", "ts", "direction", "confidence", "entry_price", "stop_price", "target_price"]
 
 
-def python_strategy(fn):
+def checked_signals(made, bars, origin):
+    """What a strategy returned for one session as a frame of SIGNAL_COLUMNS; raises where the contract is broken.
+
+    A frame, or a list of dicts or objects; None or nothing is no signals. Symbol and session are the bars' where they are missing.
+    """
+    if made is None or len(made) == 0:
+        return pd.DataFrame({c: pd.Series([], dtype=object if c in SIGNAL_COLUMNS[:4] else float) for c in SIGNAL_COLUMNS})
+    out = made if isinstance(made, pd.DataFrame) else pd.DataFrame([x if isinstance(x, dict) else vars(x) for x in made])
+    out = out.assign(**{c: bars[c].iloc[0] for c in ("symbol", "session") if c not in out.columns})
+    missing = [c for c in SIGNAL_COLUMNS if c not in out.columns]
+    if missing:
+        raise ValueError(f"{origin}: signals lack {', '.join(missing)}")
+    sides = set(out["direction"]) - {"long", "short"}
+    if sides:
+        raise ValueError(f"{origin}: direction {sorted(map(str, sides))[0]!r} is neither long nor short")
+    numbers = out[SIGNAL_COLUMNS[4:]].apply(pd.to_numeric, errors="coerce")
+    if numbers.isna().any(axis=None):
+        raise ValueError(f"{origin}: {', '.join(numbers.columns[numbers.isna().any()])} must be numbers")
+    return out.assign(**numbers.astype(float))[SIGNAL_COLUMNS]
+
+
+def python_strategy(fn, origin="strategy"):
     """Wrap a pandas function of one symbol's session (bounded by the day) as a strategy."""
-    return lambda features: features.groupBy(*SESSION).applyInPandas(lambda pdf: fn(pdf.sort_values("ts")), SIGNAL_SCHEMA)
+    def run(pdf):
+        pdf = pdf.sort_values("ts")
+        return checked_signals(fn(pdf), pdf, origin)
+    return lambda features: features.groupBy(*SESSION).applyInPandas(run, SIGNAL_SCHEMA)
+
+
+def _module(source, origin):
+    """A module from its source, made once per process."""
+    name = f"strategy_{hashlib.sha1(source.encode()).hexdigest()}"
+    if name not in sys.modules:
+        module = types.ModuleType(name)
+        module.__file__ = origin
+        sys.modules[name] = module  # dataclasses look their module up
+        try:
+            exec(compile(source, origin, "exec"), module.__dict__)
+        except BaseException:
+            del sys.modules[name]
+            raise
+    return sys.modules[name]
+
+
+def load_strategy(spark, path, context=None, name=None):
+    """The strategy in a Python file: ``generate_signals(bars, context)`` over one symbol's session.
+
+    The file is read once, on the driver or from any store that Spark reads; its text travels with the tasks, so executors need no
+    copy of it. Its contract is checked when it is loaded (the function) and on every session (its signals). With ``name`` it is registered for
+    :func:`run_strategy` too.
+    """
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            source = f.read()
+    else:
+        source = spark.read.text(path, wholetext=True).first()[0]
+    if not callable(getattr(_module(source, path), "generate_signals", None)):
+        raise ValueError(f"{path}: no function generate_signals(bars, context)")
+    given = dict(context or {})
+    run = python_strategy(lambda bars: _module(source, path).generate_signals(bars, given), path)
+    run.generate = lambda bars: _module(source, path).generate_signals(bars, given)
+    run.origin = path
+    if name:
+        STRATEGIES[name] = run
+    return run
+
+
+def register_table_function(spark, name, fn, origin="strategy"):
+    """Make a strategy of one session callable from SQL: ``name(TABLE(bars) PARTITION BY (symbol, session) ORDER BY ts)``.
+
+    An Arrow table function: batches of a partition (one session) are gathered and given to ``fn`` as one frame.
+    """
+    schema = pa.schema([("symbol", pa.string()), ("session", pa.date32()), ("ts", pa.timestamp("us")), ("direction", pa.string()), *[(c, pa.float64()) for c in SIGNAL_COLUMNS[4:]]])
+
+    @F.arrow_udtf(returnType=SIGNAL_SCHEMA)
+    class Session:
+        def __init__(self):
+            self.parts = []
+
+        def eval(self, batch: pa.RecordBatch):
+            self.parts.append(batch)
+            return iter(())
+
+        def terminate(self):
+            if self.parts:
+                bars = pa.Table.from_batches(self.parts).to_pandas()
+                yield pa.Table.from_pandas(checked_signals(fn(bars), bars, origin), schema, preserve_index=False)
+
+    spark.udtf.register(name, Session)
 
 
 def run_strategy(name, features):

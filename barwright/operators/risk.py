@@ -32,55 +32,91 @@ def volatility_pack(bars, lookback=60, window=30):
                     F.when(F.col("_bars") < 2, F.col("_bars")).when(short, F.col("_n")).otherwise(F.col("_k")).alias("data_points"), "price")
 
 
-PAIR_SUMS = "a string, b string, s double, n long"
+#: Symbols in a block of the correlation products: a tile is BLOCK by BLOCK, its rows as long as the calendar.
+BLOCK = 256
 
 
-def correlation_matrix(bars, blocks=2, min_dates=5):
-    """Correlation of returns over the dates on which every symbol has one; null where a symbol's returns do not vary.
-
-    A blocked matrix product. Returns are standardised per symbol; symbols fall into ``blocks`` by hash, dates into
-    months. A task holds one month of two symbol blocks, multiplies them and emits one partial sum per symbol pair, never
-    a row per date and pair; partial sums combine map-side. Choose ``blocks`` so that a block has a few hundred symbols:
-    every return is copied once per block.
-    """
+def standardised(bars, min_dates=5):
+    """One row per symbol: its returns, standardised, over the dates on which every symbol has one, in order of time (bounded by the calendar)."""
     rets = win.returns(bars).filter(F.col("ret").isNotNull()).select("symbol", "ts", "ret")
     per_date = rets.groupBy("ts").agg(F.count(F.lit(1)).alias("_k"))
     symbols = rets.select("symbol").distinct()
     full = per_date.filter(F.col("_k") == symbols.agg(F.count(F.lit(1))).scalar()).select("ts")
     rets = rets.join(full, "ts", "left_semi")
-    stats = rets.groupBy("symbol").agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    z = rets.join(stats.filter(F.col("_n") >= min_dates), "symbol").select(
-        "symbol", "ts", safe_div(F.col("ret") - F.col("_m"), "_s").alias("z"))
-    z = z.withColumn("_b", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")).withColumn("_month", F.date_trunc("month", "ts").cast("date"))
-    # every row meets each block pair its block belongs to
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    z = z.withColumn("_o", other).select("symbol", "ts", "z", "_b", "_month", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
-
-    def products(pdf):
-        i, j = int(pdf["_i"].iat[0]), int(pdf["_j"].iat[0])
-        left = pdf[pdf["_b"] == i].pivot(index="ts", columns="symbol", values="z")
-        right = left if i == j else pdf[pdf["_b"] == j].pivot(index="ts", columns="symbol", values="z")
-        sums = left.to_numpy().T @ right.reindex(left.index).to_numpy()
-        a, b = left.columns.to_numpy(object), right.columns.to_numpy(object)
-        return pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "s": sums.ravel().astype(float), "n": np.full(sums.size, len(left))})
-
-    part = z.groupBy("_month", "_i", "_j").applyInPandas(products, PAIR_SUMS)
-    half = part.groupBy("a", "b").agg((F.sum("s") / (F.sum("n") - 1)).alias("corr")).filter(F.col("a") != F.col("b"))
-    half = half.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
-    flipped = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return half.unionByName(flipped).groupBy("a", "b").agg(F.max("corr").alias("corr"))
-
-
-def correlation_context(corr, active, top=3):
-    """Mean, max and top partners per symbol among active ones, or among all if none are."""
-    c = corr.join(active.select(F.col("symbol").alias("b"), F.lit(1).alias("_act")), "b", "left")
-    c = c.withColumn("_any", F.max("_act").over(W.partitionBy("a"))).filter(F.col("_act").isNotNull() | F.col("_any").isNull())
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("corr"), "b"))
-    c = c.withColumn("_r", rank)
-    best = F.sort_array(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "b"))))
-    return c.groupBy(F.col("a").alias("symbol")).agg(
-        F.avg("corr").alias("avg_correlation"), F.max("corr").alias("max_correlation"),
-        F.array_join(F.transform(best, lambda x: x["b"]), ",").alias("top_correlated"))
+    series = rets.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "ret"))).alias("_r"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
+    z = F.transform("_r", lambda x: safe_div(x["ret"] - F.col("_m"), "_s"))
+    return series.filter(F.size("_r") >= min_dates).select("symbol", z.alias("z"))
+
+
+def _packed(z, size, prefix):
+    """Blocks of about ``size`` symbols as one row each, and how many there are (a column)."""
+    many = F.greatest(F.lit(1), F.ceil(z.agg(F.count(F.lit(1)) / size).scalar())).cast("int")
+    rows = z.select("symbol", "z", F.pmod(F.xxhash64("symbol"), many).cast("int").alias(f"{prefix}b"))
+    return rows.groupBy(f"{prefix}b").agg(F.collect_list(F.struct("symbol", "z")).alias(f"{prefix}rows")), many
+
+
+def _tiles(left, right, size, upper=False):
+    """Every block of ``left`` beside every block of ``right`` (of those at or after it where ``upper``)."""
+    a, _ = _packed(left, size, "l")
+    b, many = _packed(right, size, "r")
+    a = a.select("lb", "lrows", F.explode(F.sequence(F.col("lb") if upper else F.lit(0), many - 1)).alias("_at"))
+    return a.join(b, F.col("_at") == F.col("rb")).select("lb", "lrows", "rb", "rrows")
+
+
+def _products(row):
+    """Correlations of a tile (rows of the left block by rows of the right one) with both lists of symbols; NaN where returns do not vary."""
+    (ls, l), (rs, r) = (([x["symbol"] for x in row[k]], np.array([x["z"] for x in row[k]], float)) for k in ("lrows", "rrows"))
+    return ls, rs, l @ r.T / (l.shape[1] - 1)
+
+
+def correlation_matrix(bars, size=BLOCK, min_dates=5):
+    """Correlation of returns over the dates on which every symbol has one; null where a symbol's returns do not vary.
+
+    A blocked matrix product over the symbols' series; only tiles on and above the diagonal are computed, and mirrored. Every series is
+    copied once per block of ``size`` symbols.
+    """
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                ls, rs, c = _products(row)
+                at = np.triu_indices(len(ls), 1) if row["lb"] == row["rb"] else tuple(x.ravel() for x in np.indices(c.shape))
+                yield pd.DataFrame({"a": np.array(ls, object)[at[0]], "b": np.array(rs, object)[at[1]], "corr": c[at]})
+
+    z = standardised(bars, min_dates)
+    half = _tiles(z, z, size, True).mapInPandas(run, "a string, b string, corr double")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(both.alias("p"), F.when(~F.isnan("corr"), F.col("corr")).alias("corr")).select("p.a", "p.b", "corr")
+
+
+def correlation_partners(bars, active, top=3, size=BLOCK, min_dates=5):
+    """Mean, max and top partners per symbol among the active ones, or among all others if none is active besides itself.
+
+    Tiles are symbols by active symbols; symbols left without a partner meet all. A task reduces its tile to count, sum, max and the first ``top``
+    of each symbol, so nothing grows with the square of the symbols but the products themselves.
+    """
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                ls, rs, c = _products(row)
+                names, out = np.array(rs, object), []
+                for s, line in zip(ls, c):
+                    other = names != s
+                    known = line[other & ~np.isnan(line)]
+                    best = sorted((np.isnan(v), -v if v == v else 0.0, b) for v, b in zip(line[other], names[other]))[:top]
+                    out.append((s, int(other.sum()), len(known), float(known.sum()), [{"none": bool(n), "down": float(d), "b": b} for n, d, b in best]))
+                yield pd.DataFrame(out, columns=["symbol", "others", "n", "total", "best"])
+
+    schema = "symbol string, others long, n long, total double, best array<struct<none: boolean, down: double, b: string>>"
+    z = standardised(bars, min_dates)
+    mine = z.join(active.select("symbol").distinct(), "symbol", "left_semi")
+    held = mine.agg(F.count(F.lit(1))).scalar()
+    alone = z.join(mine.select(F.col("symbol").alias("_own")), F.col("symbol") == F.col("_own"), "left").filter(held - F.col("_own").isNotNull().cast("long") == 0)
+    tiles = _tiles(z, mine, size).unionByName(_tiles(alone.select("symbol", "z"), z, size))
+    g = tiles.mapInPandas(run, schema).filter(F.col("others") > 0).groupBy("symbol").agg(
+        F.sum("n").alias("_n"), F.sum("total").alias("_t"), F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, top).alias("_best"))
+    first = F.get("_best", F.lit(0))
+    return g.select("symbol", F.when(F.col("_n") > 0, F.col("_t") / F.col("_n")).alias("avg_correlation"), F.when(~first["none"], -first["down"]).alias("max_correlation"),
+                    F.array_join(F.transform("_best", lambda x: x["b"]), ",").alias("top_correlated"))
 
 
 def risk_limits(pos, accounts, vols, corr):

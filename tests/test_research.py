@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from barwright.operators import joins, research
@@ -68,6 +69,67 @@ def test_sweep_keeps_the_best_that_holds(spark):
     assert research.keep_rule(scored(("x", None, 5.0))).count() == 0
 
 
+def test_asof_join_over_a_dense_key(spark):
+    """100,000 right rows of one key in one month, ties of days, null keys; blocks by day or by month give the same."""
+    rng = random.Random(2)
+    t0 = dt.datetime(2024, 3, 1)
+    right = [("A", t0 + dt.timedelta(seconds=i * 20), i) for i in range(100_000)] + [("B", t0 + dt.timedelta(days=40), -1), (None, t0, -2)]
+    left = [(rng.choice("AB"), t0 + dt.timedelta(seconds=rng.randint(-10**5, 6 * 10**6)), i) for i in range(3_000)] + [(None, t0, -1), ("A", None, -2)]
+    l, r = spark.createDataFrame(left, "k string, t timestamp, id int"), spark.createDataFrame(right, "k string, t timestamp, v int")
+
+    def want(k, t):
+        if k == "A" and t is not None and t >= t0:
+            return min(int((t - t0).total_seconds() // 20), 99_999)
+        return -1 if k == "B" and t >= t0 + dt.timedelta(days=40) else None
+    for block in ("day", "month"):
+        out = joins.asof_join(l, r, ["k"], "t", ["v"], block).collect()
+        assert len(out) == len(left) and all(x.v == want(x.k, x.t) for x in out)
+
+
+FADE = """
+from dataclasses import dataclass
+
+@dataclass
+class Signal:
+    ts: object
+    direction: str
+    confidence: float
+    entry_price: float
+    stop_price: float
+    target_price: float
+
+def generate_signals(bars, context):
+    return [Signal(t, {side}, 70, c, c * 0.9, c * 1.1) for t, c in zip(bars["ts"], bars["close"]) if c > context["over"]]
+"""
+
+
+def test_strategy_from_a_file(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 2, 15)
+    bars = frames.with_session(spark.createDataFrame([("A", t0, 10.0), ("A", t0 + dt.timedelta(minutes=5), 30.0), ("B", t0, 20.0)], "symbol string, ts timestamp_ntz, close double"))
+    path = tmp_path / "fade.py"
+    path.write_text(FADE.format(side="'long'"))
+    run = research.load_strategy(spark, str(path), {"over": 15}, "fade")
+    got = sorted((r.symbol, r.entry_price, r.direction) for r in research.run_strategy("fade", bars).collect())
+    assert got == [("A", 30.0, "long"), ("B", 20.0, "long")] and run(bars.where("close < 15")).count() == 0
+    research.register_table_function(spark, "fade_signals", run.generate, run.origin)
+    rows = spark.sql("SELECT symbol, entry_price FROM fade_signals(TABLE({b}) PARTITION BY (symbol, session) ORDER BY ts)", b=bars).collect()
+    assert sorted(tuple(r) for r in rows) == [("A", 30.0), ("B", 20.0)]
+    # new text under the same name is a new strategy
+    path.write_text(FADE.format(side="'short'"))
+    assert {r.direction for r in research.load_strategy(spark, str(path), {"over": 15})(bars).collect()} == {"short"}
+
+
+def test_strategy_contract(spark, tmp_path):
+    bars = frames.with_session(spark.createDataFrame([("A", dt.datetime(2024, 1, 2, 15), 10.0)], "symbol string, ts timestamp_ntz, close double"))
+    cases = {"x = 1": "no function generate_signals", FADE.format(side="'up'"): "neither long nor short", FADE.replace("c * 1.1", "None").format(side="'long'"): "target_price must be numbers",
+             "def generate_signals(bars, context):\n    return [{'ts': 1}]": "signals lack direction"}
+    for i, (text, said) in enumerate(cases.items()):
+        path = tmp_path / f"bad{i}.py"
+        path.write_text(text)
+        with pytest.raises(Exception, match=said):
+            research.load_strategy(spark, str(path), {"over": 1})(bars).collect()
+
+
 def test_buckets_first_match_wins(spark):
     e = spark.createDataFrame([("Tune MACD and VWAP", True), ("widen vwap band", False), ("unknown", True), ("something else", True)], "hypothesis string, kept boolean")
     got = {r.bucket: (r.tried, r.kept) for r in research.hypothesis_frequency(e).collect()}
