@@ -13,12 +13,14 @@ def _mark(edges):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
 
-def components(edges, most_rounds=100):
+def components(edges, most_rounds=100, tasks=None):
     """(node, component) for all nodes of edges (a long, b long): component is the smallest node reachable.
 
-    Loops and repeated edges do no harm; rows with a null end are no edges. No edges: no rows.
+    Loops and repeated edges do no harm; rows with a null end are no edges. No edges: no rows. ``tasks``, where given, is how many
+    tasks the edges are held in between rounds.
     """
-    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    held = settle if tasks is None else lambda df: settle(df.coalesce(tasks))
+    e = held(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(e)
     for _ in range(most_rounds):
         if not mark[0]:
@@ -28,7 +30,7 @@ def components(edges, most_rounds=100):
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u"))
-        e = settle(small.select("b", "m").where("b <> m").unionByName(small.select(F.col("u").alias("b"), "m"))
+        e = held(small.select("b", "m").where("b <> m").unionByName(small.select(F.col("u").alias("b"), "m"))
                    .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         last, mark = mark, _mark(e)
         if mark == last:
@@ -36,4 +38,4 @@ def components(edges, most_rounds=100):
     else:
         raise RuntimeError("components did not settle")
     leaves = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return settle(leaves.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    return held(leaves.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -95,11 +95,11 @@ def test_planted(spark, monkeypatch, few):
 def test_fragments_lose_no_pair():
     """Sets at the threshold always share the hash of a fragment, as classes of sizes allow."""
     rng = np.random.default_rng(0)
-    classes = jaccard.Classes()
-    for a in [*range(1, 60), 97, 333, 1000]:
-        for extra in range(a // 9 + 1):
-            for gone in range(a // 9 + 1):
-                if 100 * (a - gone) < 90 * (a + extra) or gone + extra == 0:
+    for like, a in [(90, n) for n in (*range(1, 60), 97, 333, 1000)] + [(80, n) for n in (*range(1, 40), 97)]:
+        classes = jaccard.Classes(like)
+        for extra in range(a * (100 - like) // like + 1):
+            for gone in range(a * (100 - like) // 100 + 1):
+                if 100 * (a - gone) < like * (a + extra) or gone + extra == 0:
                     continue
                 t = np.unique(rng.integers(0, 1 << 63, a + extra, dtype=np.uint64) * np.uint64(2))
                 x, y = np.sort(rng.permutation(t)[:a]), None
