@@ -24,9 +24,9 @@ def _(spark, sf):
 
 
 @query("j02_asof_join", f"""WITH {PANEL}, {BRAND_BARS} SELECT b.symbol, b.ts, {r('b.close', 4)} AS close, p.report_period AS ts_right, {r('p.revenue', 2)} AS revenue
-  FROM brand_bars b ASOF LEFT JOIN (SELECT * FROM panel WHERE month(report_period) IN (1, 10)) p ON b.symbol = p.symbol AND b.ts >= p.report_period""")
+  FROM brand_bars b ASOF LEFT JOIN panel p ON b.symbol = p.symbol AND b.ts >= p.report_period""")
 def _(spark, sf):
-    p = pan(spark, sf).filter(F.month("report_period").isin(1, 10)).withColumnRenamed("report_period", "ts")
+    p = pan(spark, sf).withColumnRenamed("report_period", "ts")
     j = joins.asof_join(frames.brand_bars(spark, sf), p, ["symbol"], "ts", ["revenue"])
     return j.select("symbol", "ts", F.round("close", 4).alias("close"), "ts_right", F.round("revenue", 2).alias("revenue"))
 

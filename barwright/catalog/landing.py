@@ -14,7 +14,7 @@ from barwright.catalog.aggregates import PACK, regime_case
 from barwright.functions.numeric import ladder, reason, safe_div, safe_growth
 from barwright.operators import aggs, joins, scanner
 from barwright.plans import screens
-from barwright.sources import frames, readers, sinks, universe
+from barwright.sources import frames, published, readers, sinks, universe
 from barwright.streaming.jobs import scratch
 
 OHLC = ("open", "high", "low", "close")
@@ -210,6 +210,33 @@ def _(spark, sf):
     return tidy(readers.read_snapshots(spark, path).select("account", "date", "position_count"))
 
 
+@query("s14_snapshots_published", registry.ORACLES["s14_snapshot_writer"])
+def _(spark, sf):
+    """The same three writes as published batches, each handed in twice, one of them after an attempt that was never published."""
+    s, path = frames.snapshots(spark, sf).select("account", "date", "position_count"), scratch(spark, "s14-published")
+    at, n, schema = F.col("date"), F.col("position_count"), s.schema
+    runs = [("first", s.filter(at <= F.lit("1998-12-31").cast("date")), False),
+            ("later", s.filter(at >= F.lit("1998-06-01").cast("date")).withColumn("position_count", n + 100), False),
+            ("force", s.filter((F.col("account") == "BUILDING") & (at >= F.lit("2000-01-01").cast("date"))).withColumn("position_count", n + 1000), True)]
+    s.withColumn("part", F.trunc("date", "month").cast("string")).write.partitionBy("part").parquet(f"{path}/data/attempt=first-died")
+    for batch, rows, force in runs:
+        for _again in range(2):
+            published.snapshots_once(rows, path, batch, schema, force)
+    return tidy(published.read_published(spark, path, schema))
+
+
+@query("s16_append_once", registry.ORACLES["s13_journal_rows"])
+def _(spark, sf):
+    """The journal appended in two batches, one of them twice."""
+    path = scratch(spark, "s16-published")
+    j = sinks.journal_rows(frames.journal(spark, sf).withColumn("status", F.when(F.col("status") == "failed", "skipped").otherwise(F.col("status"))))
+    odd = F.crc32(F.col("order_id").cast("string")) % 2 == 1
+    for batch, rows in (("even", j.where(~F.coalesce(odd, F.lit(False)))), ("odd", j.where(odd)), ("even", j.where(~F.coalesce(odd, F.lit(False))))):
+        published.journal_once(rows, path, batch)
+    back = published.read_published(spark, path, j.schema)
+    return back.select("mode", "ticker", "action", "qty", "status", F.col("order_id").cast("string").alias("order_id"))
+
+
 @query("s15_read_snapshots", f"""WITH {SNAPSHOTS} SELECT account, date, {r('equity', 2)} AS equity FROM snapshots WHERE date >= DATE '2000-01-01'""")
 def _(spark, sf):
     path = scratch(spark, "s15")
@@ -305,10 +332,10 @@ def _(spark, sf):
 
 
 @query("p10_label_maps", f"""WITH {BRAND_NEWS} SELECT doc_id, CASE sentiment WHEN 'negative' THEN 'bearish' WHEN 'positive' THEN 'bullish' ELSE 'neutral' END AS signal,
-  CASE sentiment WHEN 'negative' THEN -1 WHEN 'positive' THEN 1 ELSE 0 END::BIGINT AS value FROM news WHERE sentiment IS NOT NULL""")
+  CASE sentiment WHEN 'negative' THEN -1 WHEN 'positive' THEN 1 ELSE 0 END::BIGINT AS value FROM news""")
 def _(spark, sf):
     from barwright.functions.labels import map_sentiment, signal_value
-    n = frames.news(spark, sf).filter(F.col("sentiment").isNotNull())
+    n = frames.news(spark, sf)
     return tidy(n.select("doc_id", map_sentiment("sentiment").alias("signal")).withColumn("value", signal_value("signal")))
 
 
