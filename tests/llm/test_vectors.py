@@ -23,7 +23,7 @@ def odd(spark, tmp_path_factory):
     hot = rows[7][1]
     rows += [(1000 + i, hot, i % 3) for i in range(250)]
     rows += [rows[100], rows[100], rows[205], (None, hot, 1), (None, rows[3][1], 2), (500, rows[100][1], None)]
-    rows += [(501, None, 1), (502, [], 1), (503, [1.0, None, 0, 0, 0, 0], 1), (504, [float("nan")] * 6, 1), (505, [float("inf")] * 6, 1), (506, [0.1] * 4, 1)]
+    rows += [(501, None, 1), (502, [], 1), (503, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (504, [float("nan")] * 6, 1), (505, [float("inf")] * 6, 1), (506, [0.1] * 4, 1)]
     return awkward(spark, tmp_path_factory.mktemp("vec"), rows)
 
 
