@@ -3,7 +3,7 @@
 Documents become sequences of at most 512 ids, numbered once: the written table carries the task that made a sequence
 and its place there, and running counts of the tasks make the number global. A keyed Feistel network over the next even power
 of two, walked along its cycle until it lands below the number of sequences, gives every sequence its global slot. Shards are ranges of
-slots; each is written by one task, in order, as records of a fixed stride, so that a reader finds slot s at record
+slots; tasks take ranges of them, and each shard is written by one task, in order, as records of a fixed stride, so that a reader finds slot s at record
 s mod SHARD of shard s div SHARD and resumes there without reading what comes before.
 
 No state but the key and the count is needed to know where any sequence lies, and slots are spread evenly whatever the input.
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F, types as T
 
 from barwright.llm.common import lookup, new_path, offsets, settle
-from barwright.llm.subwords import VOCABULARY, WordIds
+from barwright.llm.subwords import VOCABULARY, shared
 
 STRIDE = 512
 END = 1
@@ -58,12 +58,12 @@ def permuted(index, n, key, rounds=ROUNDS):
 def cut_partition(vocabulary, stride):
     """Rows of SEQUENCES from (doc_id, text bytes); ids are little-endian unsigned 16-bit integers."""
     def run(batches):
-        words, task, at, end = WordIds(vocabulary), TaskContext.get().partitionId(), 0, np.uint32(END).tobytes()
+        words, task, at, end = shared(vocabulary, "H"), TaskContext.get().partitionId(), 0, np.uint16(END).tobytes()
         for b in batches:
             texts = [t or b"" for t in b.column("_text").to_pylist()]
             doc, seq, length, cut = [], [], [], []
             for i, ids in zip(b.column("doc_id").to_pylist(), words.of_texts(texts)):
-                ids = np.frombuffer(ids + end, "<u4").astype("<u2").tobytes()
+                ids += end
                 for k in range(0, len(ids), 2 * stride):
                     doc.append(i)
                     seq.append(k // (2 * stride))
@@ -84,7 +84,7 @@ def sequences(docs, vocabulary=VOCABULARY, stride=STRIDE):
 
 
 def slots(seqs, key):
-    """``seqs`` with slot; rows keep their ids in the JVM, only their numbers pass through Python."""
+    """(``seqs`` with slot, their number); rows keep their ids in the JVM, only their numbers pass through Python."""
     counts = settle(offsets(seqs.groupBy("task").agg(F.count(F.lit(1)).alias("_n")), "task", "_n"))
     n = counts.agg(F.sum("_n")).first()[0] or 0
     number = lookup(seqs, counts.select(F.col("task").alias("_task"), "before"), F.col("task") == F.col("_task"), "inner", 100_000)
@@ -92,16 +92,18 @@ def slots(seqs, key):
     def place(index: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), n, key))
     slot = F.pandas_udf(place, T.LongType())
-    return number.withColumn("slot", slot(F.col("before") + F.col("at"))).drop("_task", "before", "task", "at")
+    return number.withColumn("slot", slot(F.col("before") + F.col("at"))).drop("_task", "before", "task", "at"), n
 
 
 def write_order(docs, path, key=41, per_shard=SHARD, stride=STRIDE):
-    """Write all sequences in their training order as shards of fixed-stride records (slot, doc_id, seq, n_ids, ids)."""
-    placed = slots(sequences(docs, stride=stride), key)
+    """Write all sequences in their training order as shards of fixed-stride records (slot, doc_id, seq, n_ids, ids).
+
+    Tasks are ranges of shards, as many as there are shards, so both grow with the input and no shard is split between tasks.
+    """
+    placed, total = slots(sequences(docs, stride=stride), key)
     shard = F.floor(F.col("slot") / per_shard).cast("long")
     full = placed.withColumn("shard", shard).withColumn("ids", F.rpad("ids", F.lit(2 * stride), F.lit(b"\x00")))
-    n = full.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    full.repartition(int(n), "shard").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    full.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 SHARDS = "slot long, doc_id long, seq int, n_ids int, ids binary, shard long"

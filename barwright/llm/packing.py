@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from barwright.llm.common import settle
-from barwright.llm.subwords import VOCABULARY, WordIds
+from barwright.llm.subwords import VOCABULARY, shared
 
 ROOM = 4096
 END = 1
@@ -60,7 +60,7 @@ def best_fit(lengths, room=ROOM):
 def pack_partition(vocabulary, room=ROOM):
     """Rows of PIECES from (doc_id, text bytes)."""
     def run(batches):
-        words, task, packed, held = WordIds(vocabulary), TaskContext.get().partitionId(), 0, []
+        words, task, packed, held = shared(vocabulary), TaskContext.get().partitionId(), 0, []
         last = np.uint32(END).tobytes()
 
         def pack():

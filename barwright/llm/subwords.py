@@ -8,14 +8,16 @@ one id no other gives.
 
 import unicodedata
 from array import array
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words that a task remembers before it starts anew; bounds its memory.
-REMEMBERED = 500_000
+#: Words that a Python worker remembers over its tasks; bounds its memory.
+REMEMBERED = 1_000_000
 #: Texts whose words are learnt together, and words asked for in one call.
 TEXTS, ASKED = 500, 400
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -55,9 +57,17 @@ def letters(core):
     return core.decode("latin-1").translate(BYTES) if plain else None
 
 
+@cache
+def shared(path=VOCABULARY, unit="I"):
+    """The WordIds of this Python worker, which later tasks find with the words of earlier ones."""
+    return WordIds(path, unit=unit)
+
+
 class WordIds:
-    def __init__(self, path=VOCABULARY, remembered=REMEMBERED):
+    def __init__(self, path=VOCABULARY, remembered=REMEMBERED, unit="I"):
+        """``unit`` is the array code of an id: I for 32 bits, H for 16, which take vocabularies below 65,536."""
         self.tokenizer = Tokenizer.from_file(path)
+        self.unit, self.wide = unit, array(unit).itemsize
         self.remembered, self.known = remembered, {}
         self.model = self.tokenizer.model
         self.part = self.tokenizer.encode(PART.decode(), add_special_tokens=False).ids
@@ -68,40 +78,43 @@ class WordIds:
         out = []
         for i in range(0, len(cores), ASKED):
             some = cores[i:i + ASKED]
-            ids = np.array(self.tokenizer.encode((b" " + PART + b" ").join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode((b" " + PART + b" ").join(some).decode(), add_special_tokens=False).ids, self.unit)
             cuts = np.nonzero(ids == self.part[0])[0].tolist()
-            raw = ids.tobytes()
-            out += [raw[4 * a + 4:4 * b] for a, b in zip([-1] + cuts, cuts + [len(ids)])]
+            raw, w = ids.tobytes(), self.wide
+            out += [raw[w * a + w:w * b] for a, b in zip([-1] + cuts, cuts + [len(ids)])]
         return out
 
     def learn(self, words):
-        """Make sure that all of ``words`` (bytes) are known."""
+        """Ids of those of ``words`` (bytes) that are not remembered; they are remembered as long as there is room.
+
+        Words met first tend to be the commonest, so none of them gives way to later ones.
+        """
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list(words)
         pairs = [parted(w) for w in new]
         ids, merges, plain = {b"": b""}, self.model.tokenize, []
         for c in {c for p in pairs for c in p if c}:
             s = letters(c)
             if s is not None:
-                ids[c] = array("I", [t.id for t in merges(s)]).tobytes()
+                ids[c] = array(self.unit, [t.id for t in merges(s)]).tobytes()
             elif PART in c or b"<|" in c:
-                ids[c] = array("I", self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
+                ids[c] = array(self.unit, self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
             else:
                 plain.append(c)
         ids.update(zip(plain, self.ask(plain)))
-        known = self.known
-        for w, (core, tail) in zip(new, pairs):
-            known[w] = ids[core] + ids[tail]
+        learnt = {w: ids[core] + ids[tail] for w, (core, tail) in zip(new, pairs)}
+        self.known.update(islice(learnt.items(), max(0, self.remembered - len(self.known))))
+        return learnt
 
     def of_texts(self, texts):
-        """Ids of each text (bytes) as little-endian unsigned 32-bit integers, text by text."""
+        """Ids of each text (bytes) as little-endian unsigned integers, text by text."""
         for i in range(0, len(texts), TEXTS):
             split = [t.split() for t in texts[i:i + TEXTS]]
-            self.learn(set().union(*split))
+            met = set().union(*split)
+            learnt, known = self.learn(met), self.known
+            if not learnt.keys() <= known.keys():
+                known = {w: learnt[w] if w in learnt else known[w] for w in met}
             for words in split:
-                yield b"".join([self.known[w] for w in words])
+                yield b"".join(map(known.__getitem__, words))
 
     def ids(self, text):
         return next(self.of_texts([text]))
