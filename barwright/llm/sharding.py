@@ -4,8 +4,9 @@ Pass one scatters whole records into memory-sized buckets by a seeded hash; pass
 Fisher-Yates in one task. The buckets one after the other are a random order of all records, which shards cut into
 runs of equal length (law ``rows``: counts differ by one at most).
 
-Nulls: a null text counts no bytes and the CRC of the empty string; a null doc_id hashes by its text. Repeated rows share a bucket and get
-slots of their own. An empty table gives an empty result. Columns of the documents keep their names; those added start
+Nulls: a null text counts no bytes and the CRC of the empty string; a null doc_id hashes by its text. Repeated rows get slots of their own.
+A doc_id (or, where it is null, a text) that more than HOT rows have would fill one bucket: its rows are salted, and as all rows are settled with
+their keys before the shuffle, a lost task finds the same salts again. An empty table gives an empty result. Columns of the documents keep their names; those added start
 with ``shuffle_``. Bucket sizes follow the hash, so sources or copies with many rows spread like all others.
 """
 
@@ -18,14 +19,21 @@ from barwright.llm.common import lookup, offsets, settle, text_of
 #: Bytes of text that a bucket holds on average, and the number of buckets below which nothing is gained.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 256
+#: Rows of one key beyond which they are dealt over all buckets.
+HOT = 1024
 
 
-def scatter(docs, seed, bucket_bytes=BUCKET_BYTES, least=LEAST_BUCKETS):
-    """``docs`` with shuffle_key, the seeded hash of the record, and shuffle_bucket."""
+def scatter(docs, seed, bucket_bytes=BUCKET_BYTES, least=LEAST_BUCKETS, hot=HOT):
+    """``docs`` with shuffle_key, the seeded hash of the record, and shuffle_bucket; settled."""
     size = docs.agg(F.sum(F.octet_length(text_of()) + F.lit(1).cast("long"))).first()[0] or 0
     n = max(least, -(-size // bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.when(F.col("doc_id").isNull(), F.col("text")))
-    return docs.withColumn("shuffle_key", key).withColumn("shuffle_bucket", F.pmod("shuffle_key", F.lit(n)).cast("long"))
+    keyed = docs.withColumn("shuffle_key", key)
+    many = settle(keyed.groupBy(F.col("shuffle_key").alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("_hot"))
+    keyed = lookup(keyed, many, F.col("shuffle_key") == F.col("_hot"), limit=100_000)
+    salted = F.when(F.col("_hot").isNotNull(), F.xxhash64("shuffle_key", F.monotonically_increasing_id())).otherwise(F.col("shuffle_key"))
+    keyed = keyed.withColumn("shuffle_key", salted).drop("_hot")
+    return settle(keyed.withColumn("shuffle_bucket", F.pmod("shuffle_key", F.lit(n)).cast("long")))
 
 
 def permute_bucket(seed):

@@ -129,3 +129,14 @@ def test_quality_stage(spark, odd):
     out = quality.stage(spark, docs, odd)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.select("doc_id").collect()} >= {0, 9}
+
+
+def test_one_id_of_a_third_of_all_rows_spreads(spark):
+    """Repeated rows of one doc_id, and rows without an id that share a text, meet in no bucket; slots stay gapless."""
+    rows = [(7, "copy")] * 2000 + [(None, "lost")] * 2000 + [(i, f"text {i}") for i in range(100, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = [r["count"] for r in sharding.scatter(docs, 29, least=64, hot=100).groupBy("shuffle_bucket").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 200
+    out = sharding.external_shuffle(docs, least=64, hot=100).toPandas()
+    assert sorted(out.shuffle_position) == list(range(6000)) and (out.doc_id == 7).sum() == 2000
+    assert out.groupby("shuffle_shard").size().max() - out.groupby("shuffle_shard").size().min() <= 1
