@@ -186,22 +186,24 @@ def validate_trades(proposals, state, pos, spark, mode):
     """First broken rule per proposal, in rule order; exits and holds pass.
 
     Every proposal is judged against the same state. ``proposals``: account, symbol, action,
-    qty, entry_price (+ anything). Adds approved and rule.
+    qty, entry_price (+ anything). Adds approved and rule. What an account holds is one row, with a
+    map of its symbols and its sectors' sums, so proposals are shuffled once, by account, before any column is added.
     """
     lim = universe.risk(mode)
     u = universe.universe_df(spark, mode).groupBy("symbol").agg(
         F.max_by("sector", "sector_rank").alias("sector"), F.max_by("max_sector_pct", "sector_rank").alias("max_sector_pct"),
         F.max_by("max_per_stock_pct", "sector_rank").alias("max_per_stock_pct"))
-    p = proposals.withColumn("action", F.lower("action")).withColumn("_sym", F.upper("symbol"))
-    held = pos.select("account", F.col("symbol").alias("_sym"), F.col("qty").alias("_held_qty"), F.col("market_value").alias("_held_value"))
-    placed = held.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left")
+    lots = pos.where(F.col("symbol").isNotNull()).groupBy("account", F.col("symbol").alias("_sym")).agg(F.sum("qty").alias("_q"), F.sum("market_value").alias("_v"))
+    placed = lots.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left")
     high = (F.col("sector") == "tactical") | F.col("_sym").isin(universe.MOONSHOTS)
-    tactical = placed.groupBy("account").agg(F.sum(F.when(high, F.col("_held_value"))).alias("_tactical"))
-    sector = placed.filter(F.col("sector").isNotNull()).groupBy("account", "sector").agg(F.sum("_held_value").alias("_sector_value"))
-    j = (
-        p.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left").join(state, "account", "left")
-        .join(held, ["account", "_sym"], "left").join(sector, ["account", "sector"], "left").join(tactical, "account", "left")
-    )
+    sectors = [name for name, *_ in universe.UNIVERSE[mode]]
+    book = placed.groupBy("account").agg(
+        F.map_from_entries(F.collect_list(F.struct("_sym", F.struct("_q", "_v")))).alias("_held"), F.sum(F.when(high, F.col("_v"))).alias("_tactical"),
+        F.array(*[F.sum(F.when(F.col("sector") == name, F.col("_v"))) for name in sectors]).alias("_sectors"))
+    j = proposals.join(state.join(book, "account", "left"), "account", "left").withColumn("action", F.lower("action")).withColumn("_sym", F.upper("symbol"))
+    j = j.join(F.broadcast(u.withColumnRenamed("symbol", "_sym")), "_sym", "left").withColumn("_lot", F.try_element_at("_held", "_sym"))
+    j = j.withColumns({"_held_qty": F.col("_lot._q"), "_held_value": F.col("_lot._v"),
+                       "_sector_value": F.coalesce(*[F.when(F.col("sector") == name, F.col("_sectors")[i]) for i, name in enumerate(sectors)])})
     value = F.col("qty") * F.col("entry_price")
     existing = F.coalesce("_held_value", F.lit(0.0))
 
