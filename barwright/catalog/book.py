@@ -6,6 +6,7 @@ from barwright.catalog.registry import query, r, rcols, tidy
 from barwright.catalog.sqlframes import ACCOUNTS, BARS, FILLS, JOURNAL, POSITIONS, SNAPSHOTS
 from barwright.operators import aggs, portfolio, risk
 from barwright.sources import frames, universe
+from barwright.streaming.jobs import scratch
 
 UNI = ", ".join(
     f"('{m}', {i}, '{sec}', '{label}', '{sym}', {len(syms)}, {cap}::DOUBLE, {per}::DOUBLE)"
@@ -220,8 +221,11 @@ def _(spark, sf):
   SELECT account, date, 1::BIGINT AS seq, {r('cash + coalesce(v, 0)', 2)} AS value FROM ed LEFT JOIN h USING (account, date)
   UNION ALL SELECT account, min(date), 0, 1e6 FROM ed GROUP BY 1""")
 def _(spark, sf):
+    """The prices are written first, so that their size is known where they meet the positions."""
     f = frames.fills(spark, sf)
-    return tidy(portfolio.equity_curve(f, portfolio.daily_prices(f), opening(spark, sf)), 2)
+    path = scratch(spark, "d15-prices")
+    portfolio.daily_prices(f).write.parquet(path)
+    return tidy(portfolio.equity_curve(f, spark.read.parquet(path), opening(spark, sf)), 2)
 
 
 # -- volatility, correlation, limits ----------------------------------------------------
