@@ -259,13 +259,18 @@ def by_difference(led, edges, sides, parts, like, keep):
     return short.join(long.where("i < long"), ["lead", "token"]).where(fits).select("a", F.col("rep").alias("b"))
 
 
+def tasks_for(rows):
+    """Tasks that suffice for tables of up to so many rows about those that meet."""
+    return max(TASKS, rows // TASK_ROWS)
+
+
 def classes_of(src, rule):
     """(reps, linked): rep and key of every distinct set of the texts in ``_text``, and (node, component) of those that link with another; settled."""
     each = sketched(src, rule).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "parity", "low", "high")])
     reps = settle(each.select(F.monotonically_increasing_id().alias("rep"), "*"))
     met = members(reps)
     # what follows is of the size of ``met`` at most; small tables stay in few tasks and files
-    tasks = max(TASKS, met.count() // TASK_ROWS)
+    tasks = tasks_for(met.count())
     keep = lambda df: settle(df.coalesce(tasks))
     parts = parts_of(src, reps, met, rule.width)
     longs = [F.conv(F.hex(F.substring("parity", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"p{i}") for i in range(SKETCH // 64)]
