@@ -13,7 +13,7 @@ Candidates that could still be near by size and by a 1024-bit parity sketch (dif
 shingles) are counted exactly: over FRAGMENTS fixed fragments of the global order, partial overlaps are counted apart and summed per pair.
 
 Equal sets are one row throughout. Groups of at most FEW that share a fragment meet pair by pair. In larger ones all meet a lead, the member
-with the most company, and the difference of each set to its lead is taken: two members that differ by few shingles are both near the lead,
+with the most company or that one's own lead, and the difference of each set to its lead is taken: two members that differ by few shingles are both near the lead,
 or their differences share many shingles, which prefixes of the differences (rarest shingle first) find. So thousands of copies with edits of their
 own cost their edits rather than all pairs, and no link is lost.
 
@@ -210,7 +210,10 @@ def allowed(total, like):
 
 
 def by_lead(met, keep):
-    """(small, led): pairs (a, b) of the groups of at most FEW, and (rep, lead, company of the lead) of the larger ones. Both kept."""
+    """(small, led): pairs (a, b) of the groups of at most FEW, and (rep, lead, company of the lead) of the larger ones. Both kept.
+
+    All members of a group have one lead in common, which need not be of the group.
+    """
     sized = met.join(met.groupBy("sig").agg(F.count(F.lit(1)).alias("m")), "sig")
     company = sized.groupBy("rep").agg(F.sum("m").alias("company"))
     rows = keep(sized.join(company, "rep"))
@@ -218,7 +221,10 @@ def by_lead(met, keep):
     few = few.select("reps", F.explode("reps").alias("a")).select("a", F.explode("reps").alias("b")).where("a < b").distinct()
     many = rows.where(F.col("m") > FEW)
     lead = many.groupBy("sig").agg(F.max(F.struct("company", F.col("rep").alias("lead"))).alias("l")).select("sig", "l.company", "l.lead")
-    led = many.drop("company").join(lead, "sig").where(F.col("rep") != F.col("lead")).select("rep", "lead", "company").distinct()
+    # groups of copies of one text have many leads: a lead that is itself led gives its groups to the one with the most company
+    above = many.select("sig", "rep").join(lead, "sig").groupBy(F.col("rep").alias("_rep")).agg(F.max(F.struct("company", "lead")).alias("top"))
+    lead = lead.join(above, F.col("lead") == F.col("_rep")).select("sig", "top.company", "top.lead")
+    led = many.select("sig", "rep").join(lead, "sig").where(F.col("rep") != F.col("lead")).select("rep", "lead", "company").distinct()
     return keep(few), keep(led)
 
 

@@ -92,6 +92,22 @@ def test_planted(spark, monkeypatch, few):
     assert got(jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))) == plain_join(docs)
 
 
+def test_copies_of_one_text_have_few_leads(spark, monkeypatch):
+    """Copies with edits of their own share other fragments with each of many others, and are compared to a lead or two, not to one per fragment."""
+    rng, found, by_lead = random.Random(6), [], jaccard.by_lead
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = [(i, " ".join(edited(rng, base, 0.04))) for i in range(400)]
+
+    def seen(met, keep):
+        few, led = by_lead(met, keep)
+        found.append((led.count(), led.select("rep").distinct().count()))
+        return few, led
+    monkeypatch.setattr(jaccard, "by_lead", seen)
+    assert got(jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))) == plain_join(docs)
+    (rows, reps), = found
+    assert reps > 300 and rows <= 2 * reps, found
+
+
 def test_fragments_lose_no_pair():
     """Sets at the threshold always share the hash of a fragment, as classes of sizes allow."""
     rng = np.random.default_rng(0)
