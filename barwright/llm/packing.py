@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from barwright.llm.common import settle
-from barwright.llm.subwords import VOCABULARY, shared
+from barwright.llm.common import parts, settle
+from barwright.llm.subwords import REMEMBERED, VOCABULARY, shared
 
 ROOM = 4096
 END = 1
@@ -27,6 +27,8 @@ NEARLY = ROOM - 16
 #: Pieces that a task packs at a time, and bins in a group of the tree.
 CHUNK = 100_000
 GROUP = 8192
+#: Words that a Python worker remembers in the pipeline, where it and they stay while other stages need the memory.
+STAGE_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 MOVES = "bin long, into long, shift long, fill long"
@@ -57,10 +59,10 @@ def best_fit(lengths, room=ROOM):
     return where, at
 
 
-def pack_partition(vocabulary, room=ROOM):
+def pack_partition(vocabulary, room=ROOM, remembered=REMEMBERED):
     """Rows of PIECES from (doc_id, text bytes)."""
     def run(batches):
-        words, task, packed, held = shared(vocabulary), TaskContext.get().partitionId(), 0, []
+        words, task, packed, held = shared(vocabulary, remembered=remembered), TaskContext.get().partitionId(), 0, []
         last = np.uint32(END).tobytes()
 
         def pack():
@@ -73,7 +75,7 @@ def pack_partition(vocabulary, room=ROOM):
             packed += int(where.max()) + 1
             held.clear()
             return out
-        for b in batches:
+        for b in parts(batches):
             texts = [t or b"" for t in b.column("_text").to_pylist()]
             for i, ids in zip(b.column("doc_id").to_pylist(), words.of_texts(texts)):
                 ids += last
@@ -121,10 +123,10 @@ def merge_tree(bins, group=GROUP, nearly=NEARLY, room=ROOM):
     return moved
 
 
-def pack(docs, vocabulary=VOCABULARY):
+def pack(docs, vocabulary=VOCABULARY, remembered=REMEMBERED):
     """Pieces of all documents with sequence_id and offset."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
-    pieces = settle(src.mapInArrow(pack_partition(vocabulary), PIECES))
+    pieces = settle(src.mapInArrow(pack_partition(vocabulary, remembered=remembered), PIECES))
     moved = merge_tree(pieces.groupBy("bin").agg(F.sum("length").alias("fill")))
     moved = moved.select(F.col("bin").alias("_bin"), "into", "shift")
     out = pieces.join(moved, F.col("bin") == F.col("_bin"), "left")
@@ -134,7 +136,7 @@ def pack(docs, vocabulary=VOCABULARY):
 
 def stage(spark, docs, sf_dir):
     """Last stage of the pipeline: the packed pieces of its documents."""
-    return pack(docs)
+    return pack(docs, remembered=STAGE_WORDS)
 
 
 def query(spark, sf_dir):

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
+from barwright.llm.common import parts
+
 #: The kinds in the order in which results list them.
 KINDS = ("email", "ip", "card", "phone")
 
@@ -201,7 +203,7 @@ def pattern_counts(docs):
     """{pattern: count} over the candidates of all documents; its size is bounded by the patterns that there are."""
     def run(batches):
         seen = {}
-        for b in batches:
+        for b in parts(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     base, loose = candidates(t)
@@ -252,7 +254,7 @@ def redact(docs, accepted):
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = b.column("text").to_pylist()
             new = []
             for t in texts:

@@ -58,9 +58,9 @@ def letters(core):
 
 
 @cache
-def shared(path=VOCABULARY, unit="I"):
+def shared(path=VOCABULARY, unit="I", remembered=REMEMBERED):
     """The WordIds of this Python worker, which later tasks find with the words of earlier ones."""
-    return WordIds(path, unit=unit)
+    return WordIds(path, remembered, unit)
 
 
 class WordIds:
