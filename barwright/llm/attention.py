@@ -10,6 +10,8 @@ import numpy as np
 CLASSES, MEMBERS = 32, 64
 SYMBOLS = CLASSES * MEMBERS
 DIM, HIDDEN, WINDOW = 16, 48, 32
+#: Classes with at most so many targets in a step share one batched product.
+PADDED = 24
 
 
 def initial(counts, seed=5, dim=DIM, hidden=HIDDEN, window=WINDOW):
@@ -38,9 +40,10 @@ def attend(p, x, queries):
     d = distances(queries, x.shape[1])
     s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM ** -0.5)
     s += np.where(d >= 0, p["far"][np.maximum(d, 0)], np.float32(-1e9))
-    s -= s.max(-1, keepdims=True)
+    if s.max(initial=0) > 60 or s[:, d == 0].min(initial=0) < -60:  # else each sum has the position's own exponential, and none is too large
+        s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
+    s /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
     return np.concatenate([eq, np.matmul(s, v)], -1), (e, eq, q, k, v, s, d)
 
 
@@ -54,7 +57,7 @@ def tables(p):
 def _exp_sum(x):
     """Log of the sum of exponentials along the last axis; shifted only where values are large. Overwrites x."""
     top = np.float32(0) if -60 < x.min(initial=0) and x.max(initial=0) < 60 else x.max(-1, keepdims=True)
-    return np.log(np.exp(x - top if np.ndim(top) else x, out=x).sum(-1)) + (top[..., 0] if np.ndim(top) else top)
+    return np.log(np.exp(x - top if np.ndim(top) else x, out=x) @ np.ones(x.shape[-1], x.dtype)) + (top[..., 0] if np.ndim(top) else top)
 
 
 def log_probs(t, x, y, queries):
@@ -67,7 +70,7 @@ def log_probs(t, x, y, queries):
         s -= s.max(-1, keepdims=True)
     np.exp(s, out=s)
     context = np.matmul(s, t["v"][x])
-    context /= s.sum(-1, keepdims=True)
+    context /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
     y = y.reshape(-1)
     cls, mem = y // MEMBERS, y % MEMBERS
     order = np.argsort(cls.astype(np.uint8), kind="stable")  # by class, so that each class is one matrix product
@@ -90,10 +93,11 @@ def log_probs(t, x, y, queries):
 
 def _softmax_loss(x, at, scale, every):
     """Gradient of the scaled losses by the values x (overwritten), whose right ones lie ``at``, and the sum of the losses."""
-    x -= x.max(-1, keepdims=True)
+    if x.min(initial=0) < -60 or x.max(initial=0) > 60:
+        x -= x.max(-1, keepdims=True)
     right = x[every, at]
     np.exp(x, out=x)
-    total = x.sum(-1)
+    total = x @ np.ones(x.shape[-1], x.dtype)
     x *= (scale / total)[:, None]
     x[every, at] -= scale
     return x, ((np.log(total) - right) * scale).sum()
@@ -116,24 +120,35 @@ def gradients(p, x, y, m):
     g["uc"], g["bc"] = hs.T @ dc, dc.sum(0)
     ds = dc @ p["uc"].T
     g["um"], g["bm"] = np.zeros_like(p["um"]), np.zeros_like(p["bm"])
-    bounds, loss = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist(), lost
-    for c in range(CLASSES):
+    bounds, loss = np.searchsorted(cls, np.arange(CLASSES + 1)), lost
+    sizes = np.diff(bounds)
+    for c in np.nonzero(sizes > PADDED)[0].tolist():
         i, j = bounds[c], bounds[c + 1]
-        if j > i:
-            dm, lost = _softmax_loss(hs[i:j] @ p["um"][c] + p["bm"][c], mem[i:j], sc[i:j], every[:j - i])
-            loss += lost
-            g["um"][c], g["bm"][c] = hs[i:j].T @ dm, dm.sum(0)
-            ds[i:j] += dm @ p["um"][c].T
+        dm, lost = _softmax_loss(hs[i:j] @ p["um"][c] + p["bm"][c], mem[i:j], sc[i:j], every[:j - i])
+        loss += lost
+        g["um"][c], g["bm"][c] = hs[i:j].T @ dm, dm.sum(0)
+        ds[i:j] += dm @ p["um"][c].T
+    few = np.nonzero((sizes > 0) & (sizes <= PADDED))[0]
+    if len(few):  # one batched product; places beyond a class's size hold a row that counts nothing
+        width = int(sizes[few].max())
+        used = np.arange(width) < sizes[few, None]
+        rows = np.where(used, bounds[few, None] + np.arange(width), 0)
+        hp, um = hs[rows], p["um"][few]
+        dm, lost = _softmax_loss((np.matmul(hp, um) + p["bm"][few, None]).reshape(-1, MEMBERS), mem[rows].ravel(), np.where(used, sc[rows], 0).ravel().astype(sc.dtype), np.arange(rows.size))
+        loss += lost
+        dm = dm.reshape(len(few), width, MEMBERS)
+        g["um"][few], g["bm"][few] = np.matmul(hp.transpose(0, 2, 1), dm), dm.sum(1)
+        ds[rows[used]] += np.matmul(dm, um.transpose(0, 2, 1))[used]
     dh = np.empty_like(ds)
     dh[order] = ds
-    dh[pre <= 0] = 0
+    dh *= pre > 0
     g["w"], g["b"] = zf.T @ dh, dh.sum(0)
     dz = (dh @ p["w"].T).reshape(n, t, -1)
     dim = e.shape[-1]
     de, dctx = dz[..., :dim].copy(), dz[..., dim:]
     da = np.matmul(dctx, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), dctx)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds = a * (da - np.einsum("wij,wij->wi", da, a)[..., None])
     per = ds.sum(0)
     g["far"] = np.bincount(d[d >= 0], weights=per[d >= 0], minlength=len(p["far"])).astype(np.float32)
     ds *= np.float32(dim ** -0.5)
@@ -144,27 +159,55 @@ def gradients(p, x, y, m):
         g[name] = flat.T @ gf
         de += (gf @ p[name].T).reshape(de.shape)
     g["emb"] = np.zeros_like(p["emb"])
-    at = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
-    seen, first = np.unique(x.reshape(-1)[at], return_index=True)
-    g["emb"][seen] = np.add.reduceat(de.reshape(-1, dim)[at], first, axis=0)
+    flat = x.reshape(-1).astype(np.uint16)
+    at = np.argsort(flat, kind="stable")
+    flat = flat[at]
+    first = np.nonzero(np.append(True, flat[1:] != flat[:-1]))[0]
+    g["emb"][flat[first]] = np.add.reduceat(de.reshape(-1, dim)[at], first, axis=0)
     return float(loss), g
 
 
 def fresh(p):
-    """State of training before its first step: weights, both moments of Adam and the number of steps taken."""
-    return {"p": p, "first": {k: np.zeros_like(v) for k, v in p.items()}, "second": {k: np.zeros_like(v) for k, v in p.items()}, "step": 0}
+    """State of training before its first step: weights, both moments of Adam and the number of steps taken.
+
+    Each part's arrays are views of one vector (``flat``), so that a step is a few passes over it.
+    """
+    return _state([np.concatenate([p[k].ravel() for k in sorted(p)]), *np.zeros((2, sum(v.size for v in p.values())), np.float32)], p, 0)
+
+
+def _state(vectors, like, step):
+    out = {"step": step, "flat": dict(zip(PARTS, vectors))}
+    for part, v in out["flat"].items():
+        out[part], at = {}, 0
+        for k in sorted(like):
+            out[part][k] = v[at:at + like[k].size].reshape(like[k].shape)
+            at += like[k].size
+    return out
+
+
+PARTS = ("p", "first", "second")
 
 
 def descend(state, x, y, m, rate):
     """One step of Adam on windows (x, y, m), in place; their mean loss before it."""
-    p, first, second = state["p"], state["first"], state["second"]
-    loss, g = gradients(p, x, y, m)
+    loss, g = gradients(state["p"], x, y, m)
+    g = np.concatenate([g[k].ravel() for k in sorted(g)])
+    p, first, second = (state["flat"][part] for part in PARTS)
     state["step"] += 1
     step = state["step"]
-    for k in p:
-        first[k] += 0.1 * (g[k] - first[k])
-        second[k] += 0.01 * (g[k] * g[k] - second[k])
-        p[k] -= (rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+    t = g - first
+    t *= np.float32(0.1)
+    first += t
+    g *= g
+    g -= second
+    g *= np.float32(0.01)
+    second += g
+    np.multiply(second, np.float32(1 / (1 - 0.99 ** step)), out=t)
+    np.sqrt(t, out=t)
+    t += np.float32(1e-8)
+    np.divide(first, t, out=t)
+    t *= np.float32(rate / (1 - 0.9 ** step))
+    p -= t
     return loss
 
 
@@ -182,23 +225,17 @@ def train(p, x, y, m, epochs=3, batch=256, rate=4e-3, seed=11):
         for i in range(0, len(x), batch):
             rows, step = order[i:i + batch], state["step"] + 1
             losses.append(descend(state, x[rows], y[rows], m[rows], falling(rate, step, step / total)))
-    return p, float(np.mean(losses)) if losses else float("nan")
+    return state["p"], float(np.mean(losses)) if losses else float("nan")
 
 
 def packed(state):
     """Weights and moments as one vector of single precision."""
-    return np.concatenate([state[part][k].ravel() for part in ("p", "first", "second") for k in sorted(state["p"])]).astype(np.float32)
+    return np.concatenate([state["flat"][part] for part in PARTS])
 
 
 def unpacked(v, like, step):
     """The state that ``packed`` made a vector of; ``like`` are weights of its shapes."""
-    out, at = {"step": step}, 0
-    for part in ("p", "first", "second"):
-        out[part] = {}
-        for k in sorted(like):
-            out[part][k] = v[at:at + like[k].size].reshape(like[k].shape).astype(np.float32)
-            at += like[k].size
-    return out
+    return _state(np.split(v.astype(np.float32), len(PARTS)), like, step)
 
 
 def windows(symbols, start, stride, window=WINDOW):

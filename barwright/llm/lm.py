@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import attention
 from barwright.llm.common import settle
-from barwright.llm.subwords import VOCABULARY, WordIds
+from barwright.llm.subwords import VOCABULARY, WordIds, shared
 
 FOLDS, HELD_OUT = 7, 2
 #: Id of the end in the vocabulary, and the number of its ids.
@@ -38,8 +38,10 @@ FREQUENT = 1 << 20
 UNIT, ROUNDS = 1 << 16, 8
 #: Windows and top rate of a training step, and pieces in which states are added.
 STEP, RATE, PIECES = 32, 4e-3, 64
-#: Windows scored at a time, and different words counted before they are handed on.
-BATCH, COUNTED = 640, 200_000
+#: Windows gathered, those of them scored at a time (so few that their values stay in a core's cache), and different words counted before they are handed on.
+GATHERED, BATCH, COUNTED = 640, 160, 200_000
+#: Words whose ids a Python worker remembers over its tasks; about as many as a task of 16 MB meets.
+REMEMBERED = 400_000
 
 
 def folded(docs):
@@ -113,7 +115,7 @@ def training_windows(training, units, of, end, vocabulary=VOCABULARY):
     cells = units * ROUNDS
 
     def run(batches):
-        known, rng = WordIds(vocabulary), np.random.default_rng([29, TaskContext.get().partitionId()])
+        known, rng = shared(vocabulary, remembered=REMEMBERED), np.random.default_rng([29, TaskContext.get().partitionId()])
         for b in batches:
             w = [np.zeros((0, attention.WINDOW + 2), "<u2")]
             for ids in known.of_texts([(t or b"").lower() for t in b.column("text").to_pylist()]):
@@ -138,9 +140,9 @@ def trained(windows, weights):
             w = [np.frombuffer(v, "<u2").reshape(-1, attention.WINDOW + 2) for b in batches for v in b.column("w").to_pylist()]
             if not w:
                 return
-            w = np.concatenate(w).astype(np.int64)
-            w = w[np.lexsort(w.T)]  # whatever the order in which rows arrive
-            w = w[np.random.default_rng([31, r]).permutation(len(w))]
+            w = np.concatenate(w)
+            w = w[np.argsort(w.view(f"V{w.itemsize * w.shape[1]}").ravel(), kind="stable")]  # whatever the order in which rows arrive
+            w = w[np.random.default_rng([31, r]).permutation(len(w))].astype(np.int64)
             s = attention.unpacked(sent.value[0], weights, sent.value[1])
             for i in range(0, len(w), STEP):
                 part = w[i:i + STEP]
@@ -169,7 +171,7 @@ def scores(docs, tables, symbols, vocabulary=VOCABULARY):
     of, inside, end = symbols.of, symbols.inside, symbols.end
 
     def run(batches):
-        known = WordIds(vocabulary)
+        known = shared(vocabulary, remembered=REMEMBERED)
         for b in batches:
             texts = [(t or b"").lower() for t in b.column("text").to_pylist()]
             score, held, n_sub = np.zeros(len(texts)), [], []
@@ -188,7 +190,7 @@ def scores(docs, tables, symbols, vocabulary=VOCABULARY):
                 x, y, m = attention.windows(of[ids], end, STRIDE)
                 held.append((x, y, m, np.full(len(x), i)))
                 waiting += len(x)
-                if waiting >= BATCH:
+                if waiting >= GATHERED:
                     settle_windows()
                     waiting = 0
             if held:

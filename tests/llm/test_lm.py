@@ -68,6 +68,47 @@ def test_probabilities_sum_to_one():
     assert abs((10 ** s.inside[rare]).sum() - 1) < 1e-9 and (s.inside[~rare] == 0).all()
 
 
+def test_small_classes_share_a_product(monkeypatch):
+    """Gradients are the same however many classes are padded, and a step makes one product for all small ones."""
+    p, rng = model(3)
+    x = rng.integers(0, attention.SYMBOLS, (32, attention.WINDOW))
+    y = np.minimum(rng.zipf(1.2, x.shape) - 1, attention.SYMBOLS - 1)  # one class has most of the targets, many have few
+    m = (rng.random(x.shape) < 0.9).astype(np.float32)
+    losses = []
+    real = attention._softmax_loss
+    monkeypatch.setattr(attention, "_softmax_loss", lambda *a: losses.append(1) or real(*a))
+    found = []
+    for padded in (0, attention.PADDED, x.size):
+        losses.clear()
+        monkeypatch.setattr(attention, "PADDED", padded)
+        found.append((len(losses), *attention.gradients(p, x, y, m), len(losses)))
+    assert found[0][3] > 20 and found[1][3] < 12 and found[2][3] == 2
+    for _, loss, g, _ in found[1:]:
+        assert abs(loss - found[0][1]) < 1e-4
+        assert all(np.allclose(g[k], found[0][2][k], rtol=1e-3, atol=1e-5) for k in g)
+
+
+def test_large_values_overflow_nothing():
+    p, rng = model(4)
+    for k in ("emb", "q", "uc", "um"):
+        p[k] *= 40
+    x, y = rng.integers(0, attention.SYMBOLS, (2, 4, attention.WINDOW))
+    loss, g = attention.gradients(p, x, y, np.ones(x.shape, np.float32))
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
+def test_a_state_survives_packing():
+    p, rng = model(5)
+    s = attention.fresh(p)
+    x, y = rng.integers(0, attention.SYMBOLS, (2, 4, attention.WINDOW))
+    attention.descend(s, x, y, np.ones(x.shape, np.float32), 1e-3)
+    t = attention.unpacked(attention.packed(s), p, s["step"])
+    for a in (s, t):
+        attention.descend(a, x, y, np.ones(x.shape, np.float32), 1e-3)
+    assert t["step"] == 2 and all((s[part][k] == t[part][k]).all() for part in attention.PARTS for k in p)
+    assert any((p[k] != s["p"][k]).any() for k in p)  # the weights that it began with stay
+
+
 def check_base(out, docs):
     docs = docs.assign(id=docs.doc_id.map(lambda i: "" if pd.isna(i) else str(int(i))))
     docs["held"] = [zlib.crc32(i.encode()) % 7 == 2 for i in docs.id]
