@@ -5,6 +5,8 @@ embedding in a hidden layer, which predicts the next symbol in two steps, its cl
 windows of one length, masked, so a step is a few matrix products.
 """
 
+from functools import cache
+
 import numpy as np
 
 CLASSES, MEMBERS = 32, 64
@@ -12,19 +14,29 @@ SYMBOLS = CLASSES * MEMBERS
 DIM, HIDDEN, WINDOW = 16, 48, 32
 #: Classes with at most so many targets in a step share one batched product.
 PADDED = 24
+#: Windows whose attention scoring works out together, rows of a class that it takes together, and weights that a step of Adam changes
+#: together, so few that they stay in a core's cache.
+BATCH, TOGETHER, CACHED = 80, 1024, 1 << 14
+#: Bounds on sums of exponentials beyond which values are shifted first.
+SMALL, LARGE = np.exp(-60), np.exp(60)
 
 
 def initial(counts, seed=5, dim=DIM, hidden=HIDDEN, window=WINDOW):
-    """Weights; output biases start at the log frequencies of the symbols (``counts`` by symbol, over the whole corpus)."""
+    """Weights; output biases start at the log frequencies of the symbols (``counts`` by symbol, over the whole corpus).
+
+    The last rows of ``w``, ``uc`` and ``um`` are biases, which multiply a one, so that no pass of their own adds them or sums their gradients.
+    """
     rng = np.random.default_rng(seed)
     normal = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     c = (np.asarray(counts, float) + 0.5).reshape(CLASSES, MEMBERS)
-    return {
+    p = {
         "emb": normal(SYMBOLS, dim, scale=0.3), "q": normal(dim, dim, scale=dim ** -0.5), "k": normal(dim, dim, scale=dim ** -0.5), "v": normal(dim, dim, scale=dim ** -0.5),
-        "far": (-0.2 * np.arange(window)).astype(np.float32), "w": normal(2 * dim, hidden, scale=(2 * dim) ** -0.5), "b": np.zeros(hidden, np.float32),
-        "uc": normal(hidden, CLASSES, scale=0.05), "bc": np.log(c.sum(1) / c.sum()).astype(np.float32),
-        "um": normal(CLASSES, hidden, MEMBERS, scale=0.05), "bm": np.log(c / c.sum(1, keepdims=True)).astype(np.float32),
+        "far": (-0.2 * np.arange(window)).astype(np.float32), "w": normal(2 * dim, hidden, scale=(2 * dim) ** -0.5),
+        "uc": normal(hidden, CLASSES, scale=0.05), "um": normal(CLASSES, hidden, MEMBERS, scale=0.05),
     }
+    for k, bias in (("w", np.zeros(hidden)), ("uc", np.log(c.sum(1) / c.sum())), ("um", np.log(c / c.sum(1, keepdims=True))[:, None])):
+        p[k] = np.concatenate([p[k], bias.reshape(*p[k].shape[:-2], 1, -1)], -2, dtype=np.float32)
+    return p
 
 
 def distances(queries, window):
@@ -32,151 +44,187 @@ def distances(queries, window):
     return np.arange(window - queries, window)[:, None] - np.arange(window)[None, :]
 
 
-def attend(p, x, queries):
-    """Embedding of the last ``queries`` symbols of each window beside what they attend to, and what the gradient needs."""
-    e = p["emb"][x]
-    eq = e[:, -queries:]
-    q, k, v = eq @ p["q"], e @ p["k"], e @ p["v"]
-    d = distances(queries, x.shape[1])
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM ** -0.5)
-    s += np.where(d >= 0, p["far"][np.maximum(d, 0)], np.float32(-1e9))
-    if s.max(initial=0) > 60 or s[:, d == 0].min(initial=0) < -60:  # else each sum has the position's own exponential, and none is too large
-        s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
-    return np.concatenate([eq, np.matmul(s, v)], -1), (e, eq, q, k, v, s, d)
+@cache
+def _ones(n, kind):
+    return np.ones(n, kind)
 
 
-def tables(p):
-    """What a symbol brings to each place, worked out once per symbol: query, key, value and its share of the hidden layer."""
-    dim = p["emb"].shape[1]
-    return {"q": p["emb"] @ p["q"] * np.float32(dim ** -0.5), "k": p["emb"] @ p["k"], "v": p["emb"] @ p["v"], "e": p["emb"] @ p["w"][:dim] + p["b"], "w": p["w"][dim:],
-            **{c: p[c] for c in ("far", "uc", "bc", "um", "bm")}}
+def _exps(values):
+    """Exponentials along the last axis, their sums, and what was taken from the values before, which is 0 unless sums come out too large or small.
+
+    ``values`` makes the values anew, in an array that may be overwritten.
+    """
+    x = values()
+    ones = _ones(x.shape[-1], x.dtype)
+    total = np.exp(x, out=x) @ ones
+    if SMALL < total.min(initial=1) and total.max(initial=1) < LARGE:
+        return x, total, 0
+    x = values()
+    top = x.max(-1, keepdims=True)
+    x -= top
+    return x, np.exp(x, out=x) @ ones, top[..., 0]
 
 
-def _exp_sum(x):
-    """Log of the sum of exponentials along the last axis; shifted only where values are large. Overwrites x."""
-    top = np.float32(0) if -60 < x.min(initial=0) and x.max(initial=0) < 60 else x.max(-1, keepdims=True)
-    return np.log(np.exp(x - top if np.ndim(top) else x, out=x) @ np.ones(x.shape[-1], x.dtype)) + (top[..., 0] if np.ndim(top) else top)
+def tables(p):
+    """What a symbol brings to each place, worked out once per symbol: query, key beside value and its share of the hidden layer."""
+    dim = p["emb"].shape[1]
+    return {"q": p["emb"] @ p["q"] * np.float32(dim ** -0.5), "kv": p["emb"] @ np.concatenate([p["k"], p["v"]], 1), "e": p["emb"] @ p["w"][:dim] + p["w"][-1], "w": p["w"][dim:-1],
+            **{c: p[c] for c in ("far", "uc", "um")}}
 
 
+@np.errstate(over="ignore")
 def log_probs(t, x, y, queries):
     """Natural log probability of the symbol that follows each of the last ``queries`` positions (y: windows x queries), from tables."""
-    last = x[:, -queries:]
+    dim, hidden = t["w"].shape
     d = distances(queries, x.shape[1])
-    s = np.matmul(t["q"][last], t["k"][x].transpose(0, 2, 1))
-    s += np.where(d >= 0, t["far"][np.maximum(d, 0)], np.float32(-1e9))
-    if s.max(initial=0) > 60:  # else no exponential is too large
-        s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    context = np.matmul(s, t["v"][x])
-    context /= (s @ np.ones(s.shape[-1], s.dtype))[..., None]
-    y = y.reshape(-1)
-    cls, mem = y // MEMBERS, y % MEMBERS
-    order = np.argsort(cls.astype(np.uint8), kind="stable")  # by class, so that each class is one matrix product
-    cls, mem = cls[order], mem[order]
-    h = t["e"][last.reshape(-1)[order]]
-    h += context.reshape(-1, context.shape[-1])[order] @ t["w"]
-    np.maximum(h, 0, out=h)
-    x = h @ t["uc"] + t["bc"]
-    done = x[np.arange(len(y)), cls] - _exp_sum(x)
-    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
+    bias = np.where(d >= 0, t["far"][np.maximum(d, 0)], np.float32(-1e9))
+    last, context = x[:, -queries:], np.empty((*y.shape, dim), np.float32)
+    for i in range(0, len(x), BATCH):
+        q, kv = t["q"].take(last[i:i + BATCH], 0), t["kv"].take(x[i:i + BATCH], 0)
+
+        def values():
+            s = np.matmul(q, kv[..., :dim].transpose(0, 2, 1))  # noqa: B023
+            s += bias
+            return s
+        s, total, _ = _exps(values)
+        np.divide(np.matmul(s, kv[..., dim:]), total[..., None], out=context[i:i + BATCH])
+    last, context, y = last.reshape(-1), context.reshape(-1, dim), y.reshape(-1)
+    cls = (y // MEMBERS).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")  # by class, so that each class is one matrix product, or a few
+    last, mem = last[order], (y % MEMBERS)[order]
+    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    out, every, ones = np.empty(len(y), np.float32), np.arange(TOGETHER), np.ones((TOGETHER, hidden + 1), np.float32)
     for c in range(CLASSES):
-        a, b = bounds[c], bounds[c + 1]
-        if b > a:
-            x = h[a:b] @ t["um"][c] + t["bm"][c]
-            done[a:b] += x[np.arange(b - a), mem[a:b]] - _exp_sum(x)
-    out = np.empty_like(done)
-    out[order] = done
-    return out.reshape(len(last), queries)
-
-
-def _softmax_loss(x, at, scale, every):
-    """Gradient of the scaled losses by the values x (overwritten), whose right ones lie ``at``, and the sum of the losses."""
-    if x.min(initial=0) < -60 or x.max(initial=0) > 60:
-        x -= x.max(-1, keepdims=True)
-    right = x[every, at]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[-1], x.dtype)
+        for a in range(bounds[c], bounds[c + 1], TOGETHER):
+            b = min(a + TOGETHER, bounds[c + 1])
+            pre = context.take(order[a:b], 0) @ t["w"]
+            pre += t["e"].take(last[a:b], 0)
+            h = ones[:b - a]
+            np.maximum(pre, 0, out=h[:, :-1])
+            out[order[a:b]] = _right(h, t["uc"], (every[:b - a], c)) + _right(h, t["um"][c], (every[:b - a], mem[a:b]))
+    return out.reshape(-1, queries)
+
+
+def _right(h, u, at):
+    """Log of the softmax of each row of h @ u at its place ``at``."""
+    right = []
+
+    def values():
+        x = h @ u
+        right.append(x[at])
+        return x
+    _, total, top = _exps(values)
+    return right[0] - np.log(total) - top
+
+
+def _softmax_loss(values, at, scale, every):
+    """Gradient of the scaled losses by the values that ``values`` makes, whose right ones lie ``at``, and the sum of the losses."""
+    right, every = [], every[:len(at)]
+
+    def first():
+        x = values()
+        right.append(x[every, at])
+        return x
+    x, total, top = _exps(first)
     x *= (scale / total)[:, None]
     x[every, at] -= scale
-    return x, ((np.log(total) - right) * scale).sum()
-
-
-def gradients(p, x, y, m):
-    """Mean loss over the masked positions and its gradient by weight."""
-    n, t = x.shape
-    z, (e, eq, q, k, v, a, d) = attend(p, x, t)
+    return x, ((np.log(total) + top - right[0]) * scale).sum()
+
+
+@np.errstate(over="ignore")
+def gradients(p, x, y, m, g=None):
+    """Mean loss over the masked positions and its gradient by weight, written into ``g`` if given."""
+    (n, t), dim, hidden, kind = x.shape, p["emb"].shape[1], p["uc"].shape[0] - 1, p["emb"].dtype
+    if g is None:
+        g = {k: np.empty_like(v) for k, v in p.items()}
+    # attention; queries come scaled
+    e = p["emb"].take(x, 0)
+    ef = e.reshape(-1, dim)
+    shrink = kind.type(dim ** -0.5)
+    wide = np.concatenate([p["q"] * shrink, p["k"], p["v"]], 1)
+    qkv = (ef @ wide).reshape(n, t, -1)
+    q, k, v = qkv[..., :dim], qkv[..., dim:2 * dim], qkv[..., 2 * dim:]
+    d = distances(t, t)
+    bias = np.where(d >= 0, p["far"][np.maximum(d, 0)], kind.type(-1e9))
+
+    def attention():
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s += bias
+        return s
+    a, total, _ = _exps(attention)
+    a /= total[..., None]
+    z = np.ones((n, t, 2 * dim + 1), kind)
+    z[..., :dim] = e
+    ctx = np.matmul(a, v)
+    z[..., dim:-1] = ctx
     zf = z.reshape(n * t, -1)
-    pre = zf @ p["w"] + p["b"]
-    h = np.maximum(pre, 0)
-    scale = (m / max(m.sum(), 1)).reshape(-1).astype(np.float32)
-    g = {}
-    cls = y.reshape(-1) // MEMBERS
-    order = np.argsort(cls.astype(np.uint8), kind="stable")  # by class, so that each class is one matrix product
-    cls, mem, hs, sc = cls[order], (y.reshape(-1) % MEMBERS)[order], h[order], scale[order]
+    # hidden layer and what follows it
+    h = np.ones((n * t, hidden + 1), kind)
+    np.maximum(zf @ p["w"], 0, out=h[:, :-1])
+    scale = (m / max(m.sum(), 1)).reshape(-1).astype(kind)
+    yf = y.reshape(-1)
+    cls = (yf // MEMBERS).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")  # by class, so that each class is one matrix product
+    cls, mem, hs, sc = cls[order], (yf % MEMBERS)[order], h.take(order, 0), scale[order]
     every = np.arange(len(cls))
-    dc, lost = _softmax_loss(hs @ p["uc"] + p["bc"], cls, sc, every)
-    g["uc"], g["bc"] = hs.T @ dc, dc.sum(0)
-    ds = dc @ p["uc"].T
-    g["um"], g["bm"] = np.zeros_like(p["um"]), np.zeros_like(p["bm"])
-    bounds, loss = np.searchsorted(cls, np.arange(CLASSES + 1)), lost
+    dc, loss = _softmax_loss(lambda: hs @ p["uc"], cls, sc, every)
+    np.matmul(hs.T, dc, out=g["uc"])
+    ds = dc @ p["uc"][:-1].T
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1))
     sizes = np.diff(bounds)
     for c in np.nonzero(sizes > PADDED)[0].tolist():
         i, j = bounds[c], bounds[c + 1]
-        dm, lost = _softmax_loss(hs[i:j] @ p["um"][c] + p["bm"][c], mem[i:j], sc[i:j], every[:j - i])
+        dm, lost = _softmax_loss(lambda: hs[i:j] @ p["um"][c], mem[i:j], sc[i:j], every)  # noqa: B023
         loss += lost
-        g["um"][c], g["bm"][c] = hs[i:j].T @ dm, dm.sum(0)
-        ds[i:j] += dm @ p["um"][c].T
-    few = np.nonzero((sizes > 0) & (sizes <= PADDED))[0]
-    if len(few):  # one batched product; places beyond a class's size hold a row that counts nothing
-        width = int(sizes[few].max())
+        np.matmul(hs[i:j].T, dm, out=g["um"][c])
+        ds[i:j] += dm @ p["um"][c, :-1].T
+    few = np.nonzero(sizes <= PADDED)[0]
+    width = int(sizes[few].max(initial=0))
+    if width:  # one batched product; places beyond a class's size hold a row that counts nothing
+        some = slice(few[0], few[-1] + 1) if few[-1] - few[0] + 1 == len(few) else few  # as a rule the last classes, whose weights need no copy then
         used = np.arange(width) < sizes[few, None]
         rows = np.where(used, bounds[few, None] + np.arange(width), 0)
-        hp, um = hs[rows], p["um"][few]
-        dm, lost = _softmax_loss((np.matmul(hp, um) + p["bm"][few, None]).reshape(-1, MEMBERS), mem[rows].ravel(), np.where(used, sc[rows], 0).ravel().astype(sc.dtype), np.arange(rows.size))
+        hp, um, real = hs.take(rows, 0), p["um"][some], rows[used]
+        dm, lost = _softmax_loss(lambda: np.matmul(hp, um)[used], mem[real], sc[real], every)
         loss += lost
-        dm = dm.reshape(len(few), width, MEMBERS)
-        g["um"][few], g["bm"][few] = np.matmul(hp.transpose(0, 2, 1), dm), dm.sum(1)
-        ds[rows[used]] += np.matmul(dm, um.transpose(0, 2, 1))[used]
+        padded = np.zeros((*rows.shape, MEMBERS), kind)
+        padded[used] = dm
+        g["um"][some] = np.matmul(hp.transpose(0, 2, 1), padded)
+        ds[real] += np.matmul(padded, um[:, :-1].transpose(0, 2, 1))[used]
+    else:
+        g["um"][few] = 0
     dh = np.empty_like(ds)
     dh[order] = ds
-    dh *= pre > 0
-    g["w"], g["b"] = zf.T @ dh, dh.sum(0)
-    dz = (dh @ p["w"].T).reshape(n, t, -1)
-    dim = e.shape[-1]
-    de, dctx = dz[..., :dim].copy(), dz[..., dim:]
-    da = np.matmul(dctx, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dctx)
-    ds = a * (da - np.einsum("wij,wij->wi", da, a)[..., None])
+    dh *= h[:, :-1] > 0
+    np.matmul(zf.T, dh, out=g["w"])
+    dz = (dh @ p["w"][:-1].T).reshape(n, t, -1)
+    # attention again
+    dctx = dz[..., dim:]
+    ds = np.matmul(dctx, v.transpose(0, 2, 1))
+    ds -= np.einsum("wid,wid->wi", dctx, ctx)[..., None]
+    ds *= a
     per = ds.sum(0)
-    g["far"] = np.bincount(d[d >= 0], weights=per[d >= 0], minlength=len(p["far"])).astype(np.float32)
-    ds *= np.float32(dim ** -0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    flat = e.reshape(-1, dim)
-    for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-        gf = grad.reshape(-1, dim)
-        g[name] = flat.T @ gf
-        de += (gf @ p[name].T).reshape(de.shape)
-    g["emb"] = np.zeros_like(p["emb"])
-    flat = x.reshape(-1).astype(np.uint16)
-    at = np.argsort(flat, kind="stable")
-    flat = flat[at]
-    first = np.nonzero(np.append(True, flat[1:] != flat[:-1]))[0]
-    g["emb"][flat[first]] = np.add.reduceat(de.reshape(-1, dim)[at], first, axis=0)
+    g["far"][:] = np.bincount(d[d >= 0], weights=per[d >= 0], minlength=len(p["far"]))
+    back = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dctx)], -1).reshape(n * t, -1)
+    gw = ef.T @ back
+    g["q"][:], g["k"][:], g["v"][:] = gw[:, :dim] * shrink, gw[:, dim:2 * dim], gw[:, 2 * dim:]
+    de = back @ wide.T
+    de += dz[..., :dim].reshape(-1, dim)
+    at = x.reshape(-1, 1) * dim + np.arange(dim)
+    g["emb"].reshape(-1)[:] = np.bincount(at.ravel(), weights=de.ravel(), minlength=p["emb"].size)
     return float(loss), g
 
 
 def fresh(p):
     """State of training before its first step: weights, both moments of Adam and the number of steps taken.
 
-    Each part's arrays are views of one vector (``flat``), so that a step is a few passes over it.
+    Each part's arrays are views of one vector (``flat``), so that a step is a few passes over it; ``grad`` is where a step writes its gradient.
     """
     return _state([np.concatenate([p[k].ravel() for k in sorted(p)]), *np.zeros((2, sum(v.size for v in p.values())), np.float32)], p, 0)
 
 
 def _state(vectors, like, step):
-    out = {"step": step, "flat": dict(zip(PARTS, vectors))}
+    out = {"step": step, "flat": dict(zip((*PARTS, "grad"), [*vectors, np.zeros_like(vectors[0])]))}
     for part, v in out["flat"].items():
         out[part], at = {}, 0
         for k in sorted(like):
@@ -185,29 +233,30 @@ def _state(vectors, like, step):
     return out
 
 
+#: The moments are sums of falling weight (10 and 100 times the usual averages), so that a step scales nothing.
 PARTS = ("p", "first", "second")
 
 
 def descend(state, x, y, m, rate):
     """One step of Adam on windows (x, y, m), in place; their mean loss before it."""
-    loss, g = gradients(state["p"], x, y, m)
-    g = np.concatenate([g[k].ravel() for k in sorted(g)])
-    p, first, second = (state["flat"][part] for part in PARTS)
+    loss, _ = gradients(state["p"], x, y, m, state["grad"])
     state["step"] += 1
     step = state["step"]
-    t = g - first
-    t *= np.float32(0.1)
-    first += t
-    g *= g
-    g -= second
-    g *= np.float32(0.01)
-    second += g
-    np.multiply(second, np.float32(1 / (1 - 0.99 ** step)), out=t)
-    np.sqrt(t, out=t)
-    t += np.float32(1e-8)
-    np.divide(first, t, out=t)
-    t *= np.float32(rate / (1 - 0.9 ** step))
-    p -= t
+    root = (0.01 / (1 - 0.99 ** step)) ** 0.5
+    rate, least = np.float32(rate * 0.1 / (1 - 0.9 ** step) / root), np.float32(1e-8 / root)
+    vectors = [state["flat"][part] for part in (*PARTS, "grad")]
+    for i in range(0, len(vectors[0]), CACHED):
+        p, first, second, g = (v[i:i + CACHED] for v in vectors)
+        first *= np.float32(0.9)
+        first += g
+        np.multiply(g, g, out=g)
+        second *= np.float32(0.99)
+        second += g
+        np.sqrt(second, out=g)
+        g += least
+        np.divide(first, g, out=g)
+        g *= rate
+        p -= g
     return loss
 
 

@@ -183,3 +183,66 @@ def test_units_learn_together(spark):
     before = attention.gradients(p, x[:500], y[:500], m[:500])[0]
     p = lm.trained(spark.createDataFrame(rows, "unit int, round int, w binary").repartition(3, "unit"), p)
     assert attention.gradients(p, x[:500], y[:500], m[:500])[0] < 0.85 * before
+
+
+def test_a_task_keeps_its_units_apart(spark):
+    """Units in one task learn as they would alone, and their states are averaged by windows."""
+    rng = np.random.default_rng(6)
+    s = rng.integers(0, 300, (60, 3))[rng.integers(0, 60, 16_000)].ravel()
+    w = lm.cut(s, 0)
+    rows = [(int(i % 3 * (i % 5 > 0)), int(i % lm.ROUNDS), v) for i, v in enumerate(w)]
+    p = attention.initial(np.bincount(s, minlength=attention.SYMBOLS))
+    found = lm.trained(spark.createDataFrame([(u, r, bytearray(v.tobytes())) for u, r, v in rows], "unit int, round int, w binary").coalesce(1), p)
+    state = attention.fresh(p)
+    for r in range(lm.ROUNDS):
+        total, step = 0.0, 0
+        for u in range(3):
+            own = np.array([v for a, b, v in rows if (a, b) == (u, r)])
+            one = attention.unpacked(attention.packed(state), p, state["step"])
+            lm.unit_step(one, own, r)
+            total, step = total + attention.packed(one).astype(float) * len(own), max(step, one["step"])
+        state = attention.unpacked(total / sum(b == r for _, b, _ in rows), p, step)
+    assert all(np.allclose(found[k], state["p"][k], rtol=1e-2, atol=1e-3) for k in p)
+
+
+def test_texts_become_symbols_once(spark):
+    texts = ["The cat sat on the mat, and sat. " * n for n in (1, 9, 40)] + [None, "", " \n", "Ünbekannt zzqx 12345 <| the"]
+    docs = lm.folded(spark.createDataFrame(list(enumerate(texts * 4)), "doc_id long, text string"))
+    rows = docs.where("NOT held_out")
+    s = lm.Symbols(lm.id_counts(lm.word_counts(rows), rows.count()))
+    out = lm.encoded(docs, s.of, s.inside)
+    assert "text" not in out.columns  # what training and scoring take
+    ids, got = lm.WordIds(), out.toArrow().to_batches()
+    found = {i: v for b in got for i, v in zip(b.column("doc_id").to_pylist(), zip(b.column("n_tokens").to_pylist(), b.column("n_subwords").to_pylist(), b.column("inside").to_pylist(), lm.symbols_of(b)))}
+    for i, t in enumerate(texts * 4):
+        b = (t or "").encode().lower()
+        want = np.append(np.frombuffer(ids.ids(b), "<u4"), lm.END_ID).astype(int)
+        n, sub, inside, symbols = found[i]
+        assert (n, sub) == (len(b.split()) + 1, len(want)) and symbols.tolist() == s.of[want].tolist() and abs(inside - s.inside[want].sum()) < 1e-9
+
+
+def test_cut_windows_are_those_of_the_model():
+    for n in (1, 31, 32, 33, 64, 100):
+        s = np.arange(1, n + 1)
+        x, y, m = attention.windows(s, 0, attention.WINDOW)
+        assert (lm.cut(s, 0) == np.column_stack([x, y[:, -1], m.sum(1)])).all()
+
+
+def test_base_reads_texts_once(spark):
+    docs = lm.folded(spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string"))
+    counts = spark.createDataFrame([(b"a", 3), (b"b", 1)], "word binary, n long")
+    out = lm.base_sums(docs, counts, {b"a": math.log10(4)})
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.b_id: (r.known, round(r.logs, 9)) for r in out.collect()}
+    assert got == {1: (3, round(2 * math.log10(4) + math.log10(2), 9)), 2: (1, round(math.log10(2), 9))}
+
+
+def test_scoring_in_blocks_changes_nothing(monkeypatch):
+    p, rng = model(7)
+    t = attention.tables(p)
+    x = rng.integers(0, attention.SYMBOLS, (30, attention.WINDOW))
+    y = np.minimum(rng.zipf(1.2, (30, lm.STRIDE)) - 1, attention.SYMBOLS - 1)
+    whole = attention.log_probs(t, x, y, lm.STRIDE)
+    monkeypatch.setattr(attention, "BATCH", 7)
+    monkeypatch.setattr(attention, "TOGETHER", 5)
+    assert np.allclose(attention.log_probs(t, x, y, lm.STRIDE), whole, atol=1e-5)
